@@ -1,0 +1,367 @@
+"""Summaries of a query result: trend, drill-down, correlation, column profile, chart series.
+
+All run as aggregations of the whole frame. Choices that depend only on column names and
+types are made when the plan is built; choices that depend on values are part of the plan.
+"""
+
+from __future__ import annotations
+
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tradewind.functions import wordlists as words
+from tradewind.functions.columns import as_label, as_number, is_numeric_type
+from tradewind.operators.quality import union_all
+
+NUMERIC_SHARE = 0.6
+PAIRS_PER_PASS = 40
+
+
+def first_present(df: DataFrame, candidates: list[str]) -> str | None:
+    return next((name for name in candidates if name in df.columns), None)
+
+
+def trend(df: DataFrame, time: str | None = None, metric: str | None = None) -> DataFrame:
+    """One row that says how the metric moved between its first and last period.
+
+    ``trend`` is up, down or flat, or why there is none: no_data, no_time_axis, no_metric,
+    insufficient (fewer than three numbers). Times are compared as text; of equal extremes
+    the earliest counts."""
+    time = time or first_present(df, words.TREND_TIMES)
+    metric = metric or first_present(df, words.TREND_METRICS)
+    types = dict(df.dtypes)
+
+    period = as_label(time, types[time]) if time else F.lit(None).cast("string")
+    value = as_number(metric, types[metric]) if metric else F.lit(None).cast("double")
+    points = df.select(
+        F.struct(period.alias("t"), value.alias("v")).alias("by_time"),
+        F.struct(value.alias("v"), period.alias("t")).alias("by_value"),
+        F.struct((-value).alias("neg"), period.alias("t"), value.alias("v")).alias("by_fall"),
+        value.alias("v"),
+    )
+
+    def among(point: str) -> Column:
+        return F.when(F.col("v").isNotNull(), F.col(point))
+
+    summary = points.agg(
+        F.count("*").alias("n_rows"),
+        F.count("v").alias("n_points"),
+        F.min(among("by_time")).alias("first"),
+        F.max(among("by_time")).alias("last"),
+        F.min(among("by_fall")).alias("peak"),
+        F.min(among("by_value")).alias("trough"),
+    )
+
+    first, last = F.col("first.v"), F.col("last.v")
+    enough = F.col("n_points") >= 3
+    state = (
+        F.when(F.col("n_rows") == 0, "no_data")
+        .when(F.lit(time is None), "no_time_axis")
+        .when(F.lit(metric is None), "no_metric")
+        .when(~enough, "insufficient")
+        .when(last > first, "up")
+        .when(last < first, "down")
+        .otherwise("flat")
+    )
+    change = F.try_divide(last - first, F.nullif(first, F.lit(0.0))) * 100
+    told = F.col("trend").isin("up", "down", "flat")
+    return summary.withColumn("trend", state).select(
+        "trend",
+        F.when(told, F.lit(metric)).alias("metric"),
+        F.when(told, F.lit(time)).alias("time_axis"),
+        *[
+            F.when(told, F.col(f"{point}.{part}")).alias(f"{point}_{name}")
+            for point in ("first", "last", "peak", "trough")
+            for part, name in (("t", "t"), ("v", "value"))
+        ],
+        F.when(told, F.round(last - first, 2)).alias("delta"),
+        F.when(told, F.round(change, 2)).alias("pct_change"),
+        "n_points",
+    )
+
+
+def drill_down(
+    df: DataFrame, dimension: str | None = None, metric: str | None = None, n: int = 15
+) -> DataFrame:
+    """The ``n`` groups of highest sum, each with the number of all groups.
+
+    Without a metric only rows are counted. Decimals and whole numbers are summed exactly."""
+    dimension = dimension or first_present(df, words.DRILL_DIMENSIONS) or df.columns[0]
+    metric = metric or first_present(df, words.DRILL_METRICS)
+    types = dict(df.dtypes)
+
+    if metric is None:
+        value, counted = F.lit(0.0), F.count("*")
+    elif types[metric].startswith("decimal"):
+        value, counted = F.col(metric), F.count(F.col(metric))
+    elif types[metric] in {"tinyint", "smallint", "int", "bigint"}:
+        value, counted = F.col(metric).cast("decimal(20,0)"), F.count(F.col(metric))
+    else:
+        value = as_number(metric, types[metric])
+        counted = F.count(value)
+
+    total = F.coalesce(F.sum(value), F.lit(0).cast("int"))
+    mean = F.coalesce(F.try_divide(F.sum(value), counted), F.lit(0).cast("int"))
+    groups = df.groupBy(as_label(dimension, types[dimension]).alias("group")).agg(
+        F.round(total, 2).alias("sum"),
+        counted.alias("count"),
+        F.round(mean, 2).alias("avg"),
+    )
+    n_groups = groups.agg(F.count("*").alias("n")).scalar()
+    return groups.orderBy(F.desc("sum"), "group").limit(n).select(
+        F.lit(dimension).alias("dimension"),
+        F.lit(metric).alias("metric"),
+        "group",
+        "sum",
+        "count",
+        "avg",
+        n_groups.alias("total_groups"),
+    )
+
+
+def number_columns(df: DataFrame) -> list[str]:
+    """Columns that may hold numbers: numeric and boolean ones, and text."""
+    return [
+        name
+        for name, kind in df.dtypes
+        if kind in {"string", "boolean"} or is_numeric_type(kind)
+    ]
+
+
+def correlations(df: DataFrame, columns: list[str] | None = None, n: int = 8) -> DataFrame:
+    """Pearson coefficient of the column pairs, the ``n`` strongest first.
+
+    A pair uses the rows where both are numbers and needs three of them and no constant
+    side. A column takes part when at least 60 % of its rows, and at least three, are
+    numbers. Every pair is a few moments of one aggregation, merged from partition to
+    partition without loss by subtraction; many pairs are split into several passes."""
+    names = columns or number_columns(df)
+    types = dict(df.dtypes)
+    numbers = df.select(*[as_number(name, types[name]).alias(name) for name in names])
+    order = {pair: i for i, pair in enumerate(combinations(names, 2))}
+    pairs = list(order)
+    if not pairs:
+        empty = "x string, y string, pearson double, n bigint"
+        return df.sparkSession.createDataFrame([], empty)
+
+    def one_pass(block: list[tuple[str, str]]) -> DataFrame:
+        moments: list[Column] = [F.count("*").alias("rows")]
+        cells = []
+        for a, b in block:
+            x, y = F.col(a), F.col(b)
+            i = order[a, b]
+            x_there, y_there = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+            moments += [
+                F.count(x).alias(f"x{i}"),
+                F.count(y).alias(f"y{i}"),
+                F.count(x_there).alias(f"n{i}"),
+                F.covar_pop(x, y).alias(f"c{i}"),
+                F.var_pop(x_there).alias(f"vx{i}"),
+                F.var_pop(y_there).alias(f"vy{i}"),
+            ]
+            cells.append(F.struct(
+                F.lit(i).alias("pair"),
+                F.lit(a).alias("x"),
+                F.lit(b).alias("y"),
+                F.least(f"x{i}", f"y{i}").alias("numbers"),
+                F.col(f"n{i}").alias("n"),
+                F.col(f"c{i}").alias("cov"),
+                F.col(f"vx{i}").alias("var_x"),
+                F.col(f"vy{i}").alias("var_y"),
+            ))
+        return numbers.agg(*moments).select("rows", F.inline(F.array(*cells)))
+
+    blocks = [pairs[i : i + PAIRS_PER_PASS] for i in range(0, len(pairs), PAIRS_PER_PASS)]
+    found = union_all([one_pass(block) for block in blocks]).where(
+        (F.col("n") >= 3) & (F.col("var_x") > 0) & (F.col("var_y") > 0)
+    )
+    if columns is None:
+        wanted = F.greatest(F.lit(3.0), F.col("rows") * NUMERIC_SHARE)
+        found = found.where(F.col("numbers") >= wanted)
+    r = F.try_divide(F.col("cov"), F.sqrt(F.col("var_x") * F.col("var_y")))
+    return (
+        found.withColumn("pearson", F.round(r, 4))
+        .where(F.col("pearson").isNotNull())
+        .orderBy(F.abs("pearson").desc(), "pair")
+        .limit(n)
+        .select("x", "y", "pearson", "n")
+    )
+
+
+def profile_numeric(df: DataFrame, share: float = NUMERIC_SHARE) -> DataFrame:
+    """Per column the cells that are not empty, how many of them are numbers, and whether
+    that makes it a numeric column. One aggregation over the frame as given; pass
+    ``df.orderBy(...).limit(50)`` to judge by the first 50 rows only."""
+    aggregates: list[Column] = []
+    cells = []
+    for i, (name, kind) in enumerate(df.dtypes):
+        cell = F.nullif(F.col(name), F.lit("")) if kind == "string" else F.col(name)
+        aggregates += [
+            F.count(cell).alias(f"filled{i}"),
+            F.count(as_number(name, kind)).alias(f"numbers{i}"),
+        ]
+        cells.append(F.struct(
+            F.lit(name).alias("column_name"),
+            F.lit(i + 1).alias("position"),
+            F.col(f"filled{i}").alias("non_empty"),
+            F.col(f"numbers{i}").alias("castable"),
+        ))
+    part = F.try_divide(F.col("castable").cast("decimal(20,0)"), F.col("non_empty"))
+    return (
+        df.agg(*aggregates)
+        .select(F.inline(F.array(*cells)))
+        .withColumn("share", F.round(part, 4).cast("decimal(9,4)"))
+        .withColumn("is_numeric", F.coalesce(part >= F.lit(share), F.lit(False)))
+    )
+
+
+def chart_columns(df: DataFrame) -> tuple[list[str], list[str]]:
+    """Numeric and other columns. Typed frames are judged by type; a frame of text alone, as
+    uploads are, by the numbers in its first 50 rows, which takes one small job."""
+    numeric = [name for name, kind in df.dtypes if is_numeric_type(kind) or kind == "boolean"]
+    if not numeric:
+        profile = profile_numeric(df.limit(50)).where("is_numeric").select("column_name")
+        found = {row.column_name for row in profile.collect()}
+        numeric = [name for name in df.columns if name in found]
+    return numeric, [name for name in df.columns if name not in numeric]
+
+
+def _series_frame(
+    df: DataFrame, value: str, label: str | None, order_by: list[Column | str], points: int
+) -> DataFrame:
+    """The first ``points`` rows as (idx, x, y), numbers only. At most ``points`` rows are
+    left here, so the window over all of them is small."""
+    types = dict(df.dtypes)
+    first = (df.orderBy(*order_by) if order_by else df).limit(points)
+    order = Window.orderBy(*(order_by or [F.monotonically_increasing_id()]))
+    numbered = first.withColumn("idx", F.row_number().over(order))
+    x = as_label(label, types[label]) if label else F.col("idx").cast("string")
+    return numbered.select(
+        "idx", x.alias("x"), as_number(value, types[value]).alias("y")
+    ).where(F.col("y").isNotNull())
+
+
+def _hinted(question: str | None, hints: list[str]) -> bool:
+    return any(hint in (question or "").lower() for hint in hints)
+
+
+EMPTY_SERIES = (
+    "position int, x string, y double, chart_type string, value_column string, "
+    "label_column string, title string"
+)
+
+
+def series(
+    df: DataFrame,
+    question: str | None = None,
+    order_by: list[Column | str] | None = None,
+    value: str | None = None,
+    label: str | None = None,
+    points: int = 30,
+) -> DataFrame:
+    """Chart points (position, x, y) with the chart's type, columns and title on each row.
+
+    Fewer than two points give no rows. The type follows the question's words, else whether
+    the first label looks like a month. "Top" bars are sorted by value and cut to 15, time
+    lines by label. ``order_by`` says which rows are the first ones."""
+    if value is None:
+        numeric, others = chart_columns(df)
+        if not numeric:
+            return df.sparkSession.createDataFrame([], EMPTY_SERIES)
+        value = next((c for c in words.CHART_VALUES if c in numeric), numeric[0])
+        if label is None:
+            fallback = others[0] if others else None
+            label = next((c for c in words.CHART_LABELS if c in others), fallback)
+    for name in (value, label):
+        if name is not None and name not in df.columns:
+            raise ValueError(f"column not found: {name}")
+
+    rows = _series_frame(df, value, label, order_by or [], points)
+    whole = Window.orderBy("idx").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
+    looks_timed = F.col("x").rlike(r"^[0-9]{4}-[0-9]{2}")
+    if _hinted(question, words.LINE_HINTS):
+        kind = F.lit("line")
+    elif _hinted(question, words.BAR_HINTS):
+        kind = F.lit("bar")
+    else:
+        timed = F.first("x").over(whole).rlike(r"^[0-9]{4}-[0-9]{2}") & F.lit(label is not None)
+        kind = F.when(timed, "line").otherwise("bar")
+
+    top = F.lit(_hinted(question, words.TOP_HINTS)) & (F.col("chart_type") == "bar")
+    by_label = (
+        (F.col("chart_type") == "line") & F.col("any_timed") & F.lit(label is not None)
+    )
+    sorted_rows = Window.orderBy(
+        F.when(top, -F.col("y")), F.when(by_label, F.col("x")), F.col("idx")
+    )
+    return (
+        rows.withColumn("n", F.count("*").over(whole))
+        .withColumn("chart_type", kind)
+        .withColumn("any_timed", F.max(looks_timed).over(whole))
+        .where(F.col("n") >= 2)
+        .withColumn("position", F.row_number().over(sorted_rows))
+        .where(~top | (F.col("position") <= 15))
+        .select(
+            "position",
+            "x",
+            "y",
+            "chart_type",
+            F.lit(value).alias("value_column"),
+            F.lit(label or "index").alias("label_column"),
+            F.lit(f"{value} theo {label}" if label else value).alias("title"),
+        )
+    )
+
+
+def figure(
+    df: DataFrame, order_by: list[Column | str] | None = None, points: int = 24
+) -> DataFrame:
+    """The plain bar of a result block: first 24 rows, labels only from the preferred
+    columns, else the row number."""
+    numeric, others = chart_columns(df)
+    if not numeric:
+        return df.sparkSession.createDataFrame([], EMPTY_SERIES)
+    value = next((c for c in words.FIGURE_VALUES if c in numeric), numeric[0])
+    label = next((c for c in words.FIGURE_LABELS if c in others), None)
+    rows = _series_frame(df, value, label, order_by or [], points)
+    whole = Window.orderBy("idx").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
+    return (
+        rows.withColumn("n", F.count("*").over(whole))
+        .where(F.col("n") >= 2)
+        .select(
+            F.row_number().over(Window.orderBy("idx")).alias("position"),
+            "x",
+            "y",
+            F.lit("bar").alias("chart_type"),
+            F.lit(value).alias("value_column"),
+            F.lit(label or "index").alias("label_column"),
+            F.lit(f"{value} trend").alias("title"),
+        )
+    )
+
+
+def summary_branch(question: str | None) -> str:
+    if _hinted(question, words.CORRELATION_HINTS):
+        return "correlation"
+    return "drill_down" if _hinted(question, words.DRILL_HINTS) else "other"
+
+
+def summaries(df: DataFrame, question: str | None = None) -> dict[str, DataFrame]:
+    """The summaries a question asks for: correlation, drill-down, or all three. They read
+    the same input; persist a costly ``df`` before the call."""
+    branch = summary_branch(question)
+    if branch == "correlation":
+        return {"correlation": correlations(df)}
+    if branch == "drill_down":
+        return {"drill_down": drill_down(df)}
+    return {
+        "drill_down": drill_down(df),
+        "correlation": correlations(df),
+        "time_series": trend(df),
+    }
