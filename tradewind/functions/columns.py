@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Forms of a number that a text cell may hold; Java also reads "1d" and "2f", which are none.
-NUMBER_PATTERN = (
-    r"^\s*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?|nan))\s*$"
-)
+# Characters of a number in a text cell. Java also reads "1d" and "0x1p3", which are none.
+NUMBER_CHARACTERS = "0123456789+-.eE \t\r\n"
 
 
 def col(c: Column | str) -> Column:
@@ -56,18 +54,19 @@ def mean2(c: Column | str) -> Column:
 
 
 def as_number(c: Column | str, data_type: str) -> Column:
-    """The value as double, or NULL when it is no number. ``data_type`` is the column's
-    type name; only numbers, booleans and number-like text qualify."""
+    """The value as double, or NULL when it is no number, as NaN is none. ``data_type`` is
+    the column's type name; only numbers, booleans and number-like text qualify."""
     value = col(c)
     if data_type == "string":
-        value = F.when(value.rlike(NUMBER_PATTERN), F.trim(value)).try_cast("double")
-    elif data_type == "boolean":
-        value = value.cast("int").cast("double")
-    elif is_numeric_type(data_type):
-        value = value.cast("double")
-    else:
-        value = F.lit(None).cast("double")
-    return F.when(~F.isnan(value), value)
+        odd = F.translate(value, NUMBER_CHARACTERS, "")
+        return F.when(odd == "", value).try_cast("double")
+    if data_type == "boolean":
+        return value.cast("int").cast("double")
+    if data_type in {"float", "double"}:
+        return F.nullif(value.cast("double"), F.lit(float("nan")))
+    if is_numeric_type(data_type):
+        return value.cast("double")
+    return F.lit(None).cast("double")
 
 
 def is_numeric_type(data_type: str) -> bool:

@@ -7,7 +7,6 @@ questions is tagged in the scan stage, without a shuffle and without Python work
 from __future__ import annotations
 
 from datetime import date
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,14 +28,19 @@ def strip_space(c: Column | str) -> Column:
     return F.regexp_replace(col(c), f"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
+def phrase_list(phrases: list[str]) -> Column:
+    return F.array(*[F.lit(p) for p in phrases])
+
+
 def mentions(text: Column, phrases: list[str]) -> Column:
-    """True where the text holds any of the phrases."""
-    return reduce(Column.__or__, [F.contains(text, F.lit(p)) for p in phrases])
+    """True where the text holds any of the phrases. A loop over a constant list: spelled out
+    as one condition per phrase, the rules below outgrow what the JVM compiles."""
+    return F.exists(phrase_list(phrases), lambda p: F.contains(text, p))
 
 
 def hits(text: Column, phrases: list[str]) -> Column:
     """How many of the phrases the text holds."""
-    return reduce(Column.__add__, [F.contains(text, F.lit(p)).cast("int") for p in phrases])
+    return F.size(F.filter(phrase_list(phrases), lambda p: F.contains(text, p)))
 
 
 def intent_of(question: Column) -> Column:
@@ -52,7 +56,8 @@ def intent_of(question: Column) -> Column:
         .otherwise("sql_query")
     )
 
-    # The best score wins; of equal scores the earlier intent, hence the falling rank.
+    # The best score wins; of equal scores the earlier intent, hence the falling rank. It is
+    # only asked for where some phrase was found.
     scored = [
         ("schema_search", words.SCHEMA_WORDS),
         ("business_definition", words.DEFINITION_WORDS),
@@ -68,12 +73,13 @@ def intent_of(question: Column) -> Column:
         for rank, (intent, phrases) in enumerate(scored)
     ])
 
+    any_scored = sorted({phrase for _, phrases in scored for phrase in phrases})
     return (
         F.when(question.isNull() | (question == ""), "chitchat")
         .when(is_query, "sql_query")
         .when(mentions(question, words.HELP_WORDS), "help_request")
         .when(mentions(question, words.ANALYTICS_WORDS), analytics)
-        .when(best["score"] > 0, best["intent"])
+        .when(mentions(question, any_scored), best["intent"])
         .when(mentions(question, words.SMALL_TALK_WORDS), "chitchat")
         .when(F.size(F.split(question, " ")) <= 4, "chitchat")
         .when(question.rlike(r"(?U)^(show|list|find|get|give|tell|display)\b"), "sql_query")

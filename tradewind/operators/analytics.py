@@ -6,17 +6,15 @@ types are made when the plan is built; choices that depend on values are part of
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewind.functions import wordlists as words
 from tradewind.functions.columns import as_label, as_number, is_numeric_type
-from tradewind.operators.quality import union_all
 
 NUMERIC_SHARE = 0.6
-PAIRS_PER_PASS = 40
 
 
 def first_present(df: DataFrame, candidates: list[str]) -> str | None:
@@ -134,59 +132,64 @@ def correlations(df: DataFrame, columns: list[str] | None = None, n: int = 8) ->
     """Pearson coefficient of the column pairs, the ``n`` strongest first.
 
     A pair uses the rows where both are numbers and needs three of them and no constant
-    side. A column takes part when at least 60 % of its rows, and at least three, are
-    numbers. Every pair is a few moments of one aggregation, merged from partition to
-    partition without loss by subtraction; many pairs are split into several passes."""
+    side. Unless ``columns`` are named, a column takes part when at least 60 % of all rows,
+    and at least three, are numbers in it.
+
+    One scan: each row is unfolded into its column pairs, and the moments of a pair are
+    summed up in the same task, so one row per pair leaves it. The moments are Spark's
+    central ones, which merge between tasks without cancellation."""
     names = columns or number_columns(df)
     types = dict(df.dtypes)
-    numbers = df.select(*[as_number(name, types[name]).alias(name) for name in names])
-    order = {pair: i for i, pair in enumerate(combinations(names, 2))}
-    pairs = list(order)
-    if not pairs:
-        empty = "x string, y string, pearson double, n bigint"
-        return df.sparkSession.createDataFrame([], empty)
-
-    def one_pass(block: list[tuple[str, str]]) -> DataFrame:
-        moments: list[Column] = [F.count("*").alias("rows")]
-        cells = []
-        for a, b in block:
-            x, y = F.col(a), F.col(b)
-            i = order[a, b]
-            x_there, y_there = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-            moments += [
-                F.count(x).alias(f"x{i}"),
-                F.count(y).alias(f"y{i}"),
-                F.count(x_there).alias(f"n{i}"),
-                F.covar_pop(x, y).alias(f"c{i}"),
-                F.var_pop(x_there).alias(f"vx{i}"),
-                F.var_pop(y_there).alias(f"vy{i}"),
-            ]
-            cells.append(F.struct(
-                F.lit(i).alias("pair"),
-                F.lit(a).alias("x"),
-                F.lit(b).alias("y"),
-                F.least(f"x{i}", f"y{i}").alias("numbers"),
-                F.col(f"n{i}").alias("n"),
-                F.col(f"c{i}").alias("cov"),
-                F.col(f"vx{i}").alias("var_x"),
-                F.col(f"vy{i}").alias("var_y"),
-            ))
-        return numbers.agg(*moments).select("rows", F.inline(F.array(*cells)))
-
-    blocks = [pairs[i : i + PAIRS_PER_PASS] for i in range(0, len(pairs), PAIRS_PER_PASS)]
-    found = union_all([one_pass(block) for block in blocks]).where(
-        (F.col("n") >= 3) & (F.col("var_x") > 0) & (F.col("var_y") > 0)
+    numbers = df.select(*[as_number(name, types[name]).alias(f"c{i}") for i, name in enumerate(names)])
+
+    def cell(i: int, j: int, x: Column, y: Column) -> Column:
+        return F.struct(
+            F.lit(i).alias("i"), F.lit(j).alias("j"), x.alias("x"), y.alias("y")
+        )
+
+    # A column paired with itself counts its numbers; the pair (-1, -1) counts the rows.
+    one = F.lit(1.0)
+    cells = [cell(-1, -1, one, one)] + [
+        cell(i, j, F.col(f"c{i}"), F.col(f"c{j}"))
+        for i, j in combinations_with_replacement(range(len(names)), 2)
+    ]
+    moments = (
+        numbers.select(F.inline(F.array(*cells)))
+        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
+        .groupBy("i", "j")
+        .agg(
+            F.count("*").alias("n"),
+            F.covar_pop("x", "y").alias("cov"),
+            F.var_pop("x").alias("var_x"),
+            F.var_pop("y").alias("var_y"),
+        )
+    )
+
+    # From here on there is one row per pair of columns.
+    own = F.when(F.col("i") == F.col("j"), F.col("n"))
+    counted = moments.select(
+        "*",
+        F.max(own).over(Window.partitionBy("i")).alias("n_x"),
+        F.max(own).over(Window.partitionBy("j")).alias("n_y"),
+        F.max(F.when(F.col("i") < 0, F.col("n"))).over(Window.partitionBy()).alias("n_rows"),
     )
-    if columns is None:
-        wanted = F.greatest(F.lit(3.0), F.col("rows") * NUMERIC_SHARE)
-        found = found.where(F.col("numbers") >= wanted)
+    enough = F.greatest(F.lit(3.0), F.col("n_rows") * NUMERIC_SHARE)
+    numeric = F.lit(columns is not None) | (F.least("n_x", "n_y") >= enough)
     r = F.try_divide(F.col("cov"), F.sqrt(F.col("var_x") * F.col("var_y")))
+    label = F.array(*[F.lit(name) for name in names])
     return (
-        found.withColumn("pearson", F.round(r, 4))
+        counted.where((F.col("i") >= 0) & (F.col("i") < F.col("j")) & numeric)
+        .where((F.col("n") >= 3) & (F.col("var_x") > 0) & (F.col("var_y") > 0))
+        .withColumn("pearson", F.round(r, 4))
         .where(F.col("pearson").isNotNull())
-        .orderBy(F.abs("pearson").desc(), "pair")
+        .orderBy(F.abs("pearson").desc(), "i", "j")
         .limit(n)
-        .select("x", "y", "pearson", "n")
+        .select(
+            F.element_at(label, F.col("i") + 1).alias("x"),
+            F.element_at(label, F.col("j") + 1).alias("y"),
+            "pearson",
+            "n",
+        )
     )
 
 
@@ -260,12 +263,14 @@ def series(
     value: str | None = None,
     label: str | None = None,
     points: int = 30,
+    chart_type: str | None = None,
 ) -> DataFrame:
     """Chart points (position, x, y) with the chart's type, columns and title on each row.
 
-    Fewer than two points give no rows. The type follows the question's words, else whether
-    the first label looks like a month. "Top" bars are sorted by value and cut to 15, time
-    lines by label. ``order_by`` says which rows are the first ones."""
+    Fewer than two points give no rows. The type is the given one, else follows the
+    question's words, else whether the first label looks like a month. "Top" bars are sorted
+    by value and cut to 15. Lines are sorted by label if one label is a month, and for a
+    given type if all are. ``order_by`` says which rows are the first ones."""
     if value is None:
         numeric, others = chart_columns(df)
         if not numeric:
@@ -283,7 +288,9 @@ def series(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
     looks_timed = F.col("x").rlike(r"^[0-9]{4}-[0-9]{2}")
-    if _hinted(question, words.LINE_HINTS):
+    if chart_type is not None:
+        kind = F.lit(chart_type if chart_type in ("bar", "line") else "bar")
+    elif _hinted(question, words.LINE_HINTS):
         kind = F.lit("line")
     elif _hinted(question, words.BAR_HINTS):
         kind = F.lit("bar")
@@ -293,7 +300,7 @@ def series(
 
     top = F.lit(_hinted(question, words.TOP_HINTS)) & (F.col("chart_type") == "bar")
     by_label = (
-        (F.col("chart_type") == "line") & F.col("any_timed") & F.lit(label is not None)
+        (F.col("chart_type") == "line") & F.col("timed") & F.lit(label is not None)
     )
     sorted_rows = Window.orderBy(
         F.when(top, -F.col("y")), F.when(by_label, F.col("x")), F.col("idx")
@@ -301,7 +308,7 @@ def series(
     return (
         rows.withColumn("n", F.count("*").over(whole))
         .withColumn("chart_type", kind)
-        .withColumn("any_timed", F.max(looks_timed).over(whole))
+        .withColumn("timed", (F.max if chart_type is None else F.min)(looks_timed).over(whole))
         .where(F.col("n") >= 2)
         .withColumn("position", F.row_number().over(sorted_rows))
         .where(~top | (F.col("position") <= 15))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache, reduce
 from typing import Any, Protocol
@@ -11,6 +10,7 @@ from typing import Any, Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -156,22 +156,31 @@ class EmbeddingProvider(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]] | np.ndarray: ...
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=1 << 20)
 def _token_hash(token: str) -> int:
-    return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:15], 16)
+    return int.from_bytes(hashlib.md5(token.encode("utf-8")).digest()[:8], "big")
 
 
 class HashingProvider:
-    """Offline default: counts each token in one of ``dim`` places, then scales to length 1."""
+    """Offline default: counts each word in one of ``dim`` places, then scales to length 1.
+    Words are cut and numbered by Arrow for the whole batch; only distinct ones are hashed."""
 
     def __init__(self, dim: int = 384):
         self.dim = dim
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        for row, text in enumerate(texts):
-            places = [_token_hash(t) % self.dim for t in re.findall(r"\w+", text.lower())]
-            out[row] = np.bincount(places, minlength=self.dim) if places else 0
+        lowered = pc.utf8_lower(pa.array(texts, pa.large_string()))
+        words = pc.split_pattern_regex(lowered, r"[^\p{L}\p{N}_]+")
+        rows = np.asarray(pc.list_parent_indices(words))
+        coded = pc.list_flatten(words).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        places = np.array([_token_hash(w) % self.dim for w in distinct], dtype=np.int64)
+        real = np.array([w != "" for w in distinct], dtype=bool)
+        codes = np.asarray(coded.indices)
+        kept = real[codes]
+        cells = rows[kept] * self.dim + places[codes[kept]]
+        counts = np.bincount(cells, minlength=len(texts) * self.dim).astype(np.float64)
+        out = counts.reshape(len(texts), self.dim)
         lengths = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, lengths, out=np.zeros_like(out), where=lengths > 0)
 

@@ -693,6 +693,21 @@ def vector_queries() -> dict[str, str]:
             SELECT vec_id + 1000000000, CAST(label AS INTEGER), 2,
                 round(CAST(embedding[1] AS DOUBLE), 6)
             FROM embeddings WHERE label < 3""",
+        "embed_documents": r"""
+            WITH token AS (
+                SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS t
+                FROM documents
+            ), place AS (
+                SELECT doc_id, CAST(CAST('0x' || substr(md5(t), 1, 16) AS UBIGINT) % 64
+                    AS INTEGER) AS p, count(*) AS n FROM token GROUP BY ALL
+            ), shown AS (
+                SELECT doc_id, string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS filled,
+                    first(p ORDER BY n DESC, p) AS heaviest
+                FROM place GROUP BY doc_id
+            )
+            SELECT doc_id, 64 AS dim, coalesce(filled, '') AS filled,
+                coalesce(heaviest, 0) AS heaviest
+            FROM documents LEFT JOIN shown USING (doc_id)""",
         "index_size": "SELECT count(*) AS n_vectors FROM embeddings",
     }
 

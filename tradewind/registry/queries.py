@@ -474,14 +474,18 @@ def index_size(w: Warehouse) -> DataFrame:
 
 @register
 def embed_documents(w: Warehouse) -> DataFrame:
-    """Whole documents to vectors; shown by the number of places used and the length."""
-    vector = vectors.embed(
-        w.table("documents").select("doc_id", "text"), "text", vectors.HashingProvider(64)
+    """Whole documents to vectors, shown by the places that are filled."""
+    documents = w.table("documents").select("doc_id", "text")
+    vector = vectors.embed(documents, "text", vectors.HashingProvider(64))
+    filled = F.filter(
+        F.transform("embedding", lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull()
     )
-    filled = F.size(F.filter("embedding", lambda x: x != 0))
-    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    heaviest = F.array_position("embedding", F.array_max("embedding")) - 1
     return vector.select(
-        "doc_id", filled.alias("n_filled"), F.round(square, 3).alias("square_length")
+        "doc_id",
+        F.size("embedding").alias("dim"),
+        F.array_join(filled.cast("array<string>"), ",").alias("filled"),
+        heaviest.cast("int").alias("heaviest"),
     )
 
 

@@ -8,7 +8,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 # AQE splits skewed join partitions even where that costs one more shuffle, and sizes
-# partitions by bytes rather than by core count.
+# partitions by bytes rather than by core count. Generated methods longer than HotSpot
+# compiles are not used. Recording the Python line of every column expression is off, as it
+# costs JVM round trips while a plan is built.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -19,7 +21,9 @@ SETTINGS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.parquet.compression.codec": "zstd",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
