@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,13 @@ INVENTORY = (
 MAX_MATCHES = 300
 
 
-def column_inventory(spark: SparkSession, layers: list[str] | None = None) -> DataFrame:
-    """All columns of the layers' tables, from the catalog's metadata."""
+def column_inventory(
+    spark: SparkSession,
+    layers: list[str] | None = None,
+    lazy: Mapping[str, Mapping[str, DataFrame]] | None = None,
+) -> DataFrame:
+    """All columns of the layers' tables, from the catalog's metadata. ``lazy`` adds layers
+    that exist as frames only, as staging does: layer to table name to frame."""
     rows = [
         (layer, table.name, column.name, position, column.dataType, column.nullable)
         for layer in layers or LAYERS
@@ -28,6 +35,12 @@ def column_inventory(spark: SparkSession, layers: list[str] | None = None) -> Da
             spark.catalog.listColumns(f"{layer}.{table.name}"), start=1
         )
     ]
+    rows += [
+        (layer, table, field.name, position, field.dataType.simpleString(), field.nullable)
+        for layer, tables in (lazy or {}).items()
+        for table, df in tables.items()
+        for position, field in enumerate(df.schema.fields, start=1)
+    ]
     return spark.createDataFrame(rows, INVENTORY)
 
 

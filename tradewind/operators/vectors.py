@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache, reduce
+from itertools import chain
 from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -163,24 +164,18 @@ def _token_hash(token: str) -> int:
 
 class HashingProvider:
     """Offline default: counts each word in one of ``dim`` places, then scales to length 1.
-    Words are cut and numbered by Arrow for the whole batch; only distinct ones are hashed."""
+    Words are numbered for the whole batch, and only distinct ones are hashed."""
 
     def __init__(self, dim: int = 384):
         self.dim = dim
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        lowered = pc.utf8_lower(pa.array(texts, pa.large_string()))
-        words = pc.split_pattern_regex(lowered, r"[^\p{L}\p{N}_]+")
-        rows = np.asarray(pc.list_parent_indices(words))
-        coded = pc.list_flatten(words).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        words = [re.findall(r"\w+", text.lower()) for text in texts]
+        rows = np.repeat(np.arange(len(texts)), [len(found) for found in words])
+        codes, distinct = pd.factorize(np.array(list(chain.from_iterable(words)), dtype=object))
         places = np.array([_token_hash(w) % self.dim for w in distinct], dtype=np.int64)
-        real = np.array([w != "" for w in distinct], dtype=bool)
-        codes = np.asarray(coded.indices)
-        kept = real[codes]
-        cells = rows[kept] * self.dim + places[codes[kept]]
-        counts = np.bincount(cells, minlength=len(texts) * self.dim).astype(np.float64)
-        out = counts.reshape(len(texts), self.dim)
+        counts = np.bincount(rows * self.dim + places[codes], minlength=len(texts) * self.dim)
+        out = counts.astype(np.float64).reshape(len(texts), self.dim)
         lengths = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, lengths, out=np.zeros_like(out), where=lengths > 0)
 

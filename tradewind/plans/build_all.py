@@ -24,7 +24,8 @@ PARITY_TABLES = [
     "customers", "orders", "order_items", "order_payments", "products", "sellers",
     "order_reviews",
 ]
-INDEXED_LAYERS = ["marts", "serving", "staging"]
+INDEXED_LAYERS = ["marts", "serving"]
+BY_MONTH = ["order_month"]
 
 
 class FailedChecksError(RuntimeError):
@@ -48,11 +49,12 @@ def publish_staging(spark: SparkSession, raw: dict[str, DataFrame]) -> dict[str,
 def build_marts(staged: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Write dimensions, facts and KPIs in the order they depend on each other. Each is
     read back from its table, so nothing is computed twice and a lost executor costs no
-    more than the stage at hand."""
+    more than the stage at hand. Order facts are stored by month, which range queries on
+    the month then read in part."""
     tables: dict[str, DataFrame] = {}
 
-    def keep(name: str, df: DataFrame) -> DataFrame:
-        tables[name] = materialize(df, f"marts.{name}")
+    def keep(name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+        tables[name] = materialize(df, f"marts.{name}", partition_by)
         return tables[name]
 
     customers = keep("dim_customers", marts.dim_customers(staged["stg_customers"]))
@@ -68,8 +70,9 @@ def build_marts(staged: dict[str, DataFrame]) -> dict[str, DataFrame]:
             staged["stg_order_items"],
             staged["stg_order_payments"],
         ),
+        BY_MONTH,
     )
-    delivery = keep("fct_delivery_performance", marts.fct_delivery(orders))
+    delivery = keep("fct_delivery_performance", marts.fct_delivery(orders), BY_MONTH)
     keep("fct_sales_by_category", marts.sales_by_category(items))
     keep("kpi_monthly_sales", marts.kpi_monthly(orders))
     keep("delivery_performance_monthly", marts.delivery_monthly(delivery))
@@ -93,9 +96,11 @@ def check_report(
     )
 
 
-def build_index(spark: SparkSession, provider: vectors.EmbeddingProvider) -> None:
+def build_index(
+    spark: SparkSession, staged: dict[str, DataFrame], provider: vectors.EmbeddingProvider
+) -> None:
     """Documents of the tables and of the glossary, embedded and stored."""
-    inventory = catalog.column_inventory(spark, INDEXED_LAYERS)
+    inventory = catalog.column_inventory(spark, INDEXED_LAYERS, {"staging": staged})
     for name, documents in (
         ("schema_index", catalog.table_documents(inventory)),
         ("glossary_index", catalog.glossary_documents(spark)),
@@ -122,5 +127,5 @@ def build_all(
         raise FailedChecksError(f"data checks failed: {', '.join(sorted(failed))}")
     publish_serving(spark)
     require_objects(spark)
-    build_index(spark, provider or vectors.HashingProvider())
+    build_index(spark, staged, provider or vectors.HashingProvider())
     return Build(run_id, report)

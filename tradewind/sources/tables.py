@@ -33,7 +33,12 @@ def ensure_namespaces(spark: SparkSession, names: list[str] | None = None) -> No
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Replace a parquet table and return it. The written table cuts the lineage."""
+    """Replace a parquet table and return it. The written table cuts the lineage.
+
+    For a partitioned table rows of one partition are brought together first, and AQE splits
+    the large partitions again, so that files have a useful size either way."""
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite").format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
