@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from tradewind.operators import catalog, quality
+from tradewind.operators import catalog, quality, vectors
 from tradewind.plans.build_all import FailedChecksError, build_all
 from tradewind.plans.kpis import dashboard
 from tradewind.sources import landing, raw, tables
@@ -198,6 +198,14 @@ def test_full_build(spark, delivery):
     assert "- order_id (string)" in index.where("table_name = 'fct_orders'").collect()[0].document
     assert spark.table("marts.glossary_index").count() == 4
 
+    hits = vectors.retrieve(
+        spark.table("marts.glossary_index"), ["gross merchandise value", "delay in days"],
+        vectors.HashingProvider(), 2, payload=["key", "document"],
+    )
+    assert {r.query_id: r.key for r in hits.where("rank = 1").collect()} == {
+        "gross merchandise value": "gmv", "delay in days": "delivery_delay_days"}
+    assert vectors.pack_context(hits).count() == 2
+
     board = dashboard(spark, "2018-08-01", None, 5)
     assert board.warnings == []
     assert board.summary.series_row_count.collect()[0][0] == 1

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterator, Mapping, Sequence
-from functools import lru_cache, reduce
+from functools import reduce
 from itertools import chain
 from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -22,6 +24,9 @@ from tradewind.operators.ranking import first_per_group
 QUERY_BYTES = 32 * 1024 * 1024
 SCORE_PLACES = 6
 
+# The functions below travel to the tasks as they are; executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def upsert_vectors(
     base: DataFrame,
@@ -157,7 +162,6 @@ class EmbeddingProvider(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]] | np.ndarray: ...
 
 
-@lru_cache(maxsize=1 << 20)
 def _token_hash(token: str) -> int:
     return int.from_bytes(hashlib.md5(token.encode("utf-8")).digest()[:8], "big")
 
@@ -193,3 +197,13 @@ def embed(
             yield pd.Series(list(found))
 
     return df.withColumn(name, vectors(F.col(text)))
+
+
+def retrieve(
+    index: DataFrame, questions: Sequence[str], provider: EmbeddingProvider, k: int = 5, **options
+) -> DataFrame:
+    """The ``k`` nearest documents of an index per question, best first; ``options`` as of
+    :func:`vector_topk`. An empty index gives no rows."""
+    found = provider.embed(list(questions))
+    queries = {question: list(map(float, v)) for question, v in zip(questions, found, strict=True)}
+    return vector_topk(index, queries, k, **options)
