@@ -77,6 +77,23 @@ def test_large_files_are_split_only_when_safe(spark, tmp_path, monkeypatch):
         assert sorted(tuple(r) for r in rows) == wanted
 
 
+def test_split_files_skip_the_byte_order_mark(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(raw, "WHOLE_FILE_BYTES", 10)
+    spec = SPEC["product_category_translation"]
+    text = ",".join(spec.columns) + "\r\nx,\r\n\"\",\"a,b\"\r\n"
+    write(Path(spec.path(str(tmp_path))), text, "utf-8-sig")
+    rows = raw.read_raw(spark, spec, str(tmp_path)).collect()
+    assert [tuple(r) for r in rows] == [("x", None), ("", "a,b")]
+
+
+def test_a_folder_of_parts_is_one_source(spark, tmp_path):
+    spec = SPEC["product_category_translation"]
+    for part in ("one.csv", "two.csv"):
+        write(Path(spec.path(str(tmp_path))) / part, ",".join(spec.columns) + f"\n{part},y\n")
+    rows = raw.read_raw(spark, spec, str(tmp_path)).collect()
+    assert sorted(r[0] for r in rows) == ["one.csv", "two.csv"]
+
+
 def test_missing_file_marks_the_run_failed(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="customers_dataset.csv"):
         raw.load_all(spark, str(tmp_path))

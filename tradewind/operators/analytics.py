@@ -140,7 +140,9 @@ def correlations(df: DataFrame, columns: list[str] | None = None, n: int = 8) ->
     central ones, which merge between tasks without cancellation."""
     names = columns or number_columns(df)
     types = dict(df.dtypes)
-    numbers = df.select(*[as_number(name, types[name]).alias(f"c{i}") for i, name in enumerate(names)])
+    numbers = df.select(*[
+        as_number(name, types[name]).alias(f"c{i}") for i, name in enumerate(names)
+    ])
 
     def cell(i: int, j: int, x: Column, y: Column) -> Column:
         return F.struct(

@@ -83,7 +83,8 @@ class Check:
 
 
 def keys(table: str, *columns: str) -> list[Check]:
-    return [c for name in columns for c in (Check("not_null", table, name), Check("unique", table, name))]
+    kinds = ("not_null", "unique")
+    return [Check(kind, table, name) for name in columns for kind in kinds]
 
 
 def required(table: str, *columns: str) -> list[Check]:

@@ -255,7 +255,9 @@ class Warehouse:
             F.concat(F.lit(" r"), F.col("doc_id").cast("string")).alias("review_id"),
             F.concat(F.col("doc_id").cast("string"), F.lit(" ")).alias("order_id"),
             score.alias("review_score"),
-            F.when(F.col("lang") == "en", "").otherwise(F.col("lang")).alias("review_comment_title"),
+            F.when(F.col("lang") != "en", F.col("lang"))
+            .otherwise("")
+            .alias("review_comment_title"),
             F.col("text").alias("review_comment_message"),
             F.lit("2018-01-02 03:04:05").alias("review_creation_date"),
             F.when(F.col("toxic") == 1, "2018-02-03 00:00:00").otherwise("").alias(

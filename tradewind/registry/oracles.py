@@ -360,14 +360,14 @@ def checks() -> dict[str, str]:
     report = "\nUNION ALL ".join(rules)
     return {
         "dq_not_null": """
-            SELECT o_orderkey, CASE WHEN o_custkey % 97 <> 0 THEN o_custkey END AS o_custkey
-            FROM orders WHERE o_custkey % 97 = 0""",
+            SELECT o_orderkey, CAST(NULL AS BIGINT) AS o_custkey
+            FROM orders WHERE o_orderpriority = '5-LOW'""",
         "dq_unique": """
-            SELECT l_orderkey, count(*) AS n_rows FROM lineitem WHERE l_orderkey % 11 <> 0
+            SELECT l_orderkey, count(*) AS n_rows FROM lineitem WHERE l_returnflag <> 'N'
             GROUP BY 1 HAVING count(*) > 1""",
         "dq_relationships": query(ORDERS, """
-            SELECT order_id, count(*) AS n_rows FROM i
-            WHERE order_id % 13 <> 0 AND order_id NOT IN
+            SELECT l_orderkey AS order_id, count(*) AS n_rows FROM lineitem
+            WHERE l_returnflag <> 'N' AND l_orderkey NOT IN
                 (SELECT order_id FROM o WHERE order_delivered_customer_ts IS NOT NULL)
             GROUP BY 1"""),
         "dq_row_parity": """

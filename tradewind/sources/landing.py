@@ -74,8 +74,9 @@ def read_upload(spark: SparkSession, path: str) -> DataFrame:
         .limit(MAX_ROWS)
     )
     # In a whole row an empty cell is an empty text, not a missing one.
+    whole = F.col(BAD_ROW).isNull()
     return rows.select(*[
-        F.when(F.col(BAD_ROW).isNull(), F.coalesce(F.col(name), F.lit(""))).otherwise(F.col(name)).alias(name)
+        F.when(whole, F.coalesce(name, F.lit(""))).otherwise(F.col(name)).alias(name)
         for name in names
     ])
 
