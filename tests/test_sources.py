@@ -147,16 +147,16 @@ def test_landing_keeps_the_first_rows(spark, tmp_path, monkeypatch):
 
 
 def test_landing_refuses(spark, tmp_path, monkeypatch):
-    with pytest.raises(ValueError, match="invalid identifier"):
+    with pytest.raises(ValueError, match="cannot name"):
         landing.read_upload(spark, str(write(tmp_path / "a.csv", "2018,b\n1,2\n")))
     with pytest.raises(ValueError, match="not distinct"):
         landing.read_upload(spark, str(write(tmp_path / "b.csv", "a b,a-b\n1,2\n")))
-    with pytest.raises(ValueError, match="unsupported"):
+    with pytest.raises(ValueError, match="CSV text"):
         landing.read_upload(spark, str(write(tmp_path / "c.pdf", "a\n1\n")))
     with pytest.raises(FileNotFoundError):
         landing.read_upload(spark, str(tmp_path / "none.csv"))
     monkeypatch.setattr(landing, "MAX_BYTES", 3)
-    with pytest.raises(ValueError, match="too large"):
+    with pytest.raises(ValueError, match="exceeds"):
         landing.read_upload(spark, str(write(tmp_path / "d.csv", "a\n1\n2\n")))
 
 

@@ -31,14 +31,14 @@ class Landed:
 
 
 def slug(name: str) -> str:
-    """Lower-case name of letters, digits and underscores; ``data`` if nothing is left."""
-    words = re.sub(r"[^a-zA-Z0-9_]+", "_", name)
-    return words.strip("_").lower()[:MAX_NAME] or "data"
+    """Lower-case name of ASCII letters, digits and underscores; ``data`` if nothing is left."""
+    joined = "_".join(re.findall("[a-z0-9_]+", name, re.ASCII | re.IGNORECASE))
+    return joined.strip("_").lower()[:MAX_NAME] or "data"
 
 
 def identifier(name: str) -> str:
-    if not re.fullmatch(r"[a-zA-Z_][a-zA-Z0-9_]*", name):
-        raise ValueError(f"invalid identifier: {name}")
+    if not (name.isascii() and name.isidentifier()):
+        raise ValueError(f"cannot name a table or column {name!r}")
     return name
 
 
@@ -52,13 +52,13 @@ def read_upload(spark: SparkSession, path: str) -> DataFrame:
     if not sizes:
         raise FileNotFoundError(f"upload not found: {path}")
     if sum(sizes) > MAX_BYTES:
-        raise ValueError(f"file too large: {sum(sizes)} bytes (max {MAX_BYTES})")
+        raise ValueError(f"upload of {sum(sizes)} bytes exceeds {MAX_BYTES}")
     if path.rpartition(".")[2].lower() not in EXTENSIONS:
-        raise ValueError(f"unsupported file type: {path}")
+        raise ValueError(f"uploads are CSV text, not {path}")
 
     header = csv_reader(spark, multiline=True).option("header", False).csv(path).first()
     if header is None:
-        raise ValueError("CSV has no header row")
+        raise ValueError(f"no header in {path}")
     names = [identifier(slug(cell or "")) for cell in header]
     if len(set(names)) < len(names):
         raise ValueError(f"column names are not distinct: {names}")
