@@ -5,6 +5,8 @@ from decimal import Decimal as D
 
 import pytest
 
+from pyspark.sql.functions import lit
+
 from tradewind.functions.columns import mean2, stable_id, typed
 from tradewind.operators import ranking
 from tradewind.plans import kpis, marts, staging
@@ -177,10 +179,31 @@ def test_overview_both_ways(orders):
     assert one[0].avg_delivery_delay_days == D("0.33")
 
 
+def test_overview_counts_copies_as_the_join_does(orders):
+    copies = orders.unionByName(orders.where("order_id IN ('o1', 'o3', 'o5')"))
+    copies = copies.unionByName(orders.where("order_id = 'o2'").withColumn("order_id", lit(None)))
+    delivery = marts.fct_delivery(copies)
+    joined = copies.join(delivery.select("order_id", "delivery_delay_days"), "order_id", "left")
+    wanted = joined.selectExpr(
+        "count(*) AS total_orders",
+        "count_if(is_delivered) AS delivered_orders",
+        "sum(payment_total) AS gmv",
+        "round(sum(delivery_delay_days) / count(delivery_delay_days), 2) AS delay",
+        "round(sum(payment_total) / count(payment_total), 2) AS value",
+    ).collect()[0]
+    row = marts.kpi_overview(copies, delivery).collect()[0]
+    assert (row.total_orders, row.delivered_orders) == (13, 12)
+    assert (wanted.total_orders, wanted.delivered_orders) == (13, 12)
+    assert row.gmv == wanted.gmv and row.avg_order_value == wanted.value
+    assert float(row.avg_delivery_delay_days) == wanted.delay
+    assert str(row.delivered_order_rate) == "0.9231"
+
+
 def test_empty_input(orders):
     none = orders.where("1 = 0")
     row = marts.kpi_overview(none).collect()
     assert len(row) == 1 and row[0].total_orders == 0 and row[0].gmv is None
+    assert marts.kpi_overview(none, marts.fct_delivery(none)).collect() == row
     assert marts.kpi_monthly(none).count() == 0
 
 

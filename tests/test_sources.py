@@ -160,6 +160,16 @@ def test_landing_refuses(spark, tmp_path, monkeypatch):
         landing.read_upload(spark, str(write(tmp_path / "d.csv", "a\n1\n2\n")))
 
 
+def test_a_failed_write_does_not_block_the_next(spark):
+    tables.ensure_namespaces(spark)
+    bad = spark.range(100).selectExpr("id", "if(id = 77, raise_error('no'), 1) AS v")
+    with pytest.raises(Exception, match="no"):
+        tables.materialize(bad.repartition(4), "raw.second_try")
+    good = tables.materialize(spark.range(5), "raw.second_try")
+    assert sorted(r.id for r in good.collect()) == [0, 1, 2, 3, 4]
+    assert tables.materialize(spark.range(2), "raw.second_try").count() == 2
+
+
 def test_curated_layers_only(spark):
     with pytest.raises(PermissionError):
         tables.read_curated(spark, "raw.orders")

@@ -70,6 +70,29 @@ def test_upsert(spark):
         vectors.upsert_vectors(base, delta, dim=2).collect()
 
 
+def test_stored_collection(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS vectors")
+
+    def rows(*cells):
+        return spark.createDataFrame(list(cells), "id int, embedding array<float>, p string")
+
+    def stored():
+        return sorted((r.id, r.p) for r in spark.table("vectors.points").collect())
+
+    vectors.store_vectors(rows((1, [1.0], "a"), (2, [2.0], "b")), "vectors.points", 1)
+    vectors.store_vectors(rows((2, [3.0], "c"), (3, [3.0], "d")), "vectors.points", 1)
+    assert stored() == [(1, "a"), (2, "c"), (3, "d")]
+    with pytest.raises(ValueError, match="1 numbers, not 2"):
+        vectors.store_vectors(rows((4, [1.0, 2.0], "e")), "vectors.points", 2)
+    with pytest.raises(Exception, match="expected 1"):
+        vectors.store_vectors(rows((4, [1.0, 2.0], "e")), "vectors.points", 1)
+
+    vectors.store_vectors(rows((9, [9.0], "z")), "vectors.points", 1)
+    assert stored() == [(1, "a"), (2, "c"), (3, "d"), (9, "z")]
+    names = [t.name for t in spark.catalog.listTables("vectors")]
+    assert len(names) == 2 and "points" in names
+
+
 def test_context(spark):
     hits = spark.createDataFrame(
         [("q", 2, 0.25, "two"), ("q", 1, 0.5, "one"), ("q", 3, 0.125, None)],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,9 @@ INVENTORY = (
 )
 MAX_MATCHES = 300
 
+# Tables that hold the content of a stored collection; the collection itself is a view.
+VERSION = re.compile("__[0-9a-f]{32}$")
+
 
 def column_inventory(
     spark: SparkSession,
@@ -30,7 +34,7 @@ def column_inventory(
         for layer in layers or LAYERS
         if spark.catalog.databaseExists(layer)
         for table in spark.catalog.listTables(layer)
-        if not table.isTemporary
+        if not table.isTemporary and not VERSION.search(table.name)
         for position, column in enumerate(
             spark.catalog.listColumns(f"{layer}.{table.name}"), start=1
         )

@@ -8,6 +8,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from tradewind.functions.text import strip_space
+
 MAX_ROWS = 5_000
 DEFAULT_ROWS = 500
 
@@ -83,15 +85,18 @@ def conversation_context(
     width: int = 300,
 ) -> DataFrame:
     """The last ``n`` turns of each conversation as ``ROLE: text`` lines, oldest first.
-    Turns without role or text are dropped after the cut to ``n``."""
-    said = F.regexp_replace(F.col(text), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
-    last = first_per_group(df, [conversation], [F.col(turn).desc()], n)
-    lines = last.select(
-        conversation, turn, F.col(role).alias("_role"), said.alias("_said")
-    ).where((F.length("_role") > 0) & (F.length("_said") > 0))
-    line = F.concat(F.upper("_role"), F.lit(": "), F.substring("_said", 1, width))
+    Turns without role or text are dropped after the cut to ``n``. Texts are cut to their
+    ``width`` before they are shuffled."""
+    said = F.substring(strip_space(text), 1, width)
+    turns = df.select(conversation, turn, F.col(role).alias("_role"), said.alias("_said"))
+    last = first_per_group(turns, [conversation], [F.col(turn).desc()], n)
+    line = F.concat(F.upper("_role"), F.lit(": "), F.col("_said"))
     ordered = F.array_sort(F.collect_list(F.struct(F.col(turn), line.alias("line"))))
-    return lines.groupBy(conversation).agg(
-        F.count("*").alias("n_turns"),
-        F.array_join(ordered["line"], "\n").alias("context"),
+    return (
+        last.where((F.length("_role") > 0) & (F.length("_said") > 0))
+        .groupBy(conversation)
+        .agg(
+            F.count("*").alias("n_turns"),
+            F.array_join(ordered["line"], "\n").alias("context"),
+        )
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import sys
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 from itertools import chain
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tradewind.operators.ranking import first_per_group
+from tradewind.sources.tables import materialize
 
 # Bytes of query vectors that go out to the tasks at once; more queries make more passes.
 QUERY_BYTES = 32 * 1024 * 1024
@@ -53,6 +55,32 @@ def upsert_vectors(
     return kept.unionByName(delta.select(*base.columns))
 
 
+def store_vectors(
+    delta: DataFrame, name: str, dim: int, key: str = "id", vector: str = "embedding"
+) -> DataFrame:
+    """Upsert into a stored collection; the first call creates it with its fixed ``dim``.
+
+    A collection is a view over the table of its latest content. New content is written to a
+    table of its own, then the view is pointed at it, so readers and a run that breaks off
+    never see half of it."""
+    spark = delta.sparkSession
+    base = delta.limit(0)
+    if spark.catalog.tableExists(name):
+        base = spark.table(name)
+        stored = base.select(F.size(vector).alias("dim")).first()
+        if stored is not None and stored.dim != dim:
+            raise ValueError(f"{name} holds vectors of {stored.dim} numbers, not {dim}")
+    fresh = f"{name}__{uuid.uuid4().hex}"
+    materialize(upsert_vectors(base, delta, key, vector, dim), fresh)
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {fresh}")
+    layer, _, short = name.rpartition(".")
+    for table in spark.catalog.listTables(layer or None):
+        version = re.fullmatch(re.escape(short) + "__[0-9a-f]{32}", table.name)
+        if version and not fresh.endswith(table.name):
+            spark.sql(f"DROP TABLE {layer + '.' if layer else ''}{table.name}")
+    return spark.table(name)
+
+
 def _vectors(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = np.asarray(lists.flatten(), dtype=np.float64)

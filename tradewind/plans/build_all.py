@@ -46,11 +46,11 @@ def publish_staging(spark: SparkSession, raw: dict[str, DataFrame]) -> dict[str,
     return staged
 
 
-def build_marts(staged: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def build_marts(staged: dict[str, DataFrame], unique_orders: bool) -> dict[str, DataFrame]:
     """Write dimensions, facts and KPIs in the order they depend on each other. Each is
     read back from its table, so nothing is computed twice and a lost executor costs no
     more than the stage at hand. Order facts are stored by month, which range queries on
-    the month then read in part."""
+    the month then read in part. ``unique_orders`` says that order ids can be relied on."""
     tables: dict[str, DataFrame] = {}
 
     def keep(name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
@@ -71,7 +71,7 @@ def build_marts(staged: dict[str, DataFrame]) -> dict[str, DataFrame]:
     keep("fct_sales_by_category", marts.sales_by_category(items))
     keep("kpi_monthly_sales", marts.kpi_monthly(orders))
     keep("delivery_performance_monthly", marts.delivery_monthly(delivery))
-    keep("kpi_overview", marts.kpi_overview(orders))
+    keep("kpi_overview", marts.kpi_overview(orders, None if unique_orders else delivery))
     return tables
 
 
@@ -100,7 +100,8 @@ def build_index(
         ("schema_index", catalog.table_documents(inventory)),
         ("glossary_index", catalog.glossary_documents(spark)),
     ):
-        materialize(vectors.embed(documents, "document", provider), f"marts.{name}")
+        embedded = vectors.embed(documents, "document", provider)
+        vectors.store_vectors(embedded, f"marts.{name}", provider.dim)
 
 
 def build_all(
@@ -115,7 +116,7 @@ def build_all(
     run_id = load_all(spark, source, prefix)
     raw = {spec.table: spark.table(f"raw.{spec.table}") for spec in SOURCES}
     staged = publish_staging(spark, raw)
-    tables = build_marts(staged)
+    tables = build_marts(staged, unique_orders=strict)
     report = materialize(check_report(raw, staged, tables), "marts.check_report")
     failed = [row.check_name for row in report.where("status = 'fail'").collect()]
     if failed and strict:

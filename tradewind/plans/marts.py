@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.functions.columns import first_of_month, mean2, rate
+from tradewind.functions.columns import first_of_month, mean2, quotient, rate
 from tradewind.operators.joins import lookup
 
 MONEY = "decimal(14,2)"
@@ -179,29 +179,51 @@ def delivery_monthly(delivery: DataFrame) -> DataFrame:
     )
 
 
-def _overview(rows: DataFrame) -> DataFrame:
-    delivered = F.count_if("is_delivered")
-    return rows.agg(
-        F.count("*").alias("total_orders"),
-        delivered.alias("delivered_orders"),
-        rate(delivered, F.count("*")).alias("delivered_order_rate"),
-        F.sum("payment_total").cast(TOTAL).alias("gmv"),
-        mean2("payment_total").alias("avg_order_value"),
-        mean2("delivery_delay_days").alias("avg_delivery_delay_days"),
-    )
-
-
 def kpi_overview(orders: DataFrame, delivery: DataFrame | None = None) -> DataFrame:
     """One row of totals, also over no orders.
 
-    With ``delivery`` the two facts are joined on ``order_id``. Without it the delay is
-    taken from the order itself: the delivery fact is a filter of the order fact and
-    ``order_id`` is its tested key, so the join of two large facts can be left out."""
-    if delivery is not None:
-        return _overview(
-            orders.join(delivery.select("order_id", "delivery_delay_days"), "order_id", "left")
+    The measures are those of orders left join deliveries on ``order_id``. The delivery fact
+    is a filter of the order fact, so while ``order_id`` is unique, which the build checks
+    before it publishes, no join is needed. With ``delivery`` given nothing is assumed: both
+    facts are summed per order first, so that copies of an order are counted as the join
+    would count them and never become rows."""
+    if delivery is None:
+        counted = (F.col("order_status") == "delivered") & F.col("order_id").isNotNull()
+        delay = F.when(counted, delivery_delay_days())
+        delivered = F.count_if("is_delivered")
+        return orders.withColumn("delay", delay).agg(
+            F.count("*").alias("total_orders"),
+            delivered.alias("delivered_orders"),
+            rate(delivered, F.count("*")).alias("delivered_order_rate"),
+            F.sum("payment_total").cast(TOTAL).alias("gmv"),
+            mean2("payment_total").alias("avg_order_value"),
+            mean2("delay").alias("avg_delivery_delay_days"),
         )
-    counted = (F.col("order_status") == "delivered") & F.col("order_id").isNotNull()
-    return _overview(
-        orders.withColumn("delivery_delay_days", F.when(counted, delivery_delay_days()))
+
+    per_order = orders.groupBy("order_id").agg(
+        F.count("*").alias("n"),
+        F.count_if("is_delivered").alias("n_delivered"),
+        F.count("payment_total").alias("n_paid"),
+        F.sum("payment_total").alias("paid"),
+    )
+    per_delivery = delivery.groupBy("order_id").agg(
+        F.count("*").alias("matches"),
+        F.count("delivery_delay_days").alias("n_delays"),
+        F.sum("delivery_delay_days").alias("delay"),
+    )
+    # An order row appears once per match, and once without any.
+    times = F.greatest(F.coalesce("matches", F.lit(1)), F.lit(1))
+    rows = F.sum(F.col("n") * times)
+    delivered = F.sum(F.col("n_delivered") * times)
+    gmv = F.sum(F.col("paid") * times).cast(TOTAL)
+    delays = F.sum(F.col("delay") * F.col("n")).cast(TOTAL)
+    return per_order.join(per_delivery, "order_id", "left").agg(
+        F.coalesce(rows, F.lit(0)).alias("total_orders"),
+        F.coalesce(delivered, F.lit(0)).alias("delivered_orders"),
+        rate(delivered, rows).alias("delivered_order_rate"),
+        gmv.alias("gmv"),
+        quotient(gmv, F.sum(F.col("n_paid") * times), 2).cast(MONEY).alias("avg_order_value"),
+        quotient(delays, F.sum(F.col("n_delays") * F.col("n")), 2)
+        .cast(MONEY)
+        .alias("avg_delivery_delay_days"),
     )
