@@ -89,7 +89,7 @@ def test_stored_collection(spark):
 
     vectors.store_vectors(rows((9, [9.0], "z")), "vectors.points", 1)
     assert stored() == [(1, "a"), (2, "c"), (3, "d"), (9, "z")]
-    names = [t.name for t in spark.catalog.listTables("vectors")]
+    names = [t.name for t in spark.catalog.listTables("vectors") if not t.isTemporary]
     assert len(names) == 2 and "points" in names
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import SparkSession
 # partitions by bytes rather than by core count; where every partition of a join's smaller
 # side turns out small, facts are hashed and not sorted. Generated methods longer than HotSpot
 # compiles are not used. A first write that failed leaves scratch files at the table's place;
-# the next run may write over them. Recording the Python line of every column expression is off, as it
-# costs JVM round trips while a plan is built.
+# the next run may write over them. The Python line of every column expression is not
+# recorded, as that costs JVM round trips while a plan is built.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
