@@ -9,10 +9,9 @@ from pyspark.sql import SparkSession
 
 # AQE splits skewed join partitions even where that costs one more shuffle, and sizes
 # partitions by bytes rather than by core count; where every partition of a join's smaller
-# side turns out small, facts are hashed and not sorted. Generated methods longer than HotSpot
-# compiles are not used. A first write that failed leaves scratch files at the table's place;
-# the next run may write over them. The Python line of every column expression is not
-# recorded, as that costs JVM round trips while a plan is built.
+# side turns out small, facts are hashed and not sorted. A first write that failed leaves
+# scratch files at the table's place; the next run may write over them. The Python line of
+# every column expression is not recorded, as that costs JVM round trips while a plan is built.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -24,7 +23,6 @@ SETTINGS = {
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.parquet.compression.codec": "zstd",
-    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.legacy.allowNonEmptyLocationInCTAS": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
