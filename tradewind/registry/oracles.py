@@ -242,7 +242,8 @@ def marts() -> dict[str, str]:
 
 def staging() -> dict[str, str]:
     orders = """
-        SELECT CAST(order_id AS VARCHAR) AS order_id, CAST(customer_id AS VARCHAR) AS customer_id,
+        SELECT coalesce(CAST(order_id AS VARCHAR), '') AS order_id,
+            coalesce(CAST(customer_id AS VARCHAR), '') AS customer_id,
             order_status, order_purchase_ts, order_approved_ts,
             order_delivered_customer_ts AS order_delivered_carrier_ts,
             order_delivered_customer_ts, order_estimated_delivery_ts
@@ -360,8 +361,10 @@ def checks() -> dict[str, str]:
     report = "\nUNION ALL ".join(rules)
     return {
         "dq_not_null": """
-            SELECT o_orderkey, CAST(NULL AS BIGINT) AS o_custkey
-            FROM orders WHERE o_orderpriority = '5-LOW'""",
+            SELECT * FROM (SELECT o_orderkey,
+                    CASE WHEN o_orderpriority <> '5-LOW' THEN o_custkey END AS o_custkey
+                FROM orders) AS k
+            WHERE o_custkey IS NULL""",
         "dq_unique": """
             SELECT l_orderkey, count(*) AS n_rows FROM lineitem WHERE l_returnflag <> 'N'
             GROUP BY 1 HAVING count(*) > 1""",

@@ -96,7 +96,10 @@ def csv_roundtrip(w: Warehouse) -> DataFrame:
     """Orders written as a source file to the shared folder, loaded and staged."""
     folder = shared_folder(w.spark, "csv")
     spec = next(s for s in SOURCES if s.table == "orders")
-    w.raw_orders.write.option("header", True).option("emptyValue", "").csv(spec.path(folder))
+    writer = w.raw_orders.write.option("header", True).option("emptyValue", "")
+    for side in ("ignoreLeadingWhiteSpace", "ignoreTrailingWhiteSpace"):
+        writer = writer.option(side, False)
+    writer.csv(spec.path(folder))
     return stg_orders(read_raw(w.spark, spec, folder))
 
 
