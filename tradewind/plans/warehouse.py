@@ -104,7 +104,7 @@ class Warehouse:
 
     @cached_property
     def customers(self) -> DataFrame:
-        """The order-scoped id and the person; the place comes with :meth:`placed`."""
+        """The order-scoped id and the person; ``placed_customers`` adds the place."""
         return self.table("customer").select(
             F.col("c_custkey").alias("customer_id"),
             F.col("c_name").alias("customer_unique_id"),
