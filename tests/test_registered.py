@@ -4,9 +4,9 @@ import pytest
 from compare import connect, oracle_rows, spark_rows
 
 import __spark_entry__ as driver
+from tradewind.registry.queries import REGISTERED as QUERIES
 
-QUERIES = driver.queries()
-SQL = driver.oracle_sql()
+SQL = {name: sql for name, sql in driver.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")
