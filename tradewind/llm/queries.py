@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from tradewind.llm.decontaminate import OP3_SQL, op3_decontaminate
 from tradewind.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from tradewind.llm.mixing import OP8_SQL, op8_mix_sources
+from tradewind.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_decontaminate": op3_decontaminate,
     "op8_mix_sources": op8_mix_sources,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES = {
+    "op2_substring_dedup": OP2_SQL,
+    "op3_decontaminate": OP3_SQL,
     "op8_mix_sources": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
