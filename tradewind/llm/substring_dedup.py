@@ -77,12 +77,11 @@ def _half_windows(batches, window: int, gather: int) -> Iterator[pa.RecordBatch]
         order = np.argsort(hashes)
         hashes, ids = hashes[order], ids[order]
         at = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        least, greatest = np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at)
+        # Rows of a document together: what they share is compressed away in the shuffle.
+        order = np.argsort(least, kind="stable")
         yield from pa.Table.from_arrays(
-            [
-                signed(hashes[at]),
-                pa.array(np.minimum.reduceat(ids, at)),
-                pa.array(np.maximum.reduceat(ids, at)),
-            ],
+            [signed(hashes[at][order]), pa.array(least[order]), pa.array(greatest[order])],
             ["hash", "least", "greatest"],
         ).to_batches(max_chunksize=100_000)
 
@@ -113,7 +112,7 @@ def _whole_windows(batches, window: int, gather: int, repeated: bytes) -> Iterat
         table = pa.Table.from_arrays(
             [
                 signed(a),
-                signed(b),
+                pa.array(b.astype(np.uint32).view(np.int32)),
                 pa.array(ids),
                 pa.array(marks),
                 pa.array(places, pa.int32()),
@@ -129,9 +128,12 @@ def _whole_windows(batches, window: int, gather: int, repeated: bytes) -> Iterat
         a, b, ids, marks, places = a[order], b[order], ids[order], marks[order], places[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
-        first = ids == least
-        yield from out(a[first], b[first], ids[first], marks[first], places[first], [None] * int(first.sum()))
-        ids, marks, places = ids[~first], marks[~first], places[~first]
+        first = np.flatnonzero(ids == least)
+        rest = np.flatnonzero(ids != least)
+        # Rows of a document together: what they share is compressed away in the shuffle.
+        first = first[np.lexsort((places[first], marks[first], ids[first]))]
+        yield from out(a[first], b[first], ids[first], marks[first], places[first], [None] * len(first))
+        ids, marks, places = ids[rest], marks[rest], places[rest]
         if len(ids):
             order = np.lexsort((marks, ids))
             ids, marks, places = ids[order], marks[order], places[order].astype("<i4")
@@ -188,7 +190,7 @@ def repeated_windows(
     Level by level: the half windows are counted first, at one anchor per window (the half with
     the least hash, which equal windows share), and their least and greatest document tell those
     that repeat. Only windows with a repeated half are extended to the whole length and compared
-    by 128 bits, and at that length none is left to extend. Every task first settles the windows
+    by 96 bits, and at that length none is left to extend. Every task first settles the windows
     of its own rows, so what many documents share is shuffled once per task and not per document.
     The repeated halves reach the tasks as a bitmap of ``bits`` bits, whose false members only
     cost time."""
@@ -206,7 +208,7 @@ def repeated_windows(
     bitmap = bitmap_of(repeated, "hash", bits)
     whole = keyed.mapInArrow(
         lambda batches: _whole_windows(batches, window, gather, bitmap.value),
-        "a bigint, b bigint, id bigint, mark int, place int, packed binary",
+        "a bigint, b int, id bigint, mark int, place int, packed binary",
     )
     of_window = Window.partitionBy("a", "b")
     later = whole.withColumn("least", F.min("id").over(of_window)).where(
