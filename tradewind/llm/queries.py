@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from tradewind.llm.decontaminate import OP3_SQL, op3_decontaminate
 from tradewind.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from tradewind.llm.html_extract import op1_html_extract
 from tradewind.llm.mixing import OP8_SQL, op8_mix_sources
 from tradewind.llm.ngram_join import OP4_SQL, op4_ngram_join
 from tradewind.llm.substring_dedup import OP2_SQL, op2_substring_dedup
+from tradewind.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_ngram_join": op4_ngram_join,
+    "op7_toxicity": op7_toxicity,
     "op8_mix_sources": op8_mix_sources,
     "op10_exact_dedup": op10_exact_dedup,
 }
