@@ -131,6 +131,8 @@ def _landmarks(texts: list[str], toxic: np.ndarray, count: int, frequent: int):
     rows = []
     for word in seen[0].keys() | seen[1].keys():
         clean, bad = seen[0][word], seen[1][word]
+        if clean + bad < 2:
+            continue
         p, q = (bad + 0.5) / (n[1] + 1), (clean + 0.5) / (n[0] + 1)
         rows.append(((p - q) * np.log(p / q), clean + bad, word, np.log(p / q)))
     common = sorted(rows, key=lambda r: (-r[1], r[2]))[:frequent]
@@ -140,36 +142,59 @@ def _landmarks(texts: list[str], toxic: np.ndarray, count: int, frequent: int):
     return [f" {r[2]} ".encode()[:64] for r in chosen], np.array([r[3] for r in chosen])
 
 
-def _kernel(pieces: list[bytes], vectors: np.ndarray | None, count: int = 0) -> np.ndarray:
-    """Subsequence weights of pieces by bucket, or their kernel with the vectors of landmarks.
-    Subsequences start at the first ``WIDTH`` bytes of a piece, for vectors at any."""
-    buf = np.frombuffer(b"".join(pieces), np.uint8)
-    lengths = np.array([len(p) for p in pieces])
-    bounds = np.concatenate([[0], np.cumsum(lengths)])
-    row = np.repeat(np.arange(len(pieces)), lengths)
-    inside = np.arange(len(buf)) - bounds[row] < WIDTH
-    if vectors is None:
-        out = np.zeros((1 << BITS, len(pieces)), np.float32)
+@dataclass
+class Landmarks:
+    """Subsequence weights of the landmarks, for the buckets that any of them has."""
+
+    index: np.ndarray
+    dense: np.ndarray
+
+    def weights(self, of_each: np.ndarray) -> np.ndarray:
+        """One weight per bucket: the landmarks' own, weighed by ``of_each``."""
+        out = np.zeros(1 << BITS, np.float32)
+        out[self.index >= 0] = (self.dense @ of_each)[self.index[self.index >= 0]]
+        return out
+
+    def kernel(self, pieces: list[bytes]) -> np.ndarray:
+        """Kernel of each piece with each landmark. Subsequences start at the first ``WIDTH``
+        bytes of a piece."""
+        out = np.zeros((len(pieces), self.dense.shape[1]), np.float32)
+        buf, bounds, row = _joined(pieces)
+        inside = np.arange(len(buf)) - bounds[row] < WIDTH
         for bucket, skips, outside in subsequences(buf, bounds):
-            weight = np.full(len(buf), DECAY**skips, np.float32)
-            weight[outside] = 0
-            np.add.at(out, (bucket, row), weight / np.sqrt(lengths[row]).astype(np.float32))
+            hit = np.where(inside, self.index[bucket], -1)
+            hit[outside] = -1
+            places = np.flatnonzero(hit >= 0)
+            for at in range(0, len(places), 20_000):
+                part = places[at : at + 20_000]
+                of = row[part]
+                new = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+                out[of[new]] += DECAY**skips * np.add.reduceat(self.dense[hit[part]], new, axis=0)
         return out
-    used = np.flatnonzero(vectors.any(axis=1))
-    dense = vectors[used]
-    index = np.full(len(vectors), -1, np.int64)
-    index[used] = np.arange(len(used))
-    out = np.zeros((len(pieces), dense.shape[1]), np.float32)
+
+
+def _joined(pieces: list[bytes]):
+    buf = np.frombuffer(b"".join(pieces), np.uint8)
+    lengths = np.array([len(p) for p in pieces], np.int64)
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    return buf, bounds, np.repeat(np.arange(len(pieces)), lengths)
+
+
+def _vectors(words: list[bytes]) -> Landmarks:
+    buf, bounds, row = _joined(words)
+    length = np.diff(bounds)[row]
+    found = []
     for bucket, skips, outside in subsequences(buf, bounds):
-        hit = np.where(inside, index[bucket], -1)
-        hit[outside] = -1
-        places = np.flatnonzero(hit >= 0)
-        for at in range(0, len(places), 50_000):
-            part = places[at : at + 50_000]
-            of = row[part]
-            new = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-            out[of[new]] += DECAY**skips * np.add.reduceat(dense[hit[part]], new, axis=0)
-    return out
+        weight = DECAY**skips / np.sqrt(length)
+        weight[outside] = 0
+        found.append((bucket.astype(np.int64), row, weight))
+    buckets, rows, weights = (np.concatenate(x) for x in zip(*found, strict=True))
+    used, place = np.unique(buckets[weights > 0], return_inverse=True)
+    dense = np.zeros((len(used), len(words)), np.float32)
+    np.add.at(dense, (place, rows[weights > 0]), weights[weights > 0])
+    index = np.full(1 << BITS, -1, np.int32)
+    index[used] = np.arange(len(used))
+    return Landmarks(index, dense)
 
 
 def _worst_windows(text: bytes, scaled: list[np.ndarray], count: int) -> list[bytes]:
@@ -234,11 +259,11 @@ def fit(texts: list[str], toxic: np.ndarray, count: int = LANDMARKS, frequent: i
     lowered = [t.lower().encode() for t in texts]
     learned = np.flatnonzero(~scale)
     words, odds = _landmarks([texts[i] for i in learned], toxic[learned], count, frequent)
-    vectors = _kernel(words, None)
-    values, directions = np.linalg.eigh((vectors.T @ vectors).astype(np.float64))
+    vectors = _vectors(words)
+    values, directions = np.linalg.eigh((vectors.dense.T @ vectors.dense).astype(np.float64))
     good = values > values.max() * 1e-4
     whiten = directions[:, good] / np.sqrt(values[good])
-    weights, bias = (vectors @ np.maximum(odds, 0)).astype(np.float32), 0.0
+    weights, bias = vectors.weights(np.maximum(odds, 0)), 0.0
     clean: dict[bytes, np.ndarray] = {}
     for _ in range(ROUNDS):
         scaled = Model(weights, 0, 0, 0).scaled()
@@ -248,12 +273,12 @@ def fit(texts: list[str], toxic: np.ndarray, count: int = LANDMARKS, frequent: i
         new = {w for i, ws in zip(learned, worst, strict=True) if not toxic[i] for w in ws} - clean.keys()
         new = sorted(new)
         if new:
-            clean |= dict(zip(new, _kernel(new, vectors) @ whiten, strict=True))
+            clean |= dict(zip(new, vectors.kernel(new) @ whiten, strict=True))
         bad = [w for i, ws in zip(learned, worst, strict=True) if toxic[i] for w in ws]
         share = [1 / (1 + k) for i, ws in zip(learned, worst, strict=True) if toxic[i] for k in range(len(ws))]
         odd = [d for k, w in enumerate(bad) for d in _disguised(w, k)]
         x = np.concatenate([
-            np.array(list(clean.values())), _kernel(bad, vectors) @ whiten, _kernel(odd, vectors) @ whiten
+            np.array(list(clean.values())), vectors.kernel(bad) @ whiten, vectors.kernel(odd) @ whiten
         ]).astype(np.float64)
         y = np.concatenate([-np.ones(len(clean)), np.ones(len(bad) + len(odd))])
         weight = np.concatenate([
@@ -262,7 +287,7 @@ def fit(texts: list[str], toxic: np.ndarray, count: int = LANDMARKS, frequent: i
             np.repeat(share, 2) / sum(share) * 0.15,
         ])
         w, bias = _machine(x, y, weight, RIDGE)
-        weights = (vectors @ (whiten @ w)).astype(np.float32)
+        weights = vectors.weights(whiten @ w)
     model = Model(weights, float(bias), 1.0, 0.0)
     rows = np.flatnonzero(scale) if scale.any() else np.arange(len(texts))
     margins = model.margins(pa.array([texts[i] for i in rows], pa.large_string()))
