@@ -234,7 +234,7 @@ def test_top_categories_limits(items):
     categories = marts.sales_by_category(items)
     assert kpis.top_categories(categories, 1).collect()[0].category_name_en == "unknown"
     with pytest.raises(ValueError):
-        kpis.top_categories(categories, 21)
+        kpis.top_categories(categories, 0)
 
 
 def test_latest_months_and_range(orders):
@@ -271,9 +271,11 @@ def test_newest_puts_missing_times_first(spark):
 
 
 def test_row_cap(spark):
-    result = ranking.bounded_result(spark.range(20_000), 99_999, "all")
-    assert result.row_count == 5_000 and result.columns == ["id"] and result.text == "all"
+    result = ranking.bounded_result(spark.range(20_000), 9_000, "all")
+    assert result.row_count == 9_000 and result.columns == ["id"] and result.text == "all"
+    assert result.warnings == ["only the first 9000 rows are shown"]
     assert ranking.bounded_result(spark.range(600)).row_count == 500
+    assert ranking.bounded_result(spark.range(500)).warnings == []
     with pytest.raises(ValueError):
         ranking.bounded(spark.range(1), 0)
 
@@ -284,4 +286,6 @@ def test_conversation_context(spark):
     df = spark.createDataFrame(turns, "conv_id string, turn int, role string, text string")
     rows = by_key(ranking.conversation_context(df), "conv_id")
     assert rows["a"].context == "USER: turn 3\nUSER: turn 5\nUSER: turn 7"
-    assert rows["b"].context == "ASSISTANT: " + "x" * 300
+    assert rows["b"].context == "ASSISTANT: " + "x" * 400
+    cut = by_key(ranking.conversation_context(df, width=300), "conv_id")
+    assert cut["b"].context == "ASSISTANT: " + "x" * 300

@@ -34,7 +34,8 @@ def test_byte_order_mark_and_cells(spark, tmp_path):
         'b,"","say ""hi""\nthere",\r\n',
         "utf-8-sig",
     )
-    rows = raw.read_raw(spark, SPEC["sellers"], str(tmp_path), "x_").orderBy("seller_id").collect()
+    rows = raw.read_raw(spark, SPEC["sellers"], str(tmp_path), "x_", multiline=True)
+    rows = rows.orderBy("seller_id").collect()
     assert [tuple(r) for r in rows] == [
         ("a", "01", "rio, centro", "RJ"),
         ("b", "", 'say "hi"\nthere', None),
@@ -66,19 +67,20 @@ def test_spanning_records_are_found(spark, tmp_path):
     assert raw.has_spanning_records(spark, str(spanning))
 
 
-def test_large_files_are_split_only_when_safe(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(raw, "WHOLE_FILE_BYTES", 10)
+def test_spanning_records_must_be_declared(spark, tmp_path):
     header = "product_category_name,product_category_name_english\n"
     spec = SPEC["product_category_translation"]
     write(tmp_path / "a" / spec.file_name, header + "x,y\nz,w\n")
     write(tmp_path / "b" / spec.file_name, header + '"x\nx",y\nz,w\n')
-    for name, wanted in (("a", [("x", "y"), ("z", "w")]), ("b", [("x\nx", "y"), ("z", "w")])):
-        rows = raw.read_raw(spark, spec, str(tmp_path / name)).collect()
-        assert sorted(tuple(r) for r in rows) == wanted
+    assert raw.read_raw(spark, spec, str(tmp_path / "a")).count() == 2
+    with pytest.raises(ValueError, match="multiline"):
+        raw.read_raw(spark, spec, str(tmp_path / "b"))
+    rows = raw.read_raw(spark, spec, str(tmp_path / "b"), multiline=True).collect()
+    assert sorted(tuple(r) for r in rows) == [("x\nx", "y"), ("z", "w")]
+    assert [name for name, s in SPEC.items() if s.multiline] == ["order_reviews"]
 
 
-def test_split_files_skip_the_byte_order_mark(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(raw, "WHOLE_FILE_BYTES", 10)
+def test_split_files_skip_the_byte_order_mark(spark, tmp_path):
     spec = SPEC["product_category_translation"]
     text = ",".join(spec.columns) + "\r\nx,\r\n\"\",\"a,b\"\r\n"
     write(Path(spec.path(str(tmp_path))), text, "utf-8-sig")
@@ -103,13 +105,13 @@ def test_missing_file_marks_the_run_failed(spark, tmp_path):
     assert runs[0].finished_at >= runs[0].started_at and runs[0].duration_seconds >= 0
 
 
-def test_ledger_cuts_long_errors(spark):
+def test_ledger_keeps_long_errors(spark):
     tables.ensure_namespaces(spark)
     ledger = RunLedger(spark, "raw.other_events")
     first, second = ledger.start(), ledger.start()
     ledger.finish(first, "failed", 1.2349, "e" * 3000)
     rows = {r.run_id: r for r in ledger.runs().collect()}
-    assert rows[first].status == "failed" and len(rows[first].error_message) == 2000
+    assert rows[first].status == "failed" and rows[first].error_message == "e" * 3000
     assert str(rows[first].duration_seconds) == "1.23"
     assert rows[second].status == "running" and rows[second].finished_at is None
 
@@ -140,13 +142,14 @@ def test_landing(spark, tmp_path):
     ]
 
 
-def test_landing_keeps_the_first_rows(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(landing, "MAX_ROWS", 3)
-    path = write(tmp_path / "u.csv", "n\n" + "\n".join(str(i) for i in range(500)) + "\n")
-    assert sorted(r.n for r in landing.read_upload(spark, str(path)).collect()) == ["0", "1", "2"]
+def test_landing_keeps_every_row(spark, tmp_path):
+    path = write(tmp_path / "u.csv", "n\n" + "\n".join(str(i) for i in range(60_000)) + "\n")
+    for multiline in (True, False):
+        rows = landing.read_upload(spark, str(path), multiline)
+        assert rows.selectExpr("count(distinct n)", "sum(n)").first() == (60_000, 60_000 * 59_999 / 2)
 
 
-def test_landing_refuses(spark, tmp_path, monkeypatch):
+def test_landing_refuses(spark, tmp_path):
     with pytest.raises(ValueError, match="cannot name"):
         landing.read_upload(spark, str(write(tmp_path / "a.csv", "2018,b\n1,2\n")))
     with pytest.raises(ValueError, match="not distinct"):
@@ -155,9 +158,24 @@ def test_landing_refuses(spark, tmp_path, monkeypatch):
         landing.read_upload(spark, str(write(tmp_path / "c.pdf", "a\n1\n")))
     with pytest.raises(FileNotFoundError):
         landing.read_upload(spark, str(tmp_path / "none.csv"))
-    monkeypatch.setattr(landing, "MAX_BYTES", 3)
-    with pytest.raises(ValueError, match="exceeds"):
-        landing.read_upload(spark, str(write(tmp_path / "d.csv", "a\n1\n2\n")))
+
+
+def test_a_failed_write_leaves_the_old_content(spark):
+    tables.ensure_namespaces(spark)
+    tables.materialize(spark.range(3), "raw.kept")
+    open_reader = spark.table("raw.kept")
+    bad = spark.range(100).selectExpr("id", "if(id = 77, raise_error('no'), 1) AS v")
+    with pytest.raises(Exception, match="no"):
+        tables.materialize(bad.repartition(4), "raw.kept")
+    assert spark.table("raw.kept").count() == 3
+    tables.materialize(spark.range(9), "raw.kept")
+    assert open_reader.count() == 3 and spark.table("raw.kept").count() == 9
+
+
+def test_a_table_of_the_same_name_is_replaced(spark):
+    tables.ensure_namespaces(spark)
+    spark.range(4).write.saveAsTable("raw.was_table")
+    assert tables.materialize(spark.range(6), "raw.was_table").count() == 6
 
 
 def test_a_failed_write_does_not_block_the_next(spark):
@@ -264,9 +282,11 @@ def test_missing_category_table_is_a_warning(spark, delivery):
 def test_failed_check_stops_the_build(spark, delivery, tmp_path):
     for path in delivery.iterdir():
         write(tmp_path / path.name, path.read_text())
+    before = spark.table("marts.fct_orders").collect()
     orders = tmp_path / "d_orders_dataset.csv"
     write(orders, orders.read_text().replace(",c1,", ",c404,").replace("2018-08-0", "2018-07-0"))
     with pytest.raises(FailedChecksError) as error:
         build_all(spark, str(tmp_path), "d_")
     assert "relationship_stg_orders_customer_id_to_stg_customers" in str(error.value)
     assert "raw_recency" in str(error.value)
+    assert spark.table("marts.fct_orders").collect() == before

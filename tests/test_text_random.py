@@ -96,7 +96,7 @@ def test_conversation_context(spark, strings):
     for conversation in range(40):
         own = sorted(t[1:] for t in turns if t[0] == conversation)[-6:]
         lines = [
-            f"{role.upper()}: {said.strip()[:300]}" for _, role, said in own
+            f"{role.upper()}: {said.strip()}" for _, role, said in own
             if role and said.strip()
         ]
         if lines:

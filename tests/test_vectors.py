@@ -30,15 +30,19 @@ def best(rows, query, k, keep=lambda r: True):
     return [(i, -s) for s, i in sorted(scored)[:k]]
 
 
-@pytest.mark.parametrize("query_bytes", [vectors.QUERY_BYTES, 64])
-def test_topk_is_exact(spark, monkeypatch, query_bytes):
-    monkeypatch.setattr(vectors, "QUERY_BYTES", query_bytes)
+@pytest.mark.parametrize("part_rows", [vectors.PART_ROWS, 90])
+@pytest.mark.parametrize("as_table", [True, False])
+def test_topk_is_exact(spark, part_rows, as_table):
     rows, df = corpus(spark)
     rng = random.Random(5)
     queries = {f"q{i}": [rng.uniform(-1, 1) for _ in range(8)] for i in range(3)}
     queries["copies"] = [1.0] * 8
     got = {}
-    for r in vectors.vector_topk(df, queries, 6, payload=["label"]).orderBy("rank").collect():
+    asked = queries
+    if as_table:
+        asked = spark.createDataFrame(list(queries.items()), "query_id string, vector array<float>")
+    found = vectors.vector_topk(df, asked, 6, payload=["label"], part_rows=part_rows)
+    for r in found.orderBy("rank").collect():
         got.setdefault(r.query_id, []).append((r.id, r.score))
     assert got.keys() == queries.keys()
     for name, query in queries.items():
@@ -61,6 +65,40 @@ def test_wrong_length_fails(spark):
         vectors.vector_topk(df, {"q": [1.0, 2.0]}, 1).collect()
 
 
+def test_no_questions_give_no_rows(spark):
+    _, df = corpus(spark)
+    assert vectors.vector_topk(df, {}, 3).count() == 0
+    asked = spark.createDataFrame([("q", None)], "query_id string, vector array<float>")
+    assert vectors.vector_topk(df, asked, 3).count() == 0
+    assert vectors.vector_topk(df.limit(0), {"q": [1.0] * 8}, 3).count() == 0
+
+
+def test_scores_are_taken_in_tiles(spark, monkeypatch):
+    rows, df = corpus(spark)
+    queries = {f"q{i:03d}": [float((i * j) % 7 - 3) for j in range(8)] for i in range(1, 40)}
+    search = vectors._PartSearch(2, ["id"])
+    whole = {tuple(r) for r in vectors.vector_topk(df, queries, 2).collect()}
+    monkeypatch.setattr(vectors, "TILE_BYTES", 1)
+    small = pytest.importorskip("pyarrow").RecordBatch.from_pydict({
+        "_part": [0] * 4, "_asks": [False, False, True, True],
+        "_vector": [[1.0, 0.0], [0.0, 1.0], [1.0, 0.1], [0.0, 2.0]],
+        "_key": [5, 6, None, None], "_query": [None, None, "a", "b"], "id": [5, 6, None, None],
+    })
+    out = [b.to_pydict() for b in search(iter([small]))]
+    assert [(o["query_id"], o["id"]) for o in out] == [(["a", "a"], [5, 6]), (["b", "b"], [6, 5])]
+    assert len(whole) == 39 * 2
+
+
+def test_default_embedding_equals_the_provider(spark):
+    texts = [(1, "Ação ação b, c_d 12"), (2, None), (3, ""), (4, "... "), (5, "x " * 500 + "y")]
+    df = spark.createDataFrame(texts, "id int, t string")
+    rows = {r.id: r.embedding for r in vectors.embed_words(df, ["id"], "t", 16).collect()}
+    wanted = vectors.HashingProvider(16).embed([t or "" for _, t in texts])
+    assert sorted(rows) == [1, 2, 3, 4, 5]
+    for (i, _), vector in zip(texts, wanted, strict=True):
+        assert np.allclose(rows[i], vector)
+
+
 def test_upsert(spark):
     base = spark.createDataFrame([(1, [1.0], "a"), (2, [2.0], "b")], "id int, embedding array<float>, p string")
     delta = spark.createDataFrame([(2, [9.0], "c"), (3, [3.0], "d")], "id int, embedding array<float>, p string")
@@ -87,10 +125,14 @@ def test_stored_collection(spark):
     with pytest.raises(Exception, match="expected 1"):
         vectors.store_vectors(rows((4, [1.0, 2.0], "e")), "vectors.points", 1)
 
+    open_reader = spark.table("vectors.points")
     vectors.store_vectors(rows((9, [9.0], "z")), "vectors.points", 1)
     assert stored() == [(1, "a"), (2, "c"), (3, "d"), (9, "z")]
+    assert sorted((r.id, r.p) for r in open_reader.collect()) == [(1, "a"), (2, "c"), (3, "d")]
+    vectors.store_vectors(rows((9, [9.0], "y")), "vectors.points", 1)
     names = [t.name for t in spark.catalog.listTables("vectors") if not t.isTemporary]
-    assert len(names) == 2 and "points" in names
+    assert len([n for n in names if n.startswith("points__")]) == 2
+    assert "points" in names
 
 
 def test_context(spark):

@@ -33,9 +33,8 @@ def phrase_list(phrases: list[str]) -> Column:
 
 
 def mentions(text: Column, phrases: list[str]) -> Column:
-    """True where the text holds any of the phrases. A loop over a constant list: spelled out
-    as one condition per phrase, the rules below outgrow what the JVM compiles."""
-    return F.exists(phrase_list(phrases), lambda p: F.contains(text, p))
+    """True where the text holds any of the phrases: one pattern, compiled once."""
+    return text.rlike("|".join(f"\\Q{phrase}\\E" for phrase in phrases))
 
 
 def hits(text: Column, phrases: list[str]) -> Column:
@@ -46,7 +45,9 @@ def hits(text: Column, phrases: list[str]) -> Column:
 def intent_of(question: Column) -> Column:
     """Intent of an already normalized question (see :func:`tag_intent`)."""
     padded = F.concat(F.lit(" "), question, F.lit(" "))
-    is_query = question.rlike(r"(?U)^(select|with)\b") | (hits(padded, words.QUERY_CLAUSES) >= 2)
+    # Two clauses are only counted where there is one.
+    clauses = mentions(padded, words.QUERY_CLAUSES) & (hits(padded, words.QUERY_CLAUSES) >= 2)
+    is_query = question.rlike(words.QUERY_START) | clauses
 
     analytics = (
         F.when(mentions(question, words.ANALYTICS_SCHEMA_WORDS), "schema_search")
@@ -82,7 +83,7 @@ def intent_of(question: Column) -> Column:
         .when(mentions(question, any_scored), best["intent"])
         .when(mentions(question, words.SMALL_TALK_WORDS), "chitchat")
         .when(F.size(F.split(question, " ")) <= 4, "chitchat")
-        .when(question.rlike(r"(?U)^(show|list|find|get|give|tell|display)\b"), "sql_query")
+        .when(question.rlike(words.ASKING_START), "sql_query")
         .otherwise("chitchat")
     )
 

@@ -22,6 +22,10 @@ QUERY_CLAUSES = [
     " select ", " from ", " where ", " group by ", " order by ", " limit ", " join ",
 ]
 
+# Patterns: how a question that is query text, or asks for rows, begins.
+QUERY_START = r"(?U)^(select|with)\b"
+ASKING_START = r"(?U)^(show|list|find|get|give|tell|display)\b"
+
 HELP_WORDS = [
     "help", "what can you do", "làm được gì", "ban lam duoc gi", "capabilities", "commands",
 ]

@@ -16,7 +16,6 @@ INVENTORY = (
     "table_schema string, table_name string, column_name string, ordinal_position int, "
     "data_type string, is_nullable boolean"
 )
-MAX_MATCHES = 300
 
 # Tables that hold the content of a stored collection; the collection itself is a view.
 VERSION = re.compile("__[0-9a-f]{32}$")
@@ -49,17 +48,18 @@ def column_inventory(
 
 
 def search_schema(
-    inventory: DataFrame, keyword: str, layers: list[str] | None = None, n: int = MAX_MATCHES
+    inventory: DataFrame, keyword: str, layers: list[str] | None = None, n: int | None = None
 ) -> DataFrame:
-    """Columns whose table or name contains the keyword in any case, in catalog order."""
+    """Columns whose table or name contains the keyword in any case, in catalog order: all of
+    them, or the first ``n``."""
     pattern = f"%{keyword}%"
-    return (
+    found = (
         inventory.where(F.col("table_schema").isin(layers or LAYERS))
         .where(F.col("table_name").ilike(pattern) | F.col("column_name").ilike(pattern))
         .orderBy("table_schema", "table_name", "ordinal_position")
-        .limit(n)
-        .select("table_schema", "table_name", "column_name", "data_type")
     )
+    columns = ["table_schema", "table_name", "column_name", "data_type"]
+    return (found if n is None else found.limit(n)).select(*columns)
 
 
 def table_documents(inventory: DataFrame) -> DataFrame:

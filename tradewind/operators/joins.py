@@ -3,72 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# A key is hot from this many rows on, and is split into parts of about as many.
-HOT_ROWS = 1_000_000
-# Bound of the set of hot keys, which is broadcast: a few bytes each.
-MAX_HOT_KEYS = 100_000
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the files and tables a frame reads, from the optimizer's statistics."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether the input lies below the session's broadcast threshold. A Spark Connect
-    session does not tell the statistics; there the answer is no."""
-    if not hasattr(df, "_jdf"):
-        return False
-    state = df.sparkSession._jsparkSession.sessionState()
-    return 0 <= input_bytes(df) <= int(state.conf().autoBroadcastJoinThreshold())
-
-
-def hot_keys(fact: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The keys that hold ``hot_rows`` rows or more and the number of parts to split each
-    into. Counting combines on the map side. Should there be more than MAX_HOT_KEYS, the
-    largest are split, and none of the others holds a noticeable share of the rows."""
-    return (
-        fact.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count("*").alias("_rows"))
-        .where(F.col("_rows") >= hot_rows)
-        .orderBy(F.desc("_rows"), key)
-        .limit(MAX_HOT_KEYS)
-        .select(key, F.ceil(F.col("_rows") / hot_rows).alias("_parts"))
-    )
-
-
-def salted_lookup(
-    fact: DataFrame, dim: DataFrame, key: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Left join that splits each hot key: its fact rows are spread over its parts by
-    position, its dimension rows are repeated once per part. Rows without a key match
-    nothing and are spread as well. ``fact`` should come straight from a scan, where the
-    position of a row does not change when a lost task is run again."""
-    hot = F.broadcast(hot_keys(fact, key, hot_rows))
-    position = F.xxhash64(F.monotonically_increasing_id())
-    salt = (
-        F.when(F.col(key).isNull(), position)
-        .when(F.col("_parts").isNotNull(), F.pmod(position, F.col("_parts")))
-        .otherwise(F.lit(0))
-    )
-    last = F.coalesce(F.col("_parts"), F.lit(1)) - 1
-    copies = F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))
-
-    facts = fact.join(hot, key, "left").withColumn("_salt", salt.cast("bigint"))
-    dims = dim.join(hot, key, "left").withColumn("_salt", F.explode(copies))
-    return facts.drop("_parts").join(dims.drop("_parts"), [key, "_salt"], "left").drop("_salt")
 
 
 def lookup(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """``fact`` left join ``dim`` on ``key``, all facts kept.
 
-    While the dimension's input is below the session's broadcast threshold this is a plain
-    join and Spark, which checks the size again, ships the small side to the facts. Beyond
-    it both sides are shuffled and hot keys are split."""
-    if fits_broadcast(dim):
-        return fact.join(dim, key, "left")
-    return salted_lookup(fact, dim, key)
+    A plain join: one scan and one shuffle of the facts at most. Spark ships the dimension to the
+    facts if it is below the broadcast threshold; otherwise the adaptive plan cuts the
+    partition of a hot key, and that of the rows without a key, into parts of the advisory
+    size and gives each the same rows of the dimension."""
+    return fact.join(dim, key, "left")

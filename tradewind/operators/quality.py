@@ -142,15 +142,34 @@ def _null_counts(df: DataFrame, checks: list[Check]) -> DataFrame:
     return counted.select(F.inline(rows))
 
 
-def _failures(tables: Mapping[str, DataFrame], check: Check) -> DataFrame:
-    """Number of duplicate keys, or of child rows without a parent."""
-    df = tables[check.table]
-    if check.kind == "unique":
-        failures = unique(df, check.column).agg(F.count("*").alias("failures"))
-    else:
-        orphans = relationship(df, check.column, tables[check.parent], check.key)
-        failures = orphans.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("failures"))
-    return failures.select(F.lit(check.name).alias("check_name"), "failures")
+def _key_failures(
+    tables: Mapping[str, DataFrame], parent: tuple[str, str], checks: list[Check]
+) -> DataFrame:
+    """All checks around one key in one aggregation: the rows of the key's own table and of each
+    table that refers to it are counted per key side by side. A key that many rows share is one
+    row per task; each (table, key) is read once."""
+    sides = [parent, *dict.fromkeys((c.table, c.column) for c in checks if c.kind != "unique")]
+    sides = list(dict.fromkeys(sides))
+    rows = union_all([
+        tables[table].where(F.col(column).isNotNull()).select(
+            F.col(column).alias("key"),
+            *[F.lit(int(k == at)).cast("bigint").alias(f"n{k}") for k in range(len(sides))],
+        )
+        for at, (table, column) in enumerate(sides)
+    ])
+    counts = rows.groupBy("key").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(sides))])
+
+    def failures(check: Check) -> Column:
+        n = F.col(f"n{sides.index((check.table, check.column))}")
+        if check.kind == "unique":
+            return F.count_if(n > 1)
+        return F.coalesce(F.sum(F.when(F.col("n0") == 0, n)), F.lit(0))
+
+    totals = counts.agg(*[failures(c).cast("bigint").alias(f"f{i}") for i, c in enumerate(checks)])
+    return totals.select(F.inline(F.array(*[
+        F.struct(F.lit(c.name).alias("check_name"), F.col(f"f{i}").alias("failures"))
+        for i, c in enumerate(checks)
+    ])))
 
 
 def run_checks(
@@ -159,14 +178,27 @@ def run_checks(
     extra: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """One row per check: check_name, failures, status. ``extra`` are check queries whose
-    rows are failures. Checks of tables that are not given are an error."""
+    rows are failures. Checks of tables that are not given are an error.
+
+    There is one pass for the NULLs of a table and one aggregation per key with everything that
+    refers to it."""
     nulls: dict[str, list[Check]] = {}
-    frames: list[DataFrame] = []
+    keys_: dict[tuple[str, str], list[Check]] = {}
     for check in checks:
         if check.kind == "not_null":
             nulls.setdefault(check.table, []).append(check)
-        else:
-            frames.append(_failures(tables, check))
+        elif check.kind == "relationship":
+            keys_.setdefault((check.parent, check.key), []).append(check)
+    for check in checks:
+        if check.kind == "unique":
+            own = (check.table, check.column)
+            # A foreign key is counted with the key it refers to.
+            home = next(
+                (k for k, group in keys_.items() if any((c.table, c.column) == own for c in group)),
+                own,
+            )
+            keys_.setdefault(own if own in keys_ else home, []).append(check)
+    frames = [_key_failures(tables, parent, group) for parent, group in keys_.items()]
     frames += [_null_counts(tables[table], group) for table, group in nulls.items()]
     for name, query in (extra or {}).items():
         counted = query.agg(F.count("*").alias("failures"))

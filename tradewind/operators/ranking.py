@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 
 from tradewind.functions.text import strip_space
 
-MAX_ROWS = 5_000
 DEFAULT_ROWS = 500
 
 
 @dataclass
 class Result:
-    """Rows read to the driver, never more than MAX_ROWS."""
+    """Rows read to the driver, as many as were asked for; a warning if there were more."""
 
     text: str
     columns: list[str]
@@ -28,16 +27,20 @@ class Result:
         return len(self.rows)
 
 
-def bounded(df: DataFrame, n: int = DEFAULT_ROWS, cap: int = MAX_ROWS) -> DataFrame:
-    """At most ``n`` rows and never more than ``cap``, on the outside of the query."""
+def bounded(df: DataFrame, n: int = DEFAULT_ROWS) -> DataFrame:
+    """At most ``n`` rows, cut on the outside of the query. Whole results are written."""
     if n < 1:
         raise ValueError(f"row limit must be positive: {n}")
-    return df.limit(min(n, cap))
+    return df.limit(n)
 
 
 def bounded_result(df: DataFrame, n: int = DEFAULT_ROWS, text: str = "") -> Result:
-    """The one place where rows reach the driver."""
-    return Result(text, list(df.columns), bounded(df, n).collect())
+    """The one place where rows reach the driver: ``n`` of them, and whether there are more."""
+    if n < 1:
+        raise ValueError(f"row limit must be positive: {n}")
+    rows = bounded(df, n + 1).collect()
+    more = [f"only the first {n} rows are shown"] if len(rows) > n else []
+    return Result(text, list(df.columns), rows[:n], more)
 
 
 def newest(df: DataFrame, time: str, n: int, *ties: str) -> DataFrame:
@@ -82,12 +85,12 @@ def conversation_context(
     role: str = "role",
     text: str = "text",
     n: int = 6,
-    width: int = 300,
+    width: int | None = None,
 ) -> DataFrame:
     """The last ``n`` turns of each conversation as ``ROLE: text`` lines, oldest first.
-    Turns without role or text are dropped after the cut to ``n``. Texts are cut to their
-    ``width`` before they are shuffled."""
-    said = F.substring(strip_space(text), 1, width)
+    Turns without role or text are dropped after the cut to ``n``. Texts stay whole; only a
+    caller's ``width`` cuts them, before they are shuffled."""
+    said = strip_space(text) if width is None else F.substring(strip_space(text), 1, width)
     turns = df.select(conversation, turn, F.col(role).alias("_role"), said.alias("_said"))
     last = first_per_group(turns, [conversation], [F.col(turn).desc()], n)
     line = F.concat(F.upper("_role"), F.lit(": "), F.col("_said"))

@@ -5,10 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 import sys
-import uuid
 from collections.abc import Iterator, Mapping, Sequence
-from functools import reduce
-from itertools import chain
+from itertools import chain, pairwise
 from typing import Any, Protocol
 
 import numpy as np
@@ -17,13 +15,13 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tradewind.operators.ranking import first_per_group
 from tradewind.sources.tables import materialize
 
-# Bytes of query vectors that go out to the tasks at once; more queries make more passes.
-QUERY_BYTES = 32 * 1024 * 1024
+# Corpus rows that a task holds at a time, and bytes of its tile of scores.
+PART_ROWS = 50_000
+TILE_BYTES = 32 * 1024 * 1024
 SCORE_PLACES = 6
 
 # The functions below travel to the tasks as they are; executors need no copy of this package.
@@ -61,8 +59,8 @@ def store_vectors(
     """Upsert into a stored collection; the first call creates it with its fixed ``dim``.
 
     A collection is a view over the table of its latest content. New content is written to a
-    table of its own, then the view is pointed at it, so readers and a run that breaks off
-    never see half of it."""
+    table of its own, then the view is pointed at it. The content before stays until the
+    next call, so a reader that has it open is not disturbed."""
     spark = delta.sparkSession
     base = delta.limit(0)
     if spark.catalog.tableExists(name):
@@ -70,23 +68,15 @@ def store_vectors(
         stored = base.select(F.size(vector).alias("dim")).first()
         if stored is not None and stored.dim != dim:
             raise ValueError(f"{name} holds vectors of {stored.dim} numbers, not {dim}")
-    fresh = f"{name}__{uuid.uuid4().hex}"
-    materialize(upsert_vectors(base, delta, key, vector, dim), fresh)
-    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {fresh}")
-    layer, _, short = name.rpartition(".")
-    for table in spark.catalog.listTables(layer or None):
-        version = re.fullmatch(re.escape(short) + "__[0-9a-f]{32}", table.name)
-        if version and not fresh.endswith(table.name):
-            spark.sql(f"DROP TABLE {layer + '.' if layer else ''}{table.name}")
-    return spark.table(name)
-
-
-def _vectors(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return materialize(upsert_vectors(base, delta, key, vector, dim), name)
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Rows of length 1; a zero vector stays zero and is like nothing."""
     flat = np.asarray(lists.flatten(), dtype=np.float64)
-    if flat.size != len(lists) * dim:
-        raise ValueError(f"corpus vectors do not have the {dim} numbers of the query")
-    return flat.reshape(len(lists), dim)
+    out = flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
+    lengths = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, lengths, out=np.zeros_like(out), where=lengths > 0)
 
 
 def _best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -99,68 +89,109 @@ def _best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return rows[np.lexsort((ids[rows], -scores[rows]))][:k]
 
 
-def _batch_search(query_ids: list[str], matrix: np.ndarray, key: str, vector: str, k: int):
-    """Scores one Arrow batch against all queries and keeps k rows of it per query, so a
-    task sends on a few rows per batch and never the product of corpus and queries."""
+class _PartSearch:
+    """Searches one part of the corpus, whose rows come first, for the questions that follow.
+    Questions are scored in tiles of bounded size, and each gives its k best rows of the part."""
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, k: int, names: list[str]):
+        self.k, self.names = k, names
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, corpus = None, [], None
         for batch in batches:
-            corpus = _vectors(batch.column(vector), matrix.shape[1])
-            ids = np.asarray(batch.column(key))
-            norms = np.linalg.norm(corpus, axis=1)
-            dots = corpus @ matrix.T
-            cosine = np.divide(
-                dots, norms[:, None], out=np.zeros_like(dots), where=norms[:, None] > 0
+            parts = np.asarray(batch.column("_part"))
+            asks = np.asarray(batch.column("_asks"))
+            edges = np.flatnonzero((parts[1:] != parts[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for low, high in pairwise([0, *edges.tolist(), len(parts)]):
+                if high == low:
+                    continue
+                piece = batch.slice(low, high - low)
+                if parts[low] != part:
+                    part, held, corpus = parts[low], [], None
+                if not asks[low]:
+                    held.append(piece)
+                    continue
+                if corpus is None and held:
+                    rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    corpus = (rows, _matrix(rows.column("_vector")), np.asarray(rows.column("_key")))
+                    held = []
+                if corpus is not None:
+                    yield from self.search(piece, *corpus)
+
+    def search(self, questions, rows, matrix, ids) -> Iterator[pa.RecordBatch]:
+        asked = _matrix(questions.column("_vector"))
+        if asked.shape[1] != matrix.shape[1]:
+            raise ValueError(f"corpus vectors do not have the {asked.shape[1]} numbers of the query")
+        tile = max(1, TILE_BYTES // (8 * len(matrix)))
+        for low in range(0, len(asked), tile):
+            scores = np.round(asked[low : low + tile] @ matrix.T, SCORE_PLACES)
+            best = [_best_rows(line, ids, self.k) for line in scores]
+            found = np.concatenate(best)
+            question = np.repeat(np.arange(len(best)), [len(b) for b in best])
+            taken = rows.select(self.names).take(pa.array(found))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    questions.column("_query").take(pa.array(question + low)),
+                    pa.array(scores[question, found]),
+                    *taken.columns,
+                ],
+                ["query_id", "score", *self.names],
             )
-            scores = np.round(cosine, SCORE_PLACES)
-            payload = batch.drop_columns([vector])
-            for q, query_id in enumerate(query_ids):
-                rows = _best_rows(scores[:, q], ids, k)
-                found = payload.take(pa.array(rows))
-                columns = [pa.array([query_id] * len(rows)), pa.array(scores[rows, q])]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, *found.columns], ["query_id", "score", *found.schema.names]
-                )
-
-    return search
 
 
 def vector_topk(
     corpus: DataFrame,
-    queries: Mapping[str, Sequence[float]],
+    queries: DataFrame | Mapping[str, Sequence[float]],
     k: int = 5,
     where: Mapping[str, Any] | None = None,
     min_score: float | None = None,
     key: str = "id",
     vector: str = "embedding",
     payload: Sequence[str] = (),
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """The ``k`` nearest corpus rows per query by cosine, exact, with payload.
 
-    Queries are the vectors of the questions at hand and come with the call; should they
-    exceed QUERY_BYTES the corpus is read once per block of them. ``where`` keeps rows whose
-    payload equals the given values, before scoring and as a condition the scan can use."""
+    ``queries`` is a table (query_id, vector) of any size, or a mapping of few questions. The
+    corpus is dealt into parts of about ``part_rows`` rows, each question goes to every part, and
+    every part answers with k rows per question, of which the k best of all are kept: the
+    product of both tables is never a table. A task holds its part, a batch of questions and
+    a tile of scores. ``where`` keeps rows whose payload equals the given values, before
+    scoring and as a condition the scan can use. Rows and questions without a vector have no
+    score; no questions give no rows."""
+    spark = corpus.sparkSession
+    if not isinstance(queries, DataFrame):
+        asked = [(name, [float(x) for x in numbers]) for name, numbers in queries.items()]
+        queries = spark.createDataFrame(asked, "query_id string, vector array<double>")
     for name, value in (where or {}).items():
         corpus = corpus.where(F.col(name) == F.lit(value))
-    rows = corpus.where(F.col(vector).isNotNull()).select(key, vector, *payload)
-
-    matrix = np.array(list(queries.values()), dtype=np.float64)
-    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-    matrix = np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
-    names = list(queries)
-    block = max(1, QUERY_BYTES // max(1, matrix.shape[1] * 8))
-
-    fields = [f for f in rows.schema.fields if f.name != vector]
-    schema = StructType([
-        StructField("query_id", StringType()), StructField("score", DoubleType()), *fields
+    names = [key, *payload]
+    rows = corpus.where(F.col(vector).isNotNull()).select(vector, *names)
+    kinds = dict(rows.dtypes)
+    asks_kind = dict(queries.dtypes)["query_id"]
+    parts = F.greatest(F.lit(1), F.ceil(F.lit(rows.count()) / part_rows)).cast("int")
+    numbers = F.col(vector).cast("array<double>").alias("_vector")
+    held = rows.select(
+        F.pmod(F.xxhash64(key), parts).cast("int").alias("_part"),
+        F.lit(False).alias("_asks"),
+        numbers,
+        F.col(key).alias("_key"),
+        F.lit(None).cast(asks_kind).alias("_query"),
+        *[F.col(name) for name in names],
+    )
+    asks = queries.where("vector IS NOT NULL").select(
+        F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"),
+        F.lit(True).alias("_asks"),
+        F.col("vector").cast("array<double>").alias("_vector"),
+        F.lit(None).cast(kinds[key]).alias("_key"),
+        F.col("query_id").alias("_query"),
+        *[F.lit(None).cast(kinds[name]).alias(name) for name in names],
+    )
+    dealt = held.unionByName(asks).repartition("_part").sortWithinPartitions("_part", "_asks")
+    schema = ", ".join([
+        f"query_id {asks_kind}", "score double", *[f"`{name}` {kinds[name]}" for name in names]
     ])
-    passes = [
-        rows.mapInArrow(
-            _batch_search(names[i : i + block], matrix[i : i + block], key, vector, k), schema
-        )
-        for i in range(0, len(names), block)
-    ]
-    found = reduce(DataFrame.unionByName, passes)
+    found = dealt.mapInArrow(_PartSearch(k, names), schema)
     if min_score is not None:
         found = found.where(F.col("score") >= min_score)
     return first_per_group(found, ["query_id"], [F.desc("score"), F.col(key)], k)
@@ -227,11 +258,45 @@ def embed(
     return df.withColumn(name, vectors(F.col(text)))
 
 
+def embed_words(
+    df: DataFrame, keys: Sequence[str], text: str, dim: int = 384, name: str = "embedding"
+) -> DataFrame:
+    """The vectors of :class:`HashingProvider` in built-in functions: ``keys`` and the vector of
+    the whole text. Each word has a place by its MD5; places are counted per row on the map side,
+    so a row sends one number per place, and the counts are scaled to length 1. Rows with the same
+    keys are one text; a text without words is a zero vector."""
+    word = F.explode_outer(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    number = F.conv(F.substring(F.md5("_word"), 1, 16), 16, 10).cast("decimal(20,0)")
+    counts = (
+        df.select(*keys, word.alias("_word"))
+        .groupBy(*keys, F.pmod(number, F.lit(dim)).cast("int").alias("_place"))
+        .agg(F.count("_word").cast("double").alias("_count"))
+    )
+    filled = F.filter(F.collect_list(F.struct("_place", "_count")), lambda x: x["_place"].isNotNull())
+    rows = counts.groupBy(*keys).agg(
+        F.map_from_entries(filled).alias("_counts"),
+        F.sqrt(F.sum(F.col("_count") * F.col("_count"))).alias("_length"),
+    )
+    places = F.sequence(F.lit(0), F.lit(dim - 1))
+    vector = F.transform(
+        places,
+        lambda p: F.coalesce(F.try_divide(F.try_element_at("_counts", p), F.col("_length")), F.lit(0.0)),
+    )
+    return rows.select(*keys, vector.alias(name))
+
+
 def retrieve(
-    index: DataFrame, questions: Sequence[str], provider: EmbeddingProvider, k: int = 5, **options
+    index: DataFrame,
+    questions: DataFrame | Sequence[str],
+    provider: EmbeddingProvider,
+    k: int = 5,
+    **options,
 ) -> DataFrame:
     """The ``k`` nearest documents of an index per question, best first; ``options`` as of
-    :func:`vector_topk`. An empty index gives no rows."""
-    found = provider.embed(list(questions))
-    queries = {question: list(map(float, v)) for question, v in zip(questions, found, strict=True)}
-    return vector_topk(index, queries, k, **options)
+    :func:`vector_topk`. ``questions`` are texts or a table with a text column ``query_id``; they
+    are embedded in the tasks. An empty index gives no rows."""
+    if not isinstance(questions, DataFrame):
+        rows = [(question,) for question in questions]
+        questions = index.sparkSession.createDataFrame(rows, "query_id string")
+    asked = embed(questions.select("query_id").distinct(), "query_id", provider, "vector")
+    return vector_topk(index, asked, k, **options)

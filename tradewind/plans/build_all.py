@@ -16,6 +16,8 @@ from tradewind.sources.tables import (
     materialize,
     publish_serving,
     require_objects,
+    switch,
+    write_version,
 )
 
 # A latest order before this day means a stale delivery; tables compared by count.
@@ -46,15 +48,20 @@ def publish_staging(spark: SparkSession, raw: dict[str, DataFrame]) -> dict[str,
     return staged
 
 
-def build_marts(staged: dict[str, DataFrame], unique_orders: bool) -> dict[str, DataFrame]:
+def build_marts(
+    staged: dict[str, DataFrame], unique_orders: bool
+) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """Write dimensions, facts and KPIs in the order they depend on each other. Each is
     read back from its table, so nothing is computed twice and a lost executor costs no
     more than the stage at hand. Order facts are stored by month, which range queries on
-    the month then read in part. ``unique_orders`` says that order ids can be relied on."""
+    the month then read in part. ``unique_orders`` says that order ids can be relied on.
+    Returns the frames and their tables by name; what the marts show does not change yet."""
     tables: dict[str, DataFrame] = {}
+    versions: dict[str, str] = {}
 
     def keep(name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        tables[name] = materialize(df, f"marts.{name}", partition_by)
+        versions[name] = write_version(df, f"marts.{name}", partition_by)
+        tables[name] = df.sparkSession.table(versions[name])
         return tables[name]
 
     customers = keep("dim_customers", marts.dim_customers(staged["stg_customers"]))
@@ -72,7 +79,7 @@ def build_marts(staged: dict[str, DataFrame], unique_orders: bool) -> dict[str,
     keep("kpi_monthly_sales", marts.kpi_monthly(orders))
     keep("delivery_performance_monthly", marts.delivery_monthly(delivery))
     keep("kpi_overview", marts.kpi_overview(orders, None if unique_orders else delivery))
-    return tables
+    return tables, versions
 
 
 def check_report(
@@ -111,16 +118,19 @@ def build_all(
     provider: vectors.EmbeddingProvider | None = None,
     strict: bool = True,
 ) -> Build:
-    """Run every step; with ``strict`` a failed check stops before publishing."""
+    """Run every step. The new marts are written beside the old and checked there; with
+    ``strict`` a failed check stops before any of them is shown."""
     ensure_namespaces(spark)
     run_id = load_all(spark, source, prefix)
     raw = {spec.table: spark.table(f"raw.{spec.table}") for spec in SOURCES}
     staged = publish_staging(spark, raw)
-    tables = build_marts(staged, unique_orders=strict)
+    tables, versions = build_marts(staged, unique_orders=strict)
     report = materialize(check_report(raw, staged, tables), "marts.check_report")
     failed = [row.check_name for row in report.where("status = 'fail'").collect()]
     if failed and strict:
         raise FailedChecksError(f"data checks failed: {', '.join(sorted(failed))}")
+    for name, version in versions.items():
+        switch(spark, f"marts.{name}", version)
     publish_serving(spark)
     require_objects(spark)
     build_index(spark, staged, provider or vectors.HashingProvider())

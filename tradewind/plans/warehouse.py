@@ -94,12 +94,33 @@ class Warehouse:
 
     @cached_property
     def payments(self) -> DataFrame:
-        return self.table("orders").select(
+        """One to three payments per order, the later ones by voucher; the last pays what the
+        others left of the price."""
+        count = F.pmod(F.col("o_orderkey"), F.lit(3)).cast("int") + 1
+        parts = self.table("orders").select(
             F.col("o_orderkey").alias("order_id"),
-            F.lit(1).alias("payment_sequential"),
-            F.col("o_orderpriority").alias("payment_type"),
-            F.lit(1).alias("payment_installments"),
-            F.col("o_totalprice").cast(PRICE).alias("payment_value"),
+            "o_orderpriority",
+            (F.col("o_totalprice").cast(PRICE) * 100).cast("bigint").alias("cents"),
+            count.alias("n"),
+            F.explode(F.sequence(F.lit(1), count)).alias("payment_sequential"),
+        )
+        number = F.col("payment_sequential")
+        share = F.floor(F.col("cents") / F.col("n")).cast("bigint")
+        paid = F.when(number < F.col("n"), share).otherwise(
+            F.col("cents") - share * (F.col("n") - 1)
+        )
+        return parts.select(
+            "order_id",
+            "payment_sequential",
+            F.when(number == 1, F.col("o_orderpriority")).otherwise("voucher").alias(
+                "payment_type"
+            ),
+            (F.pmod(F.col("order_id") + number, F.lit(12)) + 1).cast("int").alias(
+                "payment_installments"
+            ),
+            (paid.cast("decimal(12,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(PRICE).alias(
+                "payment_value"
+            ),
         )
 
     @cached_property
@@ -242,7 +263,9 @@ class Warehouse:
             F.col("order_id").cast("string").alias("order_id"),
             F.col("payment_sequential").cast("string").alias("payment_sequential"),
             F.concat(F.lit(" "), F.col("payment_type"), F.lit(" ")).alias("payment_type"),
-            F.lit("").alias("payment_installments"),
+            F.when(F.col("payment_installments") == 7, "")
+            .otherwise(F.col("payment_installments").cast("string"))
+            .alias("payment_installments"),
             F.col("payment_value").cast("string").alias("payment_value"),
         )
 
@@ -291,13 +314,12 @@ class Warehouse:
     @cached_property
     def raw_geolocation(self) -> DataFrame:
         """One point per customer, by balance."""
-        return self.placed_customers.join(
-            self.table("customer").select(
-                F.col("c_custkey").alias("customer_id"), F.col("c_acctbal")
-            ),
-            "customer_id",
-        ).select(
-            F.col("customer_zip_code_prefix").cast("string").alias("geolocation_zip_code_prefix"),
+        points = self.table("customer").select("c_nationkey", "c_acctbal")
+        places = self.places.select(
+            "zip", F.col("city").alias("customer_city"), F.col("state").alias("customer_state")
+        )
+        return points.join(places, F.col("c_nationkey") == F.col("zip"), "left").select(
+            F.col("c_nationkey").cast("string").alias("geolocation_zip_code_prefix"),
             F.col("c_acctbal").cast("string").alias("geolocation_lat"),
             F.when(F.col("c_acctbal") < 0, "")
             .otherwise(F.col("c_acctbal").cast("string"))

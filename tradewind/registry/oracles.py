@@ -61,9 +61,16 @@ i AS (
     FROM lineitem
 ),
 pay AS (
-    SELECT o_orderkey AS order_id, 1 AS payment_sequential, o_orderpriority AS payment_type,
-        1 AS payment_installments, CAST(o_totalprice AS DECIMAL(12,2)) AS payment_value
-    FROM orders
+    SELECT order_id, payment_sequential,
+        CASE WHEN payment_sequential = 1 THEN o_orderpriority ELSE 'voucher' END AS payment_type,
+        CAST((order_id + payment_sequential) % 12 + 1 AS INTEGER) AS payment_installments,
+        CAST(CAST(CASE WHEN payment_sequential < n THEN cents // n
+            ELSE cents - cents // n * (n - 1) END AS DECIMAL(12,0)) * CAST(0.01 AS DECIMAL(3,2))
+            AS DECIMAL(12,2)) AS payment_value
+    FROM (SELECT o_orderkey AS order_id, o_orderpriority, o_orderkey % 3 + 1 AS n,
+            CAST(CAST(o_totalprice AS DECIMAL(12,2)) * 100 AS BIGINT) AS cents,
+            CAST(unnest(range(1, o_orderkey % 3 + 2)) AS INTEGER) AS payment_sequential
+        FROM orders) AS parts
 ),
 fo AS (
     SELECT o.order_id, o.customer_id, c.c_name AS customer_unique_id, o.order_status,
@@ -181,7 +188,7 @@ def marts() -> dict[str, str]:
     return {
         "fct_orders": query(ORDERS, "SELECT * FROM fo"),
         "fct_order_items": query(ORDERS, ITEMS, "SELECT * FROM fi"),
-        "fct_order_items_salted": query(
+        "fct_order_items_lookup": query(
             ORDERS, ITEMS,
             "SELECT order_id, order_item_id, product_id, seller_id, shipping_limit_ts, price, "
             "freight_value, category_name_en AS product_category_name_en FROM fi",
@@ -211,6 +218,15 @@ def marts() -> dict[str, str]:
         "dashboard_categories": query(*all_categories, f"""
             SELECT {category_columns} FROM cat
             ORDER BY total_revenue DESC, category_name_en LIMIT 3"""),
+        "dashboard": query(*all_categories, MONTHLY, OVERVIEW, """
+            SELECT 'overview' AS section, 'all' AS label, total_orders, gmv AS revenue FROM ov
+            UNION ALL SELECT 'series', CAST(month AS VARCHAR), total_orders, gmv FROM km
+                WHERE month BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'
+            UNION ALL SELECT * FROM (SELECT 'category', category_name_en, total_orders,
+                total_revenue FROM cat ORDER BY total_revenue DESC, category_name_en LIMIT 4)"""),
+        "bound_query": query(ORDERS, """
+            SELECT order_id, payment_total FROM fo WHERE payment_total > 150000.00
+                AND order_status = 'delivered' ORDER BY order_id LIMIT 200"""),
         "latest_quarter": query(ORDERS, MONTHLY, f"""
             SELECT {month_columns} FROM km
             WHERE month >= (SELECT max(month) FROM km) - INTERVAL 2 MONTHS ORDER BY month"""),
@@ -248,6 +264,14 @@ def staging() -> dict[str, str]:
             order_delivered_customer_ts AS order_delivered_carrier_ts,
             order_delivered_customer_ts, order_estimated_delivery_ts
         FROM o"""
+    reviews = """
+            SELECT 'r' || d.doc_id AS review_id, CAST(d.doc_id AS VARCHAR) AS order_id,
+                CAST(quality + 4 AS INTEGER) AS review_score,
+                nullif(CASE WHEN lang <> 'en' THEN lang END, '') AS review_comment_title,
+                nullif(text, '') AS review_comment_message,
+                TIMESTAMP '2018-01-02 03:04:05' AS review_creation_ts,
+                CASE WHEN toxic = 1 THEN TIMESTAMP '2018-02-03 00:00:00' END AS review_answer_ts
+            FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
     products = """
         SELECT CAST(product_id AS VARCHAR) AS product_id, product_category_name,
             product_category_name_en, CAST(length(p_name) AS INTEGER) AS product_name_length,
@@ -261,6 +285,13 @@ def staging() -> dict[str, str]:
     return {
         "stg_orders": query(ORDERS, orders),
         "csv_roundtrip": query(ORDERS, orders),
+        "csv_reviews": reviews,
+        "land_csv": """
+            SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey,
+                CAST(l_linenumber AS VARCHAR) AS l_linenumber,
+                coalesce(CAST(l_partkey AS VARCHAR), '') AS l_partkey, l_returnflag,
+                'line ' || chr(10) || l_linestatus AS status, '' AS nothing
+            FROM lineitem""",
         "stg_order_items": query(ORDERS, """
             SELECT CAST(order_id AS VARCHAR) AS order_id, CAST(order_item_id AS INTEGER) AS
                 order_item_id, CAST(product_id AS VARCHAR) AS product_id,
@@ -269,16 +300,9 @@ def staging() -> dict[str, str]:
             FROM i"""),
         "stg_order_payments": query(ORDERS, """
             SELECT CAST(order_id AS VARCHAR) AS order_id, payment_sequential, payment_type,
-                CAST(NULL AS INTEGER) AS payment_installments, payment_value
+                nullif(payment_installments, 7) AS payment_installments, payment_value
             FROM pay"""),
-        "stg_order_reviews": """
-            SELECT 'r' || d.doc_id AS review_id, CAST(d.doc_id AS VARCHAR) AS order_id,
-                CAST(quality + 4 AS INTEGER) AS review_score,
-                nullif(CASE WHEN lang <> 'en' THEN lang END, '') AS review_comment_title,
-                nullif(text, '') AS review_comment_message,
-                TIMESTAMP '2018-01-02 03:04:05' AS review_creation_ts,
-                CASE WHEN toxic = 1 THEN TIMESTAMP '2018-02-03 00:00:00' END AS review_answer_ts
-            FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+        "stg_order_reviews": reviews,
         "stg_customers": query(PLACES, """
             SELECT CAST(c_custkey AS VARCHAR) AS customer_id, c_name AS customer_unique_id,
                 CAST(nullif(c_nationkey, 0) AS INTEGER) AS customer_zip_code_prefix,
@@ -305,7 +329,8 @@ def staging() -> dict[str, str]:
             SELECT o_orderpriority AS priority,
                 CAST(sum(CAST(split_part(o_orderpriority, '-', 1) AS INTEGER)) AS BIGINT)
                     AS number_sum,
-                CAST(0 AS BIGINT) AS castable,
+                CAST(CASE o_orderpriority WHEN '5-LOW' THEN count(*) FILTER (
+                    WHERE o_orderstatus <> 'P') ELSE 0 END AS BIGINT) AS castable,
                 count(*) FILTER (WHERE o_orderstatus <> 'P') AS not_blank
             FROM orders GROUP BY 1""",
     }
@@ -422,6 +447,12 @@ def summaries() -> dict[str, str]:
             WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS q"""
         for i, (a, b) in enumerate(pairs)
     )
+    measures = ["total_orders", "delivered_orders", "gmv", "avg_order_value"]
+    monthly_pairs = "\nUNION ALL ".join(
+        f"""SELECT '{a}' AS x, '{b}' AS y, covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)) AS r
+        FROM (SELECT CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y FROM km) AS q"""
+        for i, a in enumerate(measures) for b in measures[i + 1 :]
+    )
     profile = [
         ("o_orderkey", "count(o_orderkey)", "count(o_orderkey)"),
         ("priority_number", "count(*)", "count(*)"),
@@ -457,6 +488,15 @@ def summaries() -> dict[str, str]:
                 CAST(0 AS DOUBLE) AS avg,
                 (SELECT count(DISTINCT event_type) FROM events) AS total_groups
             FROM events GROUP BY event_type""",
+        "summaries": query(ORDERS, MONTHLY, f"""
+            SELECT 'drill_down' AS summary, CAST(month AS VARCHAR) AS name,
+                CAST(gmv AS DOUBLE) AS value
+            FROM (SELECT * FROM km ORDER BY gmv DESC, month LIMIT 15) AS d
+            UNION ALL SELECT 'correlation', x || ' ' || y, round(r, 4) FROM ({monthly_pairs}) AS c
+            UNION ALL SELECT 'time_series', CASE WHEN l > f THEN 'up' WHEN l < f THEN 'down'
+                ELSE 'flat' END, round((l - f) / f * 100, 2)
+            FROM (SELECT CAST(arg_min(gmv, month) AS DOUBLE) AS f,
+                CAST(arg_max(gmv, month) AS DOUBLE) AS l FROM km) AS t"""),
         "correlations": f"""
             WITH t AS (
                 SELECT l_quantity, l_extendedprice, l_discount,
@@ -474,18 +514,18 @@ def summaries() -> dict[str, str]:
         "chart_series": query(ORDERS, MONTHLY, """
             SELECT CAST(row_number() OVER (ORDER BY month) AS INTEGER) AS position,
                 CAST(month AS VARCHAR) AS x, CAST(gmv AS DOUBLE) AS y, 'line' AS chart_type,
-                'gmv' AS value_column, 'month' AS label_column, 'gmv theo month' AS title
-            FROM km ORDER BY month LIMIT 30"""),
+                'gmv' AS value_column, 'month' AS label_column, 'gmv theo month' AS title, (SELECT count(*) FROM km) AS total_points
+            FROM km ORDER BY month"""),
         "figure_block": query(ORDERS, MONTHLY, """
             SELECT CAST(row_number() OVER (ORDER BY month) AS INTEGER) AS position,
                 CAST(month AS VARCHAR) AS x, CAST(gmv AS DOUBLE) AS y, 'bar' AS chart_type,
-                'gmv' AS value_column, 'month' AS label_column, 'gmv trend' AS title
-            FROM km ORDER BY month LIMIT 24"""),
+                'gmv' AS value_column, 'month' AS label_column, 'gmv trend' AS title, (SELECT count(*) FROM km) AS total_points
+            FROM km ORDER BY month"""),
         "chart_top": query(ORDERS, ITEMS, CATEGORIES, """
             SELECT CAST(row_number() OVER (ORDER BY total_revenue DESC) AS INTEGER) AS position,
                 category_name_en AS x, CAST(total_revenue AS DOUBLE) AS y, 'bar' AS chart_type,
                 'total_revenue' AS value_column, 'category_name_en' AS label_column,
-                'total_revenue theo category_name_en' AS title
+                'total_revenue theo category_name_en' AS title, (SELECT count(*) FROM cat) AS total_points
             FROM cat ORDER BY total_revenue DESC LIMIT 15"""),
     }
 
@@ -586,7 +626,7 @@ def text_queries() -> dict[str, str]:
                 FROM conversations
             )
             SELECT conv_id, count(*) AS n_turns,
-                string_agg(upper(role) || ': ' || substr(said, 1, 300), chr(10) ORDER BY turn)
+                string_agg(upper(role) || ': ' || said, chr(10) ORDER BY turn)
                     AS context
             FROM last WHERE rank <= 6 AND length(role) > 0 AND length(said) > 0
             GROUP BY conv_id""",
@@ -643,7 +683,7 @@ def catalog() -> dict[str, str]:
             SELECT table_schema, table_name, column_name, data_type FROM inv
             WHERE table_schema IN ('economy', 'promo', 'small')
                 AND (table_name ILIKE '%RED_%' OR column_name ILIKE '%RED_%')
-            ORDER BY table_schema, table_name, ordinal_position LIMIT 300"""),
+            ORDER BY table_schema, table_name, ordinal_position"""),
         "table_documents": query(INVENTORY, """
             SELECT CAST('0x' || substr(md5(table_schema || '.' || table_name), 1, 15) AS BIGINT)
                     AS id,
@@ -696,6 +736,17 @@ def vector_queries() -> dict[str, str]:
             SELECT vec_id + 1000000000, CAST(label AS INTEGER), 2,
                 round(CAST(embedding[1] AS DOUBLE), 6)
             FROM embeddings WHERE label < 3""",
+        "vector_topk_bulk": """
+            SELECT query_id, score, id, label, rank FROM (
+                SELECT query_id, score, id, label, CAST(row_number() OVER (
+                    PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank
+                FROM (
+                    SELECT q.vec_id AS query_id, e.vec_id AS id, e.label,
+                        round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]),
+                            CAST(e.embedding AS DOUBLE[])), 6) AS score
+                    FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0
+                ) AS s) AS r
+            WHERE rank <= 5""",
         "embed_documents": r"""
             WITH token AS (
                 SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS t
@@ -703,14 +754,13 @@ def vector_queries() -> dict[str, str]:
             ), place AS (
                 SELECT doc_id, CAST(CAST('0x' || substr(md5(t), 1, 16) AS UBIGINT) % 64
                     AS INTEGER) AS p, count(*) AS n FROM token GROUP BY ALL
-            ), shown AS (
-                SELECT doc_id, string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS filled,
-                    first(p ORDER BY n DESC, p) AS heaviest
-                FROM place GROUP BY doc_id
-            )
-            SELECT doc_id, 64 AS dim, coalesce(filled, '') AS filled,
-                coalesce(heaviest, 0) AS heaviest
-            FROM documents LEFT JOIN shown USING (doc_id)""",
+            ), long AS (
+                SELECT doc_id, sqrt(sum(n * n)) AS length FROM place GROUP BY doc_id
+            ), spot AS (SELECT doc_id, unnest(range(0, 64)) AS p FROM documents)
+            SELECT s.doc_id, string_agg(printf('%.4f', round(coalesce(n / length, 0), 4)), ','
+                ORDER BY s.p) AS weights
+            FROM spot s LEFT JOIN place USING (doc_id, p) LEFT JOIN long USING (doc_id)
+            GROUP BY s.doc_id""",
         "index_size": "SELECT count(*) AS n_vectors FROM embeddings",
     }
 

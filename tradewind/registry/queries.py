@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,15 +11,17 @@ from pyspark.sql import functions as F
 from tradewind.functions import text
 from tradewind.functions.columns import stable_id, typed
 from tradewind.operators import analytics, catalog, quality, ranking, vectors
-from tradewind.operators.joins import lookup, salted_lookup
+from tradewind.operators.joins import lookup
 from tradewind.plans import kpis, marts
-from tradewind.plans.staging import MODELS, stg_orders
+from tradewind.plans.staging import MODELS, stage, stg_orders
 from tradewind.plans.warehouse import Warehouse
 from tradewind.registry.inputs import QUESTIONS, question_vectors
 from tradewind.session import shared_folder
+from tradewind.sources import landing
 from tradewind.sources.ledger import latest_runs
 from tradewind.sources.raw import read_raw
 from tradewind.sources.specs import SOURCES
+from tradewind.sources.tables import run_query
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -59,10 +62,10 @@ def kpi_overview_two_facts(w: Warehouse) -> DataFrame:
 
 
 @register
-def fct_order_items_salted(w: Warehouse) -> DataFrame:
-    """The look-up for large dimensions, with every key of five rows or more taken as hot."""
+def fct_order_items_lookup(w: Warehouse) -> DataFrame:
+    """The look-up alone, to be run with a dimension too large to broadcast as well."""
     category = w.products.select("product_id", "product_category_name_en")
-    return salted_lookup(w.items, category, "product_id", hot_rows=5)
+    return lookup(w.items, category, "product_id")
 
 
 @register
@@ -103,13 +106,41 @@ def csv_roundtrip(w: Warehouse) -> DataFrame:
     return stg_orders(read_raw(w.spark, spec, folder))
 
 
+@register
+def csv_reviews(w: Warehouse) -> DataFrame:
+    """Reviews, whose cells hold commas, quotes and line ends, as a source file and back."""
+    folder = shared_folder(w.spark, "csv")
+    spec = next(s for s in SOURCES if s.table == "order_reviews")
+    writer = w.raw_order_reviews.write.option("header", True).option("emptyValue", "")
+    for side in ("ignoreLeadingWhiteSpace", "ignoreTrailingWhiteSpace"):
+        writer = writer.option(side, False)
+    writer.option("escape", '"').csv(spec.path(folder))
+    return stage("stg_order_reviews", lambda _: read_raw(w.spark, spec, folder))
+
+
+@register
+def land_csv(w: Warehouse) -> DataFrame:
+    """Every order line as an uploaded file, landed as text."""
+    path = f"{shared_folder(w.spark, 'upload')}/lines.csv"
+    lines = w.table("lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag",
+        F.concat(F.lit("line \n"), "l_linestatus").alias("status"), F.lit("").alias("nothing"),
+    )
+    writer = lines.write.option("header", True).option("escape", '"').option("emptyValue", "")
+    writer.option("ignoreTrailingWhiteSpace", False).csv(path)
+    return w.spark.table(landing.land_csv(w.spark, path, datetime.now(timezone.utc)).table)
+
+
 @register
 def lenient_casts(w: Warehouse) -> DataFrame:
     """Quarantine form of the typed cast: malformed cells become NULL, and are counted."""
     cells = w.table("orders").select(
         F.col("o_orderpriority").alias("priority"),
         F.split("o_orderpriority", "-")[0].alias("number"),
-        F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderpriority")).alias("bad"),
+        F.when(F.col("o_orderstatus") == "P", "")
+        .when(F.col("o_orderpriority") == "5-LOW", "5")
+        .otherwise(F.col("o_orderpriority"))
+        .alias("bad"),
     )
     return cells.groupBy("priority").agg(
         F.sum(typed("number", "int", strict=False)).alias("number_sum"),
@@ -136,6 +167,56 @@ def dashboard_categories(w: Warehouse) -> DataFrame:
     return kpis.top_categories(w.sales_by_category, 3)
 
 
+@register
+def dashboard(w: Warehouse) -> DataFrame:
+    """Overview, two years of months and the four best categories in one list."""
+    summary = kpis.kpi_summary(w.kpi_overview, w.kpi_monthly, "1996-01-01", "1997-12-31")
+    board = kpis.Dashboard(summary, kpis.top_categories(w.sales_by_category, 4))
+
+    def section(name: str, df: DataFrame, label, revenue: str) -> DataFrame:
+        return df.select(
+            F.lit(name).alias("section"), label.cast("string").alias("label"), "total_orders",
+            F.col(revenue).alias("revenue"),
+        )
+
+    return quality.union_all([
+        section("overview", board.summary.overview, F.lit("all"), "gmv"),
+        section("series", board.summary.series, F.col("month"), "gmv"),
+        section("category", board.top_categories, F.col("category_name_en"), "total_revenue"),
+    ])
+
+
+@register
+def bound_query(w: Warehouse) -> DataFrame:
+    """Query text with bound values over a given table, cut on the outside."""
+    w.order_totals.createOrReplaceTempView("bound_orders")
+    found = run_query(
+        w.spark,
+        "SELECT order_id, payment_total FROM bound_orders "
+        "WHERE payment_total > :low AND order_status = :status ORDER BY order_id",
+        low=150_000,
+        status="delivered",
+    )
+    return ranking.bounded(found, 200)
+
+
+@register
+def summaries(w: Warehouse) -> DataFrame:
+    """Drill-down, correlation and trend of the monthly KPIs as (summary, name, value)."""
+    found = analytics.summaries(w.kpi_monthly)
+    shown = {
+        "drill_down": (F.col("group"), F.col("sum")),
+        "correlation": (F.concat_ws(" ", "x", "y"), F.col("pearson")),
+        "time_series": (F.col("trend"), F.col("pct_change")),
+    }
+    return quality.union_all([
+        found[kind].select(
+            F.lit(kind).alias("summary"), name.alias("name"), value.cast("double").alias("value")
+        )
+        for kind, (name, value) in shown.items()
+    ])
+
+
 @register
 def latest_quarter(w: Warehouse) -> DataFrame:
     return kpis.latest_months(w.kpi_monthly, 3)
@@ -472,26 +553,27 @@ def vector_upsert(w: Warehouse) -> DataFrame:
     )
 
 
+@register
+def vector_topk_bulk(w: Warehouse) -> DataFrame:
+    """Every fiftieth vector as a question to all vectors."""
+    asked = w.table("embeddings").where("vec_id % 50 = 0").select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")
+    )
+    return vectors.vector_topk(embeddings(w), asked, 5, payload=["label"])
+
+
 @register
 def index_size(w: Warehouse) -> DataFrame:
-    return w.table("embeddings").agg(F.count("*").alias("n_vectors"))
+    embeddings(w).createOrReplaceTempView("embedding_collection")
+    return vectors.index_size(w.spark, "embedding_collection")
 
 
 @register
 def embed_documents(w: Warehouse) -> DataFrame:
-    """Whole documents to vectors, shown by the places that are filled."""
-    documents = w.table("documents").select("doc_id", "text")
-    vector = vectors.embed(documents, "text", vectors.HashingProvider(64))
-    filled = F.filter(
-        F.transform("embedding", lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull()
-    )
-    heaviest = F.array_position("embedding", F.array_max("embedding")) - 1
-    return vector.select(
-        "doc_id",
-        F.size("embedding").alias("dim"),
-        F.array_join(filled.cast("array<string>"), ",").alias("filled"),
-        heaviest.cast("int").alias("heaviest"),
-    )
+    """Whole documents to vectors, with every weight."""
+    vector = vectors.embed_words(w.table("documents"), ["doc_id"], "text", 64)
+    weights = F.transform("embedding", lambda x: F.format_string("%.4f", F.round(x, 4)))
+    return vector.select("doc_id", F.array_join(weights, ",").alias("weights"))
 
 
 # Load ledger

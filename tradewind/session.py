@@ -28,6 +28,9 @@ SETTINGS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+# Enough for shuffles of tens of terabytes at the advisory size, and little work for AQE to merge.
+INITIAL_PARTITIONS = 20_000
+
 
 def build_session(
     app: str = "tradewind",
@@ -35,8 +38,9 @@ def build_session(
     shuffle_partitions: int | None = None,
     extra: dict[str, str] | None = None,
 ) -> SparkSession:
-    """Session with the settings above. On a cluster leave ``master`` to spark-submit and
-    give ``shuffle_partitions`` as total shuffle bytes / 128 MB; AQE merges what is left over."""
+    """Session with the settings above. On a cluster leave ``master`` to spark-submit. Shuffles
+    begin with INITIAL_PARTITIONS, which AQE merges to partitions of the advisory size;
+    ``shuffle_partitions`` takes another number, a small one for local runs."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -44,6 +48,10 @@ def build_session(
         builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    else:
+        builder = builder.config(
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(INITIAL_PARTITIONS)
+        )
     return builder.getOrCreate()
 
 

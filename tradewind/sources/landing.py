@@ -10,13 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tradewind.sources.files import file_sizes
+from tradewind.sources.files import exists
 from tradewind.sources.raw import csv_reader
 from tradewind.sources.tables import UPLOADS, ensure_namespaces, materialize
 
-# Limits of an upload.
-MAX_BYTES = 50 * 1024 * 1024
-MAX_ROWS = 50_000
+# Characters of a table or column name, and what is taken for CSV.
 MAX_NAME = 60
 EXTENSIONS = {"csv", "txt"}
 
@@ -42,21 +40,19 @@ def identifier(name: str) -> str:
     return name
 
 
-def read_upload(spark: SparkSession, path: str) -> DataFrame:
-    """The first 50 000 rows of the file under slugged column names.
+def read_upload(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """All rows of the file under slugged column names.
 
-    Only files up to 50 MB pass, so reading the file in one task is bounded, and in one task
-    the first rows are the file's first rows. Missing cells of a short row are NULL, spare
-    cells of a long one are dropped."""
-    sizes = file_sizes(spark, path)
-    if not sizes:
+    Cells may run over line ends, so one task streams through a file; a large upload without
+    such cells is split between tasks by ``multiline=False``, and a folder of parts is read
+    in parallel either way. Missing cells of a short row are NULL, spare cells of a long one
+    are dropped."""
+    if not exists(spark, path):
         raise FileNotFoundError(f"upload not found: {path}")
-    if sum(sizes) > MAX_BYTES:
-        raise ValueError(f"upload of {sum(sizes)} bytes exceeds {MAX_BYTES}")
     if path.rpartition(".")[2].lower() not in EXTENSIONS:
         raise ValueError(f"uploads are CSV text, not {path}")
 
-    header = csv_reader(spark, multiline=True).option("header", False).csv(path).first()
+    header = csv_reader(spark, multiline).option("header", False).csv(path).first()
     if header is None:
         raise ValueError(f"no header in {path}")
     names = [identifier(slug(cell or "")) for cell in header]
@@ -65,13 +61,12 @@ def read_upload(spark: SparkSession, path: str) -> DataFrame:
 
     schema = StructType([StructField(name, StringType()) for name in [*names, BAD_ROW]])
     rows = (
-        csv_reader(spark, multiline=True)
+        csv_reader(spark, multiline)
         .option("header", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", BAD_ROW)
         .schema(schema)
         .csv(path)
-        .limit(MAX_ROWS)
     )
     # In a whole row an empty cell is an empty text, not a missing one.
     whole = F.col(BAD_ROW).isNull()
@@ -81,11 +76,13 @@ def read_upload(spark: SparkSession, path: str) -> DataFrame:
     ])
 
 
-def land_csv(spark: SparkSession, path: str, now: datetime) -> Landed:
+def land_csv(
+    spark: SparkSession, path: str, now: datetime, multiline: bool = True
+) -> Landed:
     """Store an upload as ``uploads.<file name>_<utc time>``."""
     stem = path.rpartition("/")[2].rpartition(".")[0]
     table = identifier(f"{slug(stem)}_{now:%Y%m%d_%H%M%S}")
-    df = read_upload(spark, path)
+    df = read_upload(spark, path, multiline)
     ensure_namespaces(spark, [UPLOADS])
     landed = materialize(df, f"{UPLOADS}.{table}")
     return Landed(f"{UPLOADS}.{table}", df.columns, landed.count())

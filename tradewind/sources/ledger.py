@@ -9,8 +9,6 @@ from decimal import ROUND_HALF_EVEN, Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ERROR_WIDTH = 2000
-
 EVENTS = (
     "run_id string, event_ts timestamp, status string, duration_seconds decimal(12,2), "
     "error_message string, table_name string, row_count bigint"
@@ -75,7 +73,7 @@ class RunLedger:
             run_id=run_id,
             status=status,
             duration_seconds=duration,
-            error_message=None if error is None else error[:ERROR_WIDTH],
+            error_message=error,
         )
 
     def events(self) -> DataFrame:

@@ -7,15 +7,11 @@ import time
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.sources.files import exists, file_sizes
+from tradewind.sources.files import exists
 from tradewind.sources.ledger import RunLedger
 from tradewind.sources.specs import SOURCES, SourceSpec
 from tradewind.sources.tables import ensure_namespaces, materialize
 
-# Files up to this size are read whole, one task per file; larger ones are split if their
-# records allow it.
-WHOLE_FILE_BYTES = 128 * 1024 * 1024
-
 
 def csv_reader(spark: SparkSession, multiline: bool) -> DataFrameReader:
     """Comma-separated text with doubled quotes. A quoted empty cell is an empty string, a
@@ -49,12 +45,12 @@ def read_raw(
 
     A ragged row fails the job. ``check_header`` also compares the names in the header;
     without it columns go by position alone. The path may name a folder or glob of parts.
-    ``multiline`` left open is found out: files above WHOLE_FILE_BYTES are first scanned
-    for records that span lines, and are split between tasks when there are none."""
+    ``multiline`` left open is what the specification declares. Files without such cells are
+    split at line ends whatever their size, after a pass that makes sure of it."""
     path = spec.path(directory, prefix)
-    if multiline is None:
-        large = max(file_sizes(spark, path), default=0) > WHOLE_FILE_BYTES
-        multiline = not large or has_spanning_records(spark, path)
+    multiline = spec.multiline if multiline is None else multiline
+    if not multiline and has_spanning_records(spark, path):
+        raise ValueError(f"{path} has cells that run over line ends; declare it multiline")
     return (
         csv_reader(spark, multiline)
         .schema(spec.schema)

@@ -9,12 +9,15 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 @dataclass(frozen=True)
 class SourceSpec:
-    """``file_name`` is the end of the file's name; deliveries may put a prefix before it."""
+    """``file_name`` is the end of the file's name; deliveries may put a prefix before it. Cells of
+    a ``multiline`` source may run over line ends: one task then streams through each file, so
+    large deliveries of it come as several files. All other files are split at line ends."""
 
     file_name: str
     table: str
     columns: tuple[str, ...]
     prefixed: bool = True
+    multiline: bool = False
 
     @property
     def schema(self) -> StructType:
@@ -86,6 +89,7 @@ SOURCES = [
             "review_creation_date",
             "review_answer_timestamp",
         ),
+        multiline=True,
     ),
     SourceSpec(
         "orders_dataset.csv",

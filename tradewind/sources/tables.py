@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 LAYERS = ["raw", "staging", "marts", "serving"]
@@ -32,18 +34,58 @@ def ensure_namespaces(spark: SparkSession, names: list[str] | None = None) -> No
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}")
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Replace a parquet table and return it. The written table cuts the lineage.
+def write_version(df: DataFrame, name: str, partition_by: list[str] | None = None) -> str:
+    """Write the new content of ``name`` as a parquet table of its own and return that table's
+    name. What ``name`` shows does not change.
 
     For a partitioned table rows of one partition are brought together first, and AQE splits
     the large partitions again, so that files have a useful size either way."""
     if partition_by:
         df = df.hint("rebalance", *partition_by)
-    writer = df.write.mode("overwrite").format("parquet")
+    writer = df.write.format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(name)
-    return df.sparkSession.table(name)
+    version = f"{name}__{uuid.uuid4().hex}"
+    writer.saveAsTable(version)
+    return version
+
+
+def switch(spark: SparkSession, name: str, version: str) -> DataFrame:
+    """Let ``name``, a view, show a complete version. The version it showed before stays for
+    readers that have it open; older ones are dropped. A version that is just being written
+    by another run is not among them: only versions that ``name`` has shown are."""
+    shown = _shown(spark, name)
+    if not shown and spark.catalog.tableExists(name):
+        if spark.catalog.getTable(name).tableType != "VIEW":
+            spark.sql(f"DROP TABLE {name}")
+    kept = [version, *[v for v in shown if v != version]][:2]
+    marks = ",".join(v.rpartition(".")[2] for v in kept)
+    spark.sql(
+        f"CREATE OR REPLACE VIEW {name} TBLPROPERTIES ('versions' = '{marks}') "
+        f"AS SELECT * FROM {version}"
+    )
+    for old in shown:
+        if old not in kept:
+            spark.sql(f"DROP TABLE IF EXISTS {old}")
+    return spark.table(name)
+
+
+def _shown(spark: SparkSession, name: str) -> list[str]:
+    """The versions that the view ``name`` shows now and showed before; none if it is no such
+    view."""
+    if not spark.catalog.tableExists(name):
+        return []
+    rows = spark.sql(f"SHOW TBLPROPERTIES {name}").where("key = 'versions'").take(1)
+    layer = name.rpartition(".")[0]
+    found = rows[0]["value"].split(",") if rows else []
+    return [f"{layer}.{v}" if layer else v for v in found]
+
+
+def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Replace the content of ``name`` and return it. The written table cuts the lineage. The new
+    content is written beside the old and then shown in its place, so readers and a run that
+    breaks off never see half of it."""
+    return switch(df.sparkSession, name, write_version(df, name, partition_by))
 
 
 def register_view(df: DataFrame, name: str) -> DataFrame:
