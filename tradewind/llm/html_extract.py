@@ -59,6 +59,7 @@ ENDS = {
     "option": frozenset({"option"}),
 }
 _WORD = re.compile("[a-z0-9]+")
+_CUT = re.compile(r"<(?:!--.*|[A-Za-z/!?][^>]*)\Z", re.DOTALL)
 
 
 class Lines(HTMLParser):
@@ -167,6 +168,8 @@ class Lines(HTMLParser):
             self.linked += len(data)
 
     def done(self):
+        # A comment or tag that the page ends in is no text.
+        self.rawdata = _CUT.sub("", self.rawdata)
         self.close()
         self._end_line()
         return self.lines
