@@ -26,7 +26,7 @@ from tradewind.llm.words import (
 # Words of a window.
 WINDOW = 13
 # Windows that a task gathers before it settles those of its own and passes the rest on.
-GATHER = 1_000_000
+GATHER = 800_000
 NO_ID = (1 << 63) - 1
 
 
@@ -67,22 +67,21 @@ def _windows(buf, bounds, window: int):
 
 
 def _half_windows(batches, window: int, gather: int) -> Iterator[pa.RecordBatch]:
-    """Per task and hash of an anchor the least and the greatest id."""
+    """Hashes of anchors, each once per gathered part of a task, with 1, or 2 if several documents
+    of the part have it. No document is in two parts, so what adds up to more than 1 repeats."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
     def settled():
         hashes = np.concatenate([h for h, _ in held])
         ids = np.concatenate([i for _, i in held])
+        held.clear()
         order = np.argsort(hashes)
         hashes, ids = hashes[order], ids[order]
         at = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-        least, greatest = np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at)
-        # Rows of a document together: what they share is compressed away in the shuffle.
-        order = np.argsort(least, kind="stable")
+        several = np.minimum.reduceat(ids, at) < np.maximum.reduceat(ids, at)
         yield from pa.Table.from_arrays(
-            [signed(hashes[at][order]), pa.array(least[order]), pa.array(greatest[order])],
-            ["hash", "least", "greatest"],
+            [signed(hashes[at]), pa.array(several.astype(np.int64) + 1)], ["hash", "documents"]
         ).to_batches(max_chunksize=100_000)
 
     for batch in batches:
@@ -96,7 +95,7 @@ def _half_windows(batches, window: int, gather: int) -> Iterator[pa.RecordBatch]
             size += len(places)
             if size >= gather:
                 yield from settled()
-                held, size = [], 0
+                size = 0
     if held:
         yield from settled()
 
@@ -109,21 +108,22 @@ def _whole_windows(batches, window: int, gather: int, repeated: bytes) -> Iterat
     size = 0
 
     def out(a, b, ids, marks, places, packed):
+        # Mark and place share a number, which leaves fewer zeros to shuffle.
         table = pa.Table.from_arrays(
             [
                 signed(a),
                 pa.array(b.astype(np.uint32).view(np.int32)),
                 pa.array(ids),
-                pa.array(marks),
-                pa.array(places, pa.int32()),
-                pa.array(packed, pa.binary()),
+                pa.array((marks.astype(np.int64) << 32) | places.astype(np.int64)),
+                packed,
             ],
-            ["a", "b", "id", "mark", "place", "packed"],
+            ["a", "b", "id", "at", "packed"],
         )
         return table.to_batches(max_chunksize=100_000)
 
     def settled():
         a, b, ids, marks, places = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         order = np.lexsort((ids, b, a))
         a, b, ids, marks, places = a[order], b[order], ids[order], marks[order], places[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
@@ -132,7 +132,8 @@ def _whole_windows(batches, window: int, gather: int, repeated: bytes) -> Iterat
         rest = np.flatnonzero(ids != least)
         # Rows of a document together: what they share is compressed away in the shuffle.
         first = first[np.lexsort((places[first], marks[first], ids[first]))]
-        yield from out(a[first], b[first], ids[first], marks[first], places[first], [None] * len(first))
+        yield from out(a[first], b[first], ids[first], marks[first], places[first], pa.nulls(len(first), pa.binary()))
+        del a, b
         ids, marks, places = ids[rest], marks[rest], places[rest]
         if len(ids):
             order = np.lexsort((marks, ids))
@@ -140,7 +141,7 @@ def _whole_windows(batches, window: int, gather: int, repeated: bytes) -> Iterat
             at = np.flatnonzero(
                 np.concatenate([[True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])])
             )
-            packed = [x.tobytes() for x in np.split(places, at[1:])]
+            packed = pa.array([x.tobytes() for x in np.split(places, at[1:])], pa.binary())
             ids, marks = ids[at], marks[at]
             # A key of their own: they meet no other row.
             key = span_hashes(
@@ -171,7 +172,7 @@ def _whole_windows(batches, window: int, gather: int, repeated: bytes) -> Iterat
             size += len(first)
             if size >= gather:
                 yield from settled()
-                held, size = [], 0
+                size = 0
     if held:
         yield from settled()
 
@@ -188,8 +189,7 @@ def repeated_windows(
     with a smaller id: (id, mark, places, packed), one row per document that has any.
 
     Level by level: the half windows are counted first, at one anchor per window (the half with
-    the least hash, which equal windows share), and their least and greatest document tell those
-    that repeat. Only windows with a repeated half are extended to the whole length and compared
+    the least hash, which equal windows share), and those of one document alone are left out. Only windows with a repeated half are extended to the whole length and compared
     by 96 bits, and at that length none is left to extend. Every task first settles the windows
     of its own rows, so what many documents share is shuffled once per task and not per document.
     The repeated halves reach the tasks as a bitmap of ``bits`` bits, whose false members only
@@ -198,24 +198,21 @@ def repeated_windows(
 
     halves = keyed.select("id", "text").mapInArrow(
         lambda batches: _half_windows(batches, window, gather),
-        "hash bigint, least bigint, greatest bigint",
-    )
-    repeated = (
-        halves.groupBy("hash")
-        .agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
-        .where("least < greatest")
+        "hash bigint, documents bigint",
     )
+    repeated = halves.groupBy("hash").agg(F.sum("documents").alias("documents")).where("documents > 1")
     bitmap = bitmap_of(repeated, "hash", bits)
     whole = keyed.mapInArrow(
         lambda batches: _whole_windows(batches, window, gather, bitmap.value),
-        "a bigint, b int, id bigint, mark int, place int, packed binary",
+        "a bigint, b int, id bigint, at bigint, packed binary",
     )
     of_window = Window.partitionBy("a", "b")
     later = whole.withColumn("least", F.min("id").over(of_window)).where(
         "packed IS NOT NULL OR id > least"
     )
-    return later.groupBy("id", "mark").agg(
-        F.collect_list(F.when(F.col("packed").isNull(), F.col("place"))).alias("places"),
+    place = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    return later.groupBy("id", F.shiftright("at", 32).cast("int").alias("mark")).agg(
+        F.collect_list(F.when(F.col("packed").isNull(), place)).alias("places"),
         F.collect_list("packed").alias("packed"),
     )
 
