@@ -141,7 +141,7 @@ def test_pipeline_stages(spark, request, where):
     clean = {r.doc_id for r in find_passages(held[2], benchmark).collect() if not r.n_hit}
     assert set(ids(held[3])) == clean
     mixed = ids(held[4])
-    assert set(mixed) <= clean and max(mixed.values()) <= 2
+    assert mixed and set(mixed) <= clean and max(mixed.values()) <= 2
     rows = stages[-1](spark, held[4], sf_dir).collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
     assert {r.doc_id for r in rows} == set(mixed)
