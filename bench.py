@@ -1,4 +1,4 @@
-"""Times the headline queries and prints one JSON line.
+"""Times the registered queries of the platform and prints one JSON line.
 
 BENCH_SF_DIR names the folder of parquet tables, BENCH_CPUS the local cores, BENCH_RUNS the
 timed runs per query (the median counts) and BENCH_QUERIES a comma-separated choice.
@@ -18,41 +18,13 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from tradewind.registry.queries import REGISTERED  # noqa: E402
 from tradewind.session import build_session  # noqa: E402
 
-HEADLINE = [
-    "fct_orders",
-    "fct_order_items",
-    "fct_delivery",
-    "sales_by_category",
-    "kpi_monthly_sales",
-    "delivery_monthly",
-    "kpi_overview",
-    "recent_orders",
-    "top_categories",
-    "latest_quarter",
-    "kpi_range",
-    "kpi_measures",
-    "stg_order_items",
-    "csv_roundtrip",
-    "dq_unique",
-    "dq_relationships",
-    "dq_report",
-    "trend_summary",
-    "drill_down",
-    "correlations",
-    "chart_series",
-    "conversation_context",
-    "intent_questions",
-    "glossary_lookup",
-    "vector_topk",
-    "vector_upsert",
-    "embed_documents",
-]
+HEADLINE = list(REGISTERED)
 
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
     spark = build_session(
         "bench",
