@@ -4,6 +4,7 @@ keyed permutation."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -183,16 +184,22 @@ def _written(batches, folder: str) -> Iterator[pa.RecordBatch]:
             done.append((file.path, shard, first, count, file.size))
 
     for batch in batches:
-        slots, shards = batch.column("slot").to_pylist(), batch.column("shard").to_pylist()
-        for at, record in enumerate(batch.column("record")):
-            if shards[at] != shard:
+        slots, shards = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("slot", "shard"))
+        records = batch.column("record")
+        offsets = np.frombuffer(records.buffers()[1], np.int32)[records.offset :]
+        edges = np.flatnonzero(shards[1:] != shards[:-1]) + 1
+        for low, high in pairwise([0, *edges.tolist(), len(shards)]):
+            if high == low:
+                continue
+            if shards[low] != shard:
                 finish()
-                shard, first, count = shards[at], slots[at], 0
+                shard, first, count = int(shards[low]), int(slots[low]), 0
                 file = NewFile(folder, f"-shard-{shard:06d}.bin")
-            if slots[at] != first + count:
-                raise RuntimeError(f"slot {first + count} has no sequence")
-            file.write(record.as_buffer())
-            count += 1
+            if (slots[low:high] != first + count + np.arange(high - low)).any():
+                raise RuntimeError(f"shard {shard} misses a slot after {first + count}")
+            begin, end = int(offsets[low]), int(offsets[high])
+            file.write(records.buffers()[2].slice(begin, end - begin))
+            count += high - low
     finish()
     if done:
         yield pa.RecordBatch.from_arrays(
@@ -286,7 +293,17 @@ def read_shards(
                     np.ascontiguousarray(data[:, a:b]).view(kind).ravel()
                     for a, b, kind in ((0, 8, "<i8"), (8, 12, "<i4"), (12, 16, "<i4"))
                 )
-                body = [data[i, HEAD : HEAD + width * used[i]].tobytes() for i in range(count)]
+                ids_there = data[:, HEAD:]
+                filled = np.arange(ids_there.shape[1]) < (width * used)[:, None]
+                body = pa.Array.from_buffers(
+                    pa.binary(),
+                    count,
+                    [
+                        None,
+                        pa.py_buffer(np.concatenate([[0], np.cumsum(width * used)]).astype(np.int32)),
+                        pa.py_buffer(ids_there[filled]),
+                    ],
+                )
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(slots),
@@ -295,7 +312,7 @@ def read_shards(
                         pa.array(doc, pa.int64(), mask=doc == NO_ID),
                         pa.array(part),
                         pa.array(used),
-                        pa.array(body, pa.binary()),
+                        body,
                     ],
                     ["slot", "shard", "byte_offset", "doc_id", "part", "n_ids", "ids"],
                 )

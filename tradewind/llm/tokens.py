@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import re
-from array import array
 
 import numpy as np
 import tiktoken
@@ -13,7 +12,7 @@ from tradewind.llm.words import IS_SPACE, span_hashes
 
 # How public byte-level vocabularies of this kind part a text before they merge bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Pieces of text that a worker remembers the ids of before it begins anew.
+# Pieces of text that each of a worker's two tables of known ids holds.
 REMEMBERED = 300_000
 
 # UTF-8 of white space beyond ASCII.
@@ -40,19 +39,21 @@ def load(name: str) -> tiktoken.Encoding:
 
 class Encoder:
     """Encodes blocks. A text is cut before each run of white space that follows something else:
-    no token goes over such a place, so each piece has the same ids wherever it stands, and only
-    pieces not seen before are encoded. Texts with white space beyond ASCII are one piece."""
+    no token goes over such a place, so each piece has the same ids wherever it stands. Pieces
+    not seen before are encoded together, the others are looked up. Texts with white space
+    beyond ASCII are one piece."""
 
     def __init__(self, name: str) -> None:
         self.encoding = load(name)
         self.end = self.encoding.n_vocab
         self.kind = np.uint16 if self.end < 1 << 16 else np.uint32
+        self.bytes_of = np.zeros(self.end, np.int64)
+        for token, rank in self.encoding._mergeable_ranks.items():
+            self.bytes_of[rank] = len(token)
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.ids = array("H" if self.kind is np.uint16 else "I")
-        self.first = array("q", [0])
+        self.young, self.old = Known(self.kind), Known(self.kind)
 
     def pieces(self, buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         space = IS_SPACE[buf]
@@ -64,6 +65,28 @@ class Encoder:
         cut[bounds] = True
         return np.flatnonzero(cut[:-1])
 
+    def _fresh(self, data: bytes, starts: np.ndarray, ends: np.ndarray):
+        """Ids of pieces, where they begin and how many: those that begin with white space are
+        encoded as one text, whose ids are dealt out by their bytes, the first pieces of texts
+        one by one."""
+        encode = self.encoding.encode_ordinary
+        first, count = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
+        led = IS_SPACE[np.frombuffer(data, np.uint8)[starts]]
+        text = b"".join([data[a:b] for a, b in zip(starts[led].tolist(), ends[led].tolist(), strict=True)])
+        ids = np.array(encode(text.decode()), np.int64)
+        sizes = np.cumsum(ends[led] - starts[led])
+        after = np.searchsorted(np.cumsum(self.bytes_of[ids]), sizes, "left") + 1
+        if len(after):
+            count[led] = np.diff(np.concatenate([[0], after]))
+            first[led] = after - count[led]
+        found, total = [ids], len(ids)
+        for at in np.flatnonzero(~led).tolist():
+            ids = np.array(encode(data[starts[at] : ends[at]].decode()), np.int64)
+            first[at], count[at] = total, len(ids)
+            found.append(ids)
+            total += len(ids)
+        return np.concatenate(found).astype(self.kind), first, count
+
     def encode(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after the other, and the bounds of the rows in them."""
         if not len(buf):
@@ -71,27 +94,60 @@ class Encoder:
         starts = self.pieces(buf, bounds)
         ends = np.append(starts[1:], len(buf))
         keys, at, back = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.place) + len(keys) > REMEMBERED:
-            self._forget()
-        places = np.empty(len(keys), np.int64)
-        data = buf.tobytes()
-        get, encode = self.place.get, self.encoding.encode_ordinary
-        for i, (key, piece) in enumerate(zip(keys.tolist(), at.tolist(), strict=True)):
-            place = get(key)
-            if place is None:
-                self.ids.extend(encode(data[starts[piece] : ends[piece]].decode()))
-                place = self.place[key] = len(self.first) - 1
-                self.first.append(len(self.ids))
-            places[i] = place
-        first = np.array(self.first, np.int64)
-        ids = np.array(self.ids, self.kind)
-        of = places[back]
-        length = (first[1:] - first[:-1])[of]
-        total = np.concatenate([[0], np.cumsum(length)])
-        out = ids[np.repeat(first[of] - total[:-1], length) + np.arange(total[-1])]
+        if len(self.young.keys) + len(keys) > REMEMBERED:
+            self.old, self.young = self.young, Known(self.kind)
+        missing = np.flatnonzero(self.young.place(keys) < 0)
+        place = self.old.place(keys[missing])
+        again = place >= 0
+        if again.any():
+            self.young.add(keys[missing[again]], *self.old.taken(place[again]))
+        new = missing[~again]
+        if len(new):
+            self.young.add(keys[new], *self._fresh(buf.tobytes(), starts[at[new]], ends[at[new]]))
+        out, _, count = self.young.taken(self.young.place(keys)[back])
+        total = np.concatenate([[0], np.cumsum(count)])
         return out, total[np.searchsorted(starts, bounds)]
 
 
+class Known:
+    """Ids of pieces by the hash of the piece. The pieces of late blocks are in a young table; when
+    that is full it becomes the old one, and what is asked for there moves on to the next."""
+
+    def __init__(self, kind) -> None:
+        self.keys = np.empty(0, np.uint64)
+        self.first = np.empty(0, np.int64)
+        self.count = np.empty(0, np.int64)
+        self.ids = np.empty(1 << 16, kind)
+        self.used = 0
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the keys, -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[place] == keys, place, -1)
+
+    def taken(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids at these places one after the other, where each begins, how many it has."""
+        count = self.count[place]
+        begin = np.cumsum(count) - count
+        total = int(count.sum())
+        return self.ids[np.repeat(self.first[place] - begin, count) + np.arange(total)], begin, count
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, first: np.ndarray, count: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.ids):
+            more = np.empty(max(2 * len(self.ids), self.used + len(ids)), self.ids.dtype)
+            more[: self.used] = self.ids[: self.used]
+            self.ids = more
+        self.ids[self.used : self.used + len(ids)] = ids
+        merged = np.concatenate([self.keys, keys])
+        order = np.argsort(merged, kind="stable")
+        self.keys = merged[order]
+        self.first = np.concatenate([self.first, first + self.used])[order]
+        self.count = np.concatenate([self.count, count])[order]
+        self.used += len(ids)
+
+
 _encoders: dict[str, Encoder] = {}
 
 
