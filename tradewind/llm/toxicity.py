@@ -40,6 +40,9 @@ PREDICTED = 0.7
 ROUNDS = 4
 OF_CLEAN, OF_TOXIC = 4, 3
 RIDGE = 1e-3
+# Texts of each class that a quarter must have to scale the score alone, and the least slope.
+ENOUGH = 100
+LEAST_SLOPE = 0.2
 
 # Places of the 2nd to 4th character behind the first, and the number of skipped characters.
 _PATTERNS = [
@@ -243,22 +246,10 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float):
     return w[:-1], w[-1]
 
 
-def fit(texts: list[str], toxic: np.ndarray, count: int = LANDMARKS, frequent: int = FREQUENT) -> Model:
-    """Fits the machine on labelled texts.
-
-    Which sentence makes a text toxic is not labelled. So each round scores all sentences, takes
-    the worst windows of toxic texts as toxic and those of clean texts as clean, adds disguised
-    copies of the toxic ones, and fits again; the clean windows of earlier rounds stay. Texts
-    of one class alone give a model that scores everything nearly 0."""
-    toxic = np.asarray(toxic, bool)
-    if not toxic.any() or toxic.all():
-        return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, -40.0)
-    scale = np.arange(len(texts)) % 4 == 3
-    if len(set(toxic[scale])) < 2 or len(set(toxic[~scale])) < 2:
-        scale[:] = False
+def _learned(texts: list[str], toxic: np.ndarray, count: int, frequent: int) -> Model:
+    """The machine, its score not yet scaled."""
     lowered = [t.lower().encode() for t in texts]
-    learned = np.flatnonzero(~scale)
-    words, odds = _landmarks([texts[i] for i in learned], toxic[learned], count, frequent)
+    words, odds = _landmarks(texts, toxic, count, frequent)
     vectors = _vectors(words)
     values, directions = np.linalg.eigh((vectors.dense.T @ vectors.dense).astype(np.float64))
     good = values > values.max() * 1e-4
@@ -268,14 +259,17 @@ def fit(texts: list[str], toxic: np.ndarray, count: int = LANDMARKS, frequent: i
     for _ in range(ROUNDS):
         scaled = Model(weights, 0, 0, 0).scaled()
         worst = [
-            _worst_windows(lowered[i], scaled, OF_TOXIC if toxic[i] else OF_CLEAN) for i in learned
+            _worst_windows(text, scaled, OF_TOXIC if label else OF_CLEAN)
+            for text, label in zip(lowered, toxic, strict=True)
         ]
-        new = {w for i, ws in zip(learned, worst, strict=True) if not toxic[i] for w in ws} - clean.keys()
-        new = sorted(new)
+        new = sorted({w for ws, label in zip(worst, toxic, strict=True) if not label for w in ws} - clean.keys())
         if new:
             clean |= dict(zip(new, vectors.kernel(new) @ whiten, strict=True))
-        bad = [w for i, ws in zip(learned, worst, strict=True) if toxic[i] for w in ws]
-        share = [1 / (1 + k) for i, ws in zip(learned, worst, strict=True) if toxic[i] for k in range(len(ws))]
+        guilty = [ws for ws, label in zip(worst, toxic, strict=True) if label]
+        bad = [w for ws in guilty for w in ws]
+        if not bad or not clean:
+            break
+        share = np.array([1 / (1 + k) for ws in guilty for k in range(len(ws))])
         odd = [d for k, w in enumerate(bad) for d in _disguised(w, k)]
         x = np.concatenate([
             np.array(list(clean.values())), vectors.kernel(bad) @ whiten, vectors.kernel(odd) @ whiten
@@ -283,17 +277,44 @@ def fit(texts: list[str], toxic: np.ndarray, count: int = LANDMARKS, frequent: i
         y = np.concatenate([-np.ones(len(clean)), np.ones(len(bad) + len(odd))])
         weight = np.concatenate([
             np.full(len(clean), 1.0 / len(clean)),
-            np.array(share) / sum(share) * 0.7,
-            np.repeat(share, 2) / sum(share) * 0.15,
+            share / share.sum() * 0.7,
+            np.repeat(share, 2) / share.sum() * 0.15,
         ])
         w, bias = _machine(x, y, weight, RIDGE)
         weights = vectors.weights(whiten @ w)
-    model = Model(weights, float(bias), 1.0, 0.0)
-    rows = np.flatnonzero(scale) if scale.any() else np.arange(len(texts))
-    margins = model.margins(pa.array([texts[i] for i in rows], pa.large_string()))
-    label = toxic[rows]
+    return Model(weights, float(bias), 1.0, 0.0)
+
+
+def fit(texts: list[str], toxic: np.ndarray, count: int = LANDMARKS, frequent: int = FREQUENT) -> Model:
+    """Fits the machine on labelled texts.
+
+    Which sentence makes a text toxic is not labelled. So each round scores all sentences, takes
+    the worst windows of toxic texts as toxic and those of clean texts as clean, adds disguised
+    copies of the toxic ones, and fits again; the clean windows of earlier rounds stay. Scores
+    are scaled on texts that the machine did not learn from: every fourth one, or, where that
+    leaves few of a class, each quarter by a machine of the others. Texts of one class alone
+    give a model that scores everything nearly 0."""
+    toxic = np.asarray(toxic, bool)
+    if not toxic.any() or toxic.all():
+        return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, -40.0)
+    part = np.arange(len(texts)) % 4
+    enough = min(toxic[part == 3].sum(), (~toxic[part == 3]).sum()) >= ENOUGH
+    margins = np.full(len(texts), np.nan)
+    model = None
+    for out in [3] if enough else range(4):
+        learned, rest = np.flatnonzero(part != out), np.flatnonzero(part == out)
+        if len(rest) and 0 < toxic[learned].sum() < len(learned):
+            model = _learned([texts[i] for i in learned], toxic[learned], count, frequent)
+            margins[rest] = model.margins(pa.array([texts[i] for i in rest], pa.large_string()))
+    if not enough:
+        model = _learned(texts, toxic, count, frequent)
+    known = ~np.isnan(margins)
+    if len(set(toxic[known])) < 2:
+        known[:] = True
+        margins = model.margins(pa.array(texts, pa.large_string()))
+    margins, label = margins[known], toxic[known]
     share = np.where(label, 0.5 / label.sum(), 0.5 / (~label).sum())
-    model.slope, _ = _sigmoid(margins, label, share)
+    model.slope = max(_sigmoid(margins, label, share)[0], LEAST_SLOPE)
     border = _border(margins, label)
     model.shift = float(np.log(PREDICTED / (1 - PREDICTED)) - model.slope * border)
     return model
@@ -309,7 +330,8 @@ def _border(margin: np.ndarray, toxic: np.ndarray) -> float:
     alarms = (alarms[-1] - alarms) / alarms[-1]
     edges = np.concatenate([[margin[0] - 1], margin, [margin[-1] + 1]])
     between = np.flatnonzero(edges[1:] > edges[:-1])
-    best = between[np.argmin((missed + 3 * alarms)[between])]
+    cost = (missed + 3 * alarms)[between]
+    best = between[np.flatnonzero(cost <= cost.min() + 1e-12)[-1]]
     return float((edges[best] + edges[best + 1]) / 2)
 
 
