@@ -18,15 +18,23 @@ from tradewind.llm.token_shards import materialised
 from tradewind.llm.toxicity import PREDICTED, fit_on, score
 
 
-def _others(docs: DataFrame) -> tuple[str, ...]:
-    return tuple(c for c in docs.columns if c != "doc_id")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table under names that no operator uses for its own columns, and those names."""
+    names = {c: "doc_id" if c == "doc_id" else f"column_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(c).alias(n) for c, n in names.items()]), names
+
+
+def _named(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return docs.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels, does not predict toxic."""
     model = fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = score(docs, model, carry=_others(docs))
-    return scored.where(F.col("score") < PREDICTED).select(*docs.columns)
+    rows, names = _numbered(docs)
+    others = tuple(n for n in names.values() if n != "doc_id")
+    scored = score(rows, model, text_column=names["text"], carry=others)
+    return _named(scored.where(F.col("score") < PREDICTED), names)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,18 +52,22 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of ten words of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = find_passages(docs, benchmark, carry=_others(docs))
-    return found.where("n_hit = 0").select(*docs.columns)
+    rows, names = _numbered(docs)
+    others = tuple(n for n in names.values() if n != "doc_id")
+    found = find_passages(rows, benchmark, text_column=names["text"], carry=others)
+    return _named(found.where("n_hit = 0"), names)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes their words, to the nearest whole time: not at all, once
     or twice."""
-    mixed = mix(docs, carry=_others(docs))
+    rows, names = _numbered(docs)
+    others = tuple(n for n in names.values() if n != "doc_id")
+    mixed = mix(rows, text_column=names["text"], source_column=names["source"], carry=others)
     times = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
     repeated = mixed.withColumn("times", times).where("times > 0")
     copies = F.explode(F.sequence(F.lit(1), F.col("times")))
-    return repeated.withColumn("copy", copies).select(*docs.columns)
+    return _named(repeated.withColumn("copy", copies), names)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
