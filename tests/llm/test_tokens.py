@@ -1,6 +1,7 @@
 """Token shards, counts, and the pipeline against plain Python."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -118,6 +119,20 @@ def test_rollup_keeps_up_with_changes(spark, tmp_path):
         commit(0, second)
 
 
+def test_totals_of_the_query(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    labels = spark.read.parquet(f"{folder}/labels.parquet").collect()
+    low = {r.doc_id for r in labels if r.quality == 0}
+    state = {
+        r.doc_id: (r.source, r.lang, re.sub("[ \t\n\x0b\f\r]+", " ", r.text).strip(" "))
+        for r in docs if r.doc_id not in low
+    }
+    got = token_counts.op9_token_counts(spark, folder).collect()
+    assert {
+        (r.source, r.lang, r.version): [r.documents, r.tokens, r.chars] for r in got
+    } == totals_of(state, token_counts.VERSIONS)
+
+
 @pytest.mark.parametrize("where", ["folder", "messy"])
 def test_pipeline_stages(spark, request, where):
     """Each stage against its own input."""
