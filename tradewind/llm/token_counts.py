@@ -57,10 +57,9 @@ class TokenRollup:
 
     Each batch of changes is committed under its number: the counts of its documents and, from
     them and the counts before, what it adds to each total. Totals are the sums of all batches, so
-    no document is counted twice to keep them. A batch that is committed again, after a failure or
-    because it was delivered twice, replaces itself and changes nothing. Batches go in
-    order; a number below the last is only accepted if it is there already, and only as long as
-    no later one was built on it.
+    no document is counted twice to keep them. A batch that is delivered again changes nothing and
+    costs nothing; one whose commit broke off is not there and replaces what it left. Batches go in
+    order: a number below the last is only accepted if it is there already.
 
     A change is a row (id, source, lang, kind, text), kind ``put`` (insert or revise) or
     ``delete``. Of several rows with one id in a batch a put beats a delete, then the greatest
@@ -95,11 +94,11 @@ class TokenRollup:
         return last.select("id", "version", "last.*").where("present").drop("present")
 
     def commit(self, batch: int, changes: DataFrame) -> None:
-        later = [b for b in self.batches() if b > batch]
-        if later:
-            if batch in self.batches():
-                return
-            raise ValueError(f"batch {later[-1]} is already there")
+        known = self.batches()
+        if batch in known:
+            return
+        if known and known[-1] > batch:
+            raise ValueError(f"batch {known[-1]} is already there")
         put = F.col("kind") == "put"
         texts = changes.where("id IS NOT NULL").select(
             F.col("id").cast("bigint").alias("id"), "source", "lang", put.alias("present"),
@@ -138,24 +137,24 @@ class TokenRollup:
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
-    """Totals after three batches: all documents come in; those labelled of low quality go, and the
-    toxic ones of the others are revised to their text in single spaces; and that second batch
-    is delivered once more."""
+    """Totals after three batches: all documents come in; those whose white space is not single
+    spaces are revised to it; those labelled of low quality go. The second batch is delivered once
+    more in between and at the end. No batch shuffles texts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = docs.select(F.col("doc_id").alias("id"), "source", "lang", "text")
-    marks = labels.groupBy(F.col("doc_id").alias("id")).agg(
-        F.min("quality").alias("quality"), F.max("toxic").alias("toxic")
+    plain = F.trim(F.regexp_replace("text", r"[ \t\n\x0b\f\r]+", " "))
+    revised = rows.withColumn("plain", plain).where("plain <> text").select(
+        "id", "source", "lang", F.lit("put").alias("kind"), F.col("plain").alias("text")
     )
-    marked = rows.join(marks.where("quality = 0 OR toxic = 1"), "id")
-    plain = F.trim(F.regexp_replace("text", r"\s+", " "))
-    changes = marked.select(
-        "id", "source", "lang",
-        F.when(F.col("quality") == 0, F.lit("delete")).otherwise(F.lit("put")).alias("kind"),
-        plain.alias("text"),
+    low = labels.where("quality = 0").select(F.col("doc_id").alias("id")).distinct()
+    gone = rows.select("id", "source", "lang").join(low, "id").select(
+        "id", "source", "lang", F.lit("delete").alias("kind"), F.lit(None).cast("string").alias("text")
     )
     rollup = TokenRollup(spark, shared_folder(spark, "token-counts"))
     rollup.commit(1, rows.withColumn("kind", F.lit("put")))
-    rollup.commit(2, changes)
-    rollup.commit(2, changes)
+    rollup.commit(2, revised)
+    rollup.commit(2, revised)
+    rollup.commit(3, gone)
+    rollup.commit(2, revised)
     return rollup.totals()
