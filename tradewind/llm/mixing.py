@@ -180,14 +180,16 @@ def mix(
         F.sum("size").alias("in_bucket"), F.first("rest").alias("rest")
     )
     in_order = Window.partitionBy("of").orderBy("bucket")
-    edges = (
+    # One row per source; its written size lets Spark send it to the rows instead of shuffling them.
+    edges = stored(
         sums.withColumn("end", F.sum("in_bucket").over(in_order))
         .where((F.col("end") - F.col("in_bucket") <= F.col("rest")) & (F.col("rest") < F.col("end")))
         .select(
             F.col("of").alias("edge_of"),
             F.col("bucket").alias("edge"),
             (F.col("end") - F.col("in_bucket")).alias("before"),
-        )
+        ),
+        "mix-edges",
     )
     known = placed.join(edges, F.col("of").eqNullSafe(F.col("edge_of")), "left")
     once = F.col("rounds") * F.col("size")
