@@ -4,9 +4,10 @@ from collections import Counter
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from tradewind.llm.exact_dedup import exact_dedup
-from tradewind.llm.mixing import BLOCK, mix, shard_quotas, source_targets
+from tradewind.llm.mixing import BLOCK, deal_blocks, mix, shard_quotas, source_targets, word_count
 
 
 def plan_of(df):
@@ -91,3 +92,37 @@ def test_repeated_rows_and_missing_ids_count_each(spark):
     rows = mix(docs, carry=("text",)).collect()
     assert len(rows) == 5 and sum(r.size for r in rows) == 11
     assert sorted({r.text or "" for r in rows}) == ["", "a b c", "d e"]
+
+
+@pytest.mark.parametrize("table", ["folder", "messy"])
+def test_blocks_go_to_the_shards_by_their_quotas(spark, table, request):
+    docs = spark.read.parquet(f"{request.getfixturevalue(table)}/documents.parquet")
+    sizes = docs.groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("source_size"))
+    targets = source_targets(sizes)
+    most = {r.source: 2 * r.source_size for r in targets.collect()}
+    quotas = {(r.source, r.shard): r.quota for r in shard_quotas(targets, shards=5).collect() if r.quota}
+    rows = deal_blocks(docs, shards=5).collect()
+    shard_of, words = {}, Counter()
+    for r in rows:
+        assert shard_of.setdefault((r.source, r.block), r.shard) == r.shard
+        words[r.source, r.block] += r.words
+    short = {k for k, n in words.items() if n != BLOCK}
+    assert all(sum(n for (s, _), n in words.items() if s == k[0]) == most[k[0]] for k in short)
+    got = Counter((s, shard) for (s, _), shard in shard_of.items())
+    # A source taken twice whole may end before its quota.
+    full = {s for s in most if sum(n for (k, _), n in words.items() if k == s) == most[s]}
+    assert {k: n for k, n in got.items() if k[0] not in full} == {k: n for k, n in quotas.items() if k[0] not in full}
+    assert all(got[k] <= n for k, n in quotas.items()) and got.keys() <= quotas.keys()
+    taken, parts = {r.doc_id: r.taken for r in mix(docs).collect() if r.taken}, Counter()
+    for r in rows:
+        parts[r.doc_id] += r.words
+    assert parts == taken
+    again = {(r.source, r.block): r.shard for r in deal_blocks(docs, shards=5, seed=18).collect()}
+    assert again.keys() == shard_of.keys() and again != shard_of
+
+
+def test_blocks_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s")] * 30 + [(None, "d e", None), (None, None, None)], "doc_id long, text string, source string")
+    rows = deal_blocks(docs, block=4, shards=3).collect()
+    assert sum(r.words for r in rows) == sum(r.taken for r in mix(docs, block=4, shards=3).collect())
+    assert all(0 <= r.first and r.first + r.words <= 3 for r in rows) and {r.shard for r in rows} == {0, 1, 2}

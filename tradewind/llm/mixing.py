@@ -104,6 +104,55 @@ def shard_quotas(targets: DataFrame, block: int = BLOCK, shards: int = SHARDS) -
     )
 
 
+def _place(column: Column, seed: int) -> Column:
+    """60 bits of a hash, so that the order is the same in every engine."""
+    key = F.concat_ws(":", F.lit(str(seed)), column.cast("string"))
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")
+
+
+def _sources(
+    rows: DataFrame, block: int, shards: int, weights: tuple[int, ...], share: float, most_times: int
+) -> DataFrame:
+    """One row per source of ``rows`` (source, size): of, its number s, source_size, target, the words
+    taken as whole rounds and a rest, the number of buckets, and ends, the running total of its
+    blocks after each shard (null without blocks)."""
+    n_buckets = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("rows"))))
+    counted = rows.groupBy("source").agg(
+        F.sum("size").alias("source_size"), F.count("*").alias("rows")
+    )
+    targets = source_targets(counted.select("source", "source_size"), weights, share, most_times)
+    so_far = Window.partitionBy("source").orderBy("shard")
+    quotas = (
+        shard_quotas(targets, block, shards)
+        .withColumn("end", F.sum("quota").over(so_far))
+        .groupBy(F.col("source").alias("quota_of"))
+        .agg(F.max("end").alias("q"), F.array_sort(F.collect_list("end")).alias("ends"))
+    )
+    buckets = counted.select(F.col("source").alias("buckets_of"), n_buckets.cast("bigint").alias("buckets"))
+    words = F.least(
+        F.coalesce(F.col("q"), F.lit(0)) * block, F.col("source_size") * most_times
+    ).cast("bigint")
+    size = F.greatest(F.col("source_size"), F.lit(1))
+    return stored(
+        targets.join(quotas, F.col("source").eqNullSafe(F.col("quota_of")), "left")
+        .withColumn("words", words)
+        .withColumn("rounds", F.floor(F.col("words") / size).cast("bigint"))
+        .withColumn("rest", F.col("words") - F.col("rounds") * size)
+        .join(buckets, F.col("source").eqNullSafe(F.col("buckets_of")))
+        .select(
+            F.col("source").alias("of"),
+            F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).alias("s"),
+            "source_size",
+            "target",
+            "rounds",
+            "rest",
+            "buckets",
+            "ends",
+        ),
+        "mix-sources",
+    )
+
+
 def mix(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -140,40 +189,12 @@ def mix(
         ),
         "mix-sizes",
     )
-    # 60 bits of a hash, so that the order is the same in every engine.
-    key = F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))
-    place = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")
-    n_buckets = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("rows"))))
-    counted = rows.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.count("*").alias("rows")
-    )
-    targets = source_targets(counted.select("source", "source_size"), weights, share, most_times)
-    quotas = (
-        shard_quotas(targets, block, shards)
-        .groupBy(F.col("source").alias("quota_of"))
-        .agg(F.sum("quota").alias("q"))
-    )
-    buckets = counted.select(F.col("source").alias("s"), n_buckets.cast("bigint").alias("buckets"))
-    words = F.least(
-        F.coalesce(F.col("q"), F.lit(0)) * block, F.col("source_size") * most_times
-    ).cast("bigint")
-    size = F.greatest(F.col("source_size"), F.lit(1))
-    sources = stored(
-        targets.join(quotas, F.col("source").eqNullSafe(F.col("quota_of")), "left")
-        .withColumn("words", words)
-        .withColumn("rounds", F.floor(F.col("words") / size).cast("bigint"))
-        .withColumn("rest", F.col("words") - F.col("rounds") * size)
-        .join(buckets, F.col("source").eqNullSafe(F.col("s")))
-        .select(
-            F.col("source").alias("of"), "source_size", "target", "rounds", "rest", "buckets"
-        ),
-        "mix-sources",
-    )
+    sources = _sources(rows, block, shards, weights, share, most_times).drop("ends", "s")
     # Each source has about the square root of its rows as buckets; they follow each other.
     width = F.col("place") / F.lit(float(2**60)) * F.col("buckets")
     placed = (
         rows.join(sources, F.col("source").eqNullSafe(F.col("of")))
-        .withColumn("place", place)
+        .withColumn("place", _place(F.col("id"), seed))
         .withColumn("bucket", F.floor(width).cast("bigint"))
     )
     sums = placed.groupBy("of", "bucket").agg(
@@ -210,8 +231,181 @@ def mix(
     )
 
 
+def _sized(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
+    """Written rows (row, id, source, size); the row numbers tell rows of one id apart."""
+    return stored(
+        docs.select(
+            F.monotonically_increasing_id().alias("row"),
+            F.col(id_column).alias("id"),
+            F.col(source_column).alias("source"),
+            word_count(F.col(text_column)).alias("size"),
+        ),
+        "mix-rows",
+    )
+
+
+def _ordered(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+    """Rows with their source's columns and begin, the words before them in its seeded order. The
+    sums of hash buckets are added up, and each bucket is sorted by itself."""
+    width = F.col("place") / F.lit(float(2**60)) * F.col("buckets")
+    placed = (
+        rows.join(sources, F.col("source").eqNullSafe(F.col("of")))
+        .withColumn("place", _place(F.col("id"), seed))
+        .withColumn("bucket", F.floor(width).cast("bigint"))
+    )
+    in_order = Window.partitionBy("s").orderBy("bucket")
+    before = stored(
+        placed.groupBy("s", "bucket")
+        .agg(F.sum("size").alias("in_bucket"))
+        .withColumn("before", F.sum("in_bucket").over(in_order) - F.col("in_bucket"))
+        .select(F.col("s").alias("of_s"), F.col("bucket").alias("of_bucket"), "before"),
+        "mix-buckets",
+    )
+    order = Window.partitionBy("s", "bucket").orderBy("place", "id", "row")
+    inside = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    return stored(
+        placed.withColumn("inside", inside)
+        .join(before, (F.col("s") == F.col("of_s")) & (F.col("bucket") == F.col("of_bucket")))
+        .withColumn("begin", F.col("before") + F.col("inside"))
+        .select("row", "id", "source", "s", "size", "source_size", "rounds", "rest", "ends", "begin"),
+        "mix-ordered",
+    )
+
+
+def _dealt(rows: DataFrame, sources: DataFrame, block: int, seed: int) -> DataFrame:
+    """(row, id, source, shard, block, first, words) of the blocks taken; see ``deal_blocks``."""
+    start = F.col("round") * F.col("source_size") + F.col("begin")
+    words = F.col("rounds") * F.col("source_size") + F.col("rest")
+    opens = F.col("block") * block
+    first = F.greatest(opens, F.col("start"))
+    rank = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("source"), F.col("block")), 4)
+    blocks = F.element_at("ends", -1)
+    n_buckets = F.ceil(F.sqrt(blocks))
+    pieces = (
+        _ordered(rows, sources, seed)
+        .where("ends is not null and size > 0")
+        .withColumn("round", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rounds"))))
+        .withColumn("start", start)
+        .withColumn("stop", F.least(F.col("start") + F.col("size"), words))
+        .where("stop > start")
+        .withColumn("block", F.explode(F.sequence(
+            F.floor(F.col("start") / block).cast("bigint"),
+            F.floor((F.col("stop") - 1) / block).cast("bigint"),
+        )))
+        .withColumn("rank", rank)
+    )
+    # Each block once: in the row that its first word is in.
+    opened = pieces.where(opens >= F.col("start")).select(
+        "s",
+        "block",
+        "rank",
+        F.floor(F.col("rank") / F.lit(float(2**60)) * n_buckets).cast("bigint").alias("bucket"),
+    )
+    in_order = Window.partitionBy("s").orderBy("bucket")
+    below = (
+        opened.groupBy("s", "bucket")
+        .agg(F.count("*").alias("n"))
+        .withColumn("below", F.sum("n").over(in_order) - F.col("n"))
+    )
+    ends = sources.select(F.col("s").alias("ends_s"), F.posexplode("ends").alias("shard", "end"))
+    # A shard begins at the block whose place by rank is the end of the shard before it; only the
+    # buckets that hold such a block are sorted.
+    begins = stored(
+        below.join(
+            ends,
+            (F.col("s") == F.col("ends_s"))
+            & (F.col("below") <= F.col("end"))
+            & (F.col("end") < F.col("below") + F.col("n")),
+        ).select(
+            F.col("s").alias("of_s"),
+            F.col("bucket").alias("of_bucket"),
+            (F.col("end") - F.col("below") + 1).alias("nth"),
+        ),
+        "mix-begins",
+    )
+    held = begins.select("of_s", "of_bucket").distinct()
+    same = (F.col("s") == F.col("of_s")) & (F.col("bucket") == F.col("of_bucket"))
+    by_rank = Window.partitionBy("s", "bucket").orderBy("rank", "block")
+    sorted_blocks = opened.join(F.broadcast(held), same, "left_semi").withColumn(
+        "place", F.row_number().over(by_rank)
+    )
+    cuts = stored(
+        sorted_blocks.join(begins, same & (F.col("place") == F.col("nth")))
+        .groupBy(F.col("s").alias("cuts_s"))
+        .agg(F.collect_list(F.struct("rank", "block")).alias("cuts")),
+        "mix-cuts",
+    )
+    after = F.filter(
+        "cuts",
+        lambda c: (c["rank"] < F.col("rank"))
+        | ((c["rank"] == F.col("rank")) & (c["block"] <= F.col("block"))),
+    )
+    return pieces.join(F.broadcast(cuts), F.col("s") == F.col("cuts_s"), "left").select(
+        "row",
+        "id",
+        "source",
+        F.coalesce(F.when(F.col("cuts").isNotNull(), F.size(after)), F.lit(0)).alias("shard"),
+        "block",
+        (first - F.col("start")).alias("first"),
+        (F.least(opens + block, F.col("stop")) - first).alias("words"),
+    )
+
+
+def deal_blocks(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    source_column: str = "source",
+    block: int = BLOCK,
+    shards: int = SHARDS,
+    seed: int = SEED,
+    weights: tuple[int, ...] = WEIGHTS,
+    share: float = SHARE,
+    most_times: int = MOST_TIMES,
+) -> DataFrame:
+    """The blocks of the mix and the shard each is dealt to, one row per block and input row.
+
+    A source's blocks are numbered along the seeded order of its documents, and on through the
+    next round of it; those up to its quota are taken, which are the words that ``mix`` counts.
+    Each has a seeded rank, a hash of source and block. By rank, the first go to shard 0, as many
+    as its quota there, the next to shard 1 and so on. The ranks that part the shards are found on
+    sums of rank buckets, so no source's blocks meet in one task.
+
+    A block that goes over the end of a document has a row in each. ``first`` counts the words of
+    the document before the part. Where a source is taken ``most_times`` whole, its words may end
+    before its quota does: the last block is short then, and the last shards may miss blocks.
+
+    Columns: the id column, the source column, shard, block, first, words."""
+    rows = _sized(docs, id_column, text_column, source_column)
+    sources = _sources(rows, block, shards, weights, share, most_times)
+    return _dealt(rows, sources, block, seed).select(
+        F.col("id").alias(id_column),
+        F.col("source").alias(source_column),
+        "shard",
+        "block",
+        "first",
+        "words",
+    )
+
+
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Deals the blocks, writes them, and counts the words taken of each document from them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = _sized(docs, "doc_id", "text", "source")
+    sources = _sources(rows, BLOCK, SHARDS, WEIGHTS, SHARE, MOST_TIMES)
+    dealt = stored(_dealt(rows, sources, BLOCK, SEED), "mix-blocks")
+    taken = dealt.groupBy(F.col("row").alias("taken_row")).agg(F.sum("words").alias("taken"))
+    return (
+        rows.join(sources, F.col("source").eqNullSafe(F.col("of")))
+        .join(taken, F.col("row") == F.col("taken_row"), "left")
+        .select(
+            F.col("id").alias("doc_id"),
+            "size",
+            "source_size",
+            "target",
+            F.coalesce("taken", F.lit(0).cast("bigint")).alias("taken"),
+        )
+    )
 
 
 OP8_SQL = rf"""
