@@ -36,6 +36,35 @@ def test_short_lines_inside_the_article_stay():
     assert main_text(page) == f"Hm.\n{TEXT.strip()}\nOk.\nSo."
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<section id='related-work'>{}</section>", "<div id='menu-planning'>{}</div>", "<div class='social-history'>{}</div>",
+        "<section id='notice-of-appeal' class='ad-hoc-section'>{}</section>",
+    ],
+)
+@pytest.mark.parametrize("wrap", ["<article class='post tag-social'>{}</article>", "<main>{}</main>"])
+def test_parts_of_an_article_may_be_named_after_their_subject(part, wrap):
+    inner = f"<h2 id='social-history'>One</h2><p>{TEXT}</p><h3 id='notice'>Two</h3><p>{TEXT}</p>"
+    page = wrap.format(f"<p>{TEXT}</p>" + part.format(inner))
+    one = TEXT.strip()
+    assert main_text(f"<body>{FURNITURE}{page}</body>").split("\n") == [one, "One", one, "Two", one]
+
+
+@pytest.mark.parametrize("name", ["class='x ad'", "class='cookie-notice'", "id='comments'", "id='Related'"])
+def test_whole_names_rule_out_inside_an_article(name):
+    page = f"<article><p>{TEXT}</p><div {name}><p>{TEXT}</p></div></article>"
+    assert main_text(page) == TEXT.strip()
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>"])
+def test_an_article_of_links_stays(wrap):
+    items = [f"A work that is cited here, number {i}, with its title and its year" for i in range(12)]
+    links = "".join(f"<li><a href='/{i}'>{x}</a></li>" for i, x in enumerate(items))
+    assert main_text(f"<body>{FURNITURE}{wrap.format(f'<ul>{links}</ul>')}</body>").split("\n") == items
+    assert main_text(f"<body><div><ul>{links}</ul></div></body>") == ""
+
+
 @pytest.mark.parametrize("html", [None, "", " ", "<", "<p", "<!-- x", "<article></article>", "&", "<script>"])
 def test_nothing_to_read(html):
     assert main_text(html) in ("", "<", "&")

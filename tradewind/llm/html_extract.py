@@ -92,7 +92,10 @@ class Lines(HTMLParser):
         values = {k: v or "" for k, v in attrs}
         if tag in ("html", "body", "main"):
             return False, False
-        names = set(_WORD.findall(f"{values.get('class', '')} {values.get('id', '')}".lower()))
+        kinds = values.get("class", "").lower().split()
+        # A heading's id is made of its words.
+        own = [] if tag in HEADINGS else [values.get("id", "").strip().lower()]
+        names = set(_WORD.findall(" ".join(kinds + own)))
         hidden = (
             "hidden" in values
             or values.get("aria-hidden") == "true"
@@ -102,8 +105,13 @@ class Lines(HTMLParser):
             return True, True
         if tag == "header":
             return True, False
-        if names & MARKS and not (names & WRAPPERS and tag in ("div", "section")):
-            return True, bool(names & READERS)
+        marks = names & MARKS
+        if self.articles or tag == "article":
+            # Parts of an article are named after what they are about (related-work), so that one
+            # word of a name says nothing: it is the whole id, or a class of such words alone.
+            marks &= {w for k in kinds if MARKS.issuperset(parts := _WORD.findall(k)) for w in parts}.union(own)
+        if marks and not (names & WRAPPERS and tag in ("div", "section")):
+            return True, bool(marks & READERS)
         return False, False
 
     def _close(self, upto: int) -> None:
@@ -215,7 +223,8 @@ def main_text(html: str | None) -> str:
     characters to tags; ratios are smoothed and the regions above the threshold are the content.
     Where most of the content lies in an ``article`` or ``main`` element, that element is the
     region, with its short lines. Elements that are no article by their kind, role or name
-    (menus, headers, footers, sidebars, notices, adverts, forms, comments) never count."""
+    (menus, headers, footers, sidebars, notices, adverts, forms, comments) never count; inside an
+    article a name does so as a whole only. Regions that are mostly links count inside it alone."""
     if not html:
         return ""
     parser = Lines()
@@ -228,6 +237,9 @@ def main_text(html: str | None) -> str:
         size = sum(len(line[0]) for line in part)
         if 2 * sum(line[2] for line in part) <= size:
             chosen += range(first, after)
+        else:
+            # Lists of links are no content, unless they are what an article is made of.
+            chosen += [i for i in range(first, after) if lines[i][3]]
     size = sum(len(lines[i][0]) for i in chosen)
     inside: dict[int, int] = {}
     for i in chosen:
