@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.llm.decontaminate import find_passages
-from tradewind.llm.mixing import mix
+from tradewind.llm.mixing import SPACE, WORD, mix
 from tradewind.llm.ngram_join import near_groups
 from tradewind.llm.stored import stored
 from tradewind.llm.token_shards import materialised
@@ -59,15 +59,33 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes their words, to the nearest whole time: not at all, once
-    or twice."""
+    """The words that the mix takes: a document as often as it is taken whole, and the one on its
+    source's border once more with its first words alone, as far as they are taken. The spaces
+    between words stay; ``n_chars``, where there is one, is that of the cut text."""
     rows, names = _numbered(docs)
     others = tuple(n for n in names.values() if n != "doc_id")
     mixed = mix(rows, text_column=names["text"], source_column=names["source"], carry=others)
-    times = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
-    repeated = mixed.withColumn("times", times).where("times > 0")
-    copies = F.explode(F.sequence(F.lit(1), F.col("times")))
-    return _named(repeated.withColumn("copy", copies), names)
+    whole = F.floor(F.col("taken") / F.col("size")).cast("int")
+    part = (F.col("taken") % F.col("size")).cast("int")
+    copies = F.sequence(F.lit(1), F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0))
+    repeated = (
+        mixed.where("taken > 0")
+        .withColumn("whole", whole)
+        .withColumn("part", part)
+        .withColumn("copy", F.explode(copies))
+    )
+    text = F.col(names["text"])
+    words = F.regexp_extract_all(text, F.lit(rf"{SPACE}*{WORD}"), F.lit(0))
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("part")), "")
+    is_cut = F.col("copy") > F.col("whole")
+    parted = repeated.withColumn(names["text"], F.when(is_cut, cut).otherwise(text))
+    if "n_chars" in names:
+        kind = docs.schema["n_chars"].dataType
+        chars = F.col(names["n_chars"])
+        parted = parted.withColumn(
+            names["n_chars"], F.when(is_cut, F.length(text).cast(kind)).otherwise(chars)
+        )
+    return _named(parted, names)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

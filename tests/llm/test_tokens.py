@@ -11,6 +11,7 @@ import pytest
 import corpus_pipeline
 from tradewind.llm import token_counts, token_shards, tokens
 from tradewind.llm.decontaminate import find_passages
+from tradewind.llm.mixing import mix
 from tradewind.llm.ngram_join import near_groups
 from tradewind.llm.stored import stored
 from tradewind.llm.toxicity import PREDICTED, fit_on, score
@@ -162,5 +163,36 @@ def test_pipeline_stages(spark, request, where):
     assert {r.doc_id for r in rows} == set(mixed)
 
 
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+@pytest.mark.parametrize("where", ["folder", "messy"])
+def test_the_mix_hands_on_as_many_words_as_it_takes(spark, request, where):
+    docs = spark.read.parquet(f"{request.getfixturevalue(where)}/documents.parquet")
+    taken = {r.doc_id: r.taken for r in mix(docs).collect() if r.taken}
+    texts = {r.doc_id: r for r in docs.collect()}
+    words, cut = Counter(), Counter()
+    for r in corpus_pipeline.mix_sources(spark, docs, "").collect():
+        given = texts[r.doc_id]
+        words[r.doc_id] += len(words_of(r.text))
+        if r != given:
+            cut[r.source] += 1
+            assert given.text.startswith(r.text) and words_of(given.text)[: len(words_of(r.text))] == words_of(r.text)
+            assert str(r.n_chars) == str(len(r.text))
+    assert words == taken
+    assert cut and max(cut.values()) == 1
+
+
+def test_one_long_document_is_taken_in_part(spark):
+    text = "\n" + " \t".join(f"w{i}" for i in range(20_000))
+    rows = [(1, text, "b"), (2, "x " * 2000, "a")]
+    got = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()
+    longs = sorted((r.text for r in got if r.doc_id == 1), key=len)
+    target = 1.5 * 22_000 - 2 * 2000
+    assert abs(sum(len(words_of(t)) for t in longs) - target) <= 8
+    assert longs[1] == text and text.startswith(longs[0]) and len(longs) == 2
+
+
 def test_pipeline_runs_on_empty_tables(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0

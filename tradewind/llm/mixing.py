@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tradewind.llm.stored import stored
 
+SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 # Weights of the sources in their order, repeating.
 WEIGHTS = (3, 1, 2)
