@@ -50,7 +50,10 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of ten words of a benchmark item."""
+    """Documents without a passage of a benchmark item: ten words in a row, or the whole item if it
+    has fewer. So an item of one or two words, such as a short answer, drops every document that has
+    these words in a row, however common they are. Items that must not do that are for the caller
+    to leave out of the benchmark: a short item's leak cannot be told from chance here."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows, names = _numbered(docs)
     others = tuple(n for n in names.values() if n != "doc_id")

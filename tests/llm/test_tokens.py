@@ -184,6 +184,17 @@ def test_the_mix_hands_on_as_many_words_as_it_takes(spark, request, where):
     assert cut and max(cut.values()) == 1
 
 
+def test_short_items_drop_every_document_that_has_them(spark, tmp_path):
+    ten = "one two three four five six seven eight nine ten"
+    items = [(1, "Yes"), (2, "New York"), (3, f"{ten} eleven"), (4, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "he said yes to all of it"), (2, "in NEW, york it rains"), (3, "york is not new, yesterday"),
+            (4, f"so {ten}."), (5, ten.removeprefix("one ") + " twelve"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == [3, 5, 6]
+
+
 def test_one_long_document_is_taken_in_part(spark):
     text = "\n" + " \t".join(f"w{i}" for i in range(20_000))
     rows = [(1, text, "b"), (2, "x " * 2000, "a")]
