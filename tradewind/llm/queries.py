@@ -5,6 +5,7 @@ from __future__ import annotations
 from tradewind.llm.decontaminate import OP3_SQL, op3_decontaminate
 from tradewind.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from tradewind.llm.html_extract import op1_html_extract
+from tradewind.llm.license_scan import OP12_SQL, op12_license_scan
 from tradewind.llm.merkle import OP11_SQL, op11_merkle_manifest
 from tradewind.llm.mixing import OP8_SQL, op8_mix_sources
 from tradewind.llm.ngram_join import OP4_SQL, op4_ngram_join
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_license_scan": op12_license_scan,
 }
 
 ORACLES = {
@@ -36,4 +38,5 @@ ORACLES = {
     "op8_mix_sources": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_license_scan": OP12_SQL,
 }
