@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tradewind.llm.conversation_trie import OP13_SQL, op13_conversation_trie
 from tradewind.llm.decontaminate import OP3_SQL, op3_decontaminate
 from tradewind.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from tradewind.llm.html_extract import op1_html_extract
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_license_scan": op12_license_scan,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLES = {
@@ -39,4 +41,5 @@ ORACLES = {
     "op10_exact_dedup": OP10_SQL,
     "op11_merkle_manifest": OP11_SQL,
     "op12_license_scan": OP12_SQL,
+    "op13_conversation_trie": OP13_SQL,
 }
