@@ -6,6 +6,7 @@ types are made when the plan is built; choices that depend on values are part of
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
@@ -17,8 +18,11 @@ from tradewind.functions import wordlists as words
 from tradewind.functions.columns import as_label, as_number, is_numeric_type
 
 NUMERIC_SHARE = 0.6
-# Pairs of columns in one aggregation.
-PAIRS = 120
+# Columns of a block; one aggregation takes the pairs of two blocks.
+BLOCK = 8
+# Moments of the columns i and j of a pair, and their extremes.
+MOMENTS = ("mean_i", "mean_j", "var_i", "var_j", "cov")
+LOWS_AND_HIGHS = ("low_i", "high_i", "low_j", "high_j")
 # Parts that the groups of a drill-down are ranked in before they meet.
 GROUP_PARTS = 64
 
@@ -144,6 +148,99 @@ def number_columns(df: DataFrame) -> list[str]:
     ]
 
 
+def _blocks(n: int) -> list[tuple[list[int], list[tuple[int, int]]]]:
+    """The pairs of ``n`` columns in parts: the columns of two blocks and the pairs that no
+    earlier part has."""
+    cut = [list(range(at, min(at + BLOCK, n))) for at in range(0, n, BLOCK)]
+    parts, done = [], set()
+    for a, b in combinations(range(len(cut)), 2) if len(cut) > 1 else [(0, 0)]:
+        columns = sorted({*cut[a], *cut[b]})
+        pairs = [pair for pair in combinations(columns, 2) if pair not in done]
+        done.update(pairs)
+        parts.append((columns, pairs))
+    return parts
+
+
+def _co_moments(numbers: DataFrame, columns: list[int], pairs: list[tuple[int, int]]) -> DataFrame:
+    """(i, j), counts, MOMENTS and extremes of the pairs of columns, a row for each set of columns that
+    are filled together.
+
+    Rows are taken together by which columns are filled, so a column has one mean and one variance
+    in a set, whichever its partners are; there are at most 2^(2 BLOCK) sets, and one without NULLs."""
+    filled = reduce(
+        lambda a, b: a.bitwiseOR(b),
+        [F.when(F.col(f"c{i}").isNotNull(), 1 << k).otherwise(0) for k, i in enumerate(columns)],
+    )
+    moments = numbers.groupBy(filled.alias("filled")).agg(
+        F.count("*").alias("n"),
+        *[
+            make(f"c{i}").alias(f"{name}{i}")
+            for i in columns
+            for name, make in (("m", F.avg), ("v", F.var_pop), ("l", F.min), ("h", F.max))
+        ],
+        *[F.covar_pop(f"c{i}", f"c{j}").alias(f"p{i}_{j}") for i, j in pairs],
+    )
+    place = {i: k for k, i in enumerate(columns)}
+    told = [{"i": i, "j": j, "a": place[i], "b": place[j], "at": at} for at, (i, j) in enumerate(pairs)]
+    each = F.from_json(F.lit(json.dumps(told)), "array<struct<i:int,j:int,a:int,b:int,at:int>>")
+    arrays = [F.array(*[F.col(f"{name}{i}") for i in columns]).alias(name) for name in "mvlh"]
+    products = F.array(*[F.col(f"p{i}_{j}") for i, j in pairs]).alias("p")
+
+    def has(k: Column) -> Column:
+        return F.get(F.split(F.lpad(F.bin("filled"), len(columns), "0"), ""), len(columns) - 1 - k) == "1"
+
+    rows = moments.select("filled", "n", *arrays, products, F.explode(each).alias("pair")).select(
+        "*", "pair.*", has(F.col("pair.a")).alias("has_i"), has(F.col("pair.b")).alias("has_j")
+    )
+    both = F.col("has_i") & F.col("has_j")
+    cells = (("m", "a"), ("m", "b"), ("v", "a"), ("v", "b"), ("p", "at"), ("l", "a"), ("h", "a"), ("l", "b"), ("h", "b"))
+    return rows.select(
+        "i",
+        "j",
+        F.col("n").alias("n_rows"),
+        F.when(F.col("has_i"), F.col("n")).alias("n_i"),
+        F.when(F.col("has_j"), F.col("n")).alias("n_j"),
+        F.when(both, F.col("n")).alias("n"),
+        *[
+            F.when(both, F.get(name, F.col(at))).alias(moment)
+            for (name, at), moment in zip(cells, (*MOMENTS, *LOWS_AND_HIGHS), strict=True)
+        ],
+    )
+
+
+def _merged_moments(parts: DataFrame) -> DataFrame:
+    """One row per pair from its rows per set of filled columns. What the sets' means differ by is
+    taken from the mean of one of them, so that squares do not cancel."""
+    of_pair = Window.partitionBy("i", "j")
+    n, x, y = F.col("n"), F.col("mean_i"), F.col("mean_j")
+    shifted = parts.withColumn("x", x - F.max("mean_i").over(of_pair)).withColumn(
+        "y", y - F.max("mean_j").over(of_pair)
+    )
+    x, y = F.col("x"), F.col("y")
+    sums = {
+        "n_rows": F.col("n_rows"), "n_i": F.col("n_i"), "n_j": F.col("n_j"), "n": n,
+        "sum_x": n * x, "sum_y": n * y,
+        "xx": n * (F.col("var_i") + x * x), "yy": n * (F.col("var_j") + y * y), "xy": n * (F.col("cov") + x * y),
+    }
+    ends = {c: (F.min if c.startswith("low") else F.max)(c) for c in LOWS_AND_HIGHS}
+    merged = shifted.select(
+        "i",
+        "j",
+        *[F.sum(c).over(of_pair).alias(name) for name, c in sums.items()],
+        *[c.over(of_pair).alias(name) for name, c in ends.items()],
+        F.row_number().over(of_pair.orderBy("n_rows")).alias("nth"),
+    ).where("nth = 1")
+
+    def around(product: str, a: str, b: str) -> Column:
+        return F.col(product) - F.col(a) * F.col(b) / F.col("n")
+
+    return merged.withColumns({
+        "var_x": around("xx", "sum_x", "sum_x"),
+        "var_y": around("yy", "sum_y", "sum_y"),
+        "cov": around("xy", "sum_x", "sum_y"),
+    })
+
+
 def correlations(df: DataFrame, columns: list[str] | None = None, n: int = 8) -> DataFrame:
     """Pearson coefficient of the column pairs, the ``n`` strongest first.
 
@@ -151,54 +248,32 @@ def correlations(df: DataFrame, columns: list[str] | None = None, n: int = 8) ->
     side. Unless ``columns`` are named, a column takes part when at least 60 % of all rows,
     and at least three, are numbers in it.
 
-    The moments of a pair are columns of one aggregation, Spark's central ones, which merge
-    between tasks without cancellation; wide frames take one scan per ``PAIRS`` pairs. No row
-    is multiplied, and one row of sums leaves each task."""
+    The moments of a pair merge from central ones, per set of columns that are filled together, all
+    in one aggregation; frames of more than two blocks of columns take one scan per two blocks. No
+    row is multiplied, and what leaves a task is a row of moments per set."""
     names = columns or number_columns(df)
     types = dict(df.dtypes)
+    if len(names) < 2:
+        return df.sparkSession.createDataFrame([], "x string, y string, pearson double, n bigint")
     numbers = df.select(*[
         as_number(name, types[name]).alias(f"c{i}") for i, name in enumerate(names)
     ])
-
-    def moments(pairs: list[tuple[int, int]]) -> DataFrame:
-        alone = sorted({i for pair in pairs for i in pair})
-        sums = [F.count("*").alias("rows"), *[F.count(f"c{i}").alias(f"n{i}") for i in alone]]
-        rows = []
-        for i, j in pairs:
-            x = F.when(F.col(f"c{j}").isNotNull(), F.col(f"c{i}"))
-            y = F.when(F.col(f"c{i}").isNotNull(), F.col(f"c{j}"))
-            sums.append(F.struct(
-                F.count(x).alias("n"),
-                F.covar_pop(x, y).alias("cov"),
-                F.var_pop(x).alias("var_x"),
-                F.var_pop(y).alias("var_y"),
-            ).alias(f"p{i}_{j}"))
-            rows.append(F.struct(
-                F.lit(i).alias("i"),
-                F.lit(j).alias("j"),
-                F.col("rows").alias("n_rows"),
-                F.col(f"n{i}").alias("n_x"),
-                F.col(f"n{j}").alias("n_y"),
-                *[F.col(f"p{i}_{j}.{m}").alias(m) for m in ("n", "cov", "var_x", "var_y")],
-            ))
-        return numbers.agg(*sums).select(F.inline(F.array(*rows)))
-
-    pairs = list(combinations(range(len(names)), 2))
-    blocks = [pairs[at : at + PAIRS] for at in range(0, len(pairs), PAIRS)]
-    if not blocks:
-        return df.sparkSession.createDataFrame([], "x string, y string, pearson double, n bigint")
-    counted = reduce(DataFrame.unionByName, map(moments, blocks))
+    parts = [_co_moments(numbers, *part) for part in _blocks(len(names))]
 
     # From here on there is one row per pair of columns.
     enough = F.greatest(F.lit(3.0), F.col("n_rows") * NUMERIC_SHARE)
-    numeric = F.lit(columns is not None) | (F.least("n_x", "n_y") >= enough)
+    numeric = F.lit(columns is not None) | (F.least("n_i", "n_j") >= enough)
+    pair = (
+        _merged_moments(reduce(DataFrame.unionByName, parts))
+        .where(numeric & (F.col("n") >= 3))
+        .where((F.col("low_i") < F.col("high_i")) & (F.col("low_j") < F.col("high_j")))
+    )
     r = F.try_divide(F.col("cov"), F.sqrt(F.col("var_x") * F.col("var_y")))
     label = F.array(*[F.lit(name) for name in names])
     return (
-        counted.where(numeric)
-        .where((F.col("n") >= 3) & (F.col("var_x") > 0) & (F.col("var_y") > 0))
+        pair.where((F.col("var_x") > 0) & (F.col("var_y") > 0))
         .withColumn("pearson", F.round(r, 4))
-        .where(F.col("pearson").isNotNull())
+        .where(F.col("pearson").isNotNull() & ~F.isnan("pearson"))
         .orderBy(F.abs("pearson").desc(), "i", "j")
         .limit(n)
         .select(

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.operators.ranking import first_per_group
@@ -265,21 +265,22 @@ def embed_words(
     the whole text. Each word has a place by its MD5; places are counted per row on the map side,
     so a row sends one number per place, and the counts are scaled to length 1. Rows with the same
     keys are one text; a text without words is a zero vector."""
-    word = F.explode_outer(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    number = F.conv(F.substring(F.md5("_word"), 1, 16), 16, 10).cast("decimal(20,0)")
-    counts = (
-        df.select(*keys, word.alias("_word"))
-        .groupBy(*keys, F.pmod(number, F.lit(dim)).cast("int").alias("_place"))
-        .agg(F.count("_word").cast("double").alias("_count"))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    # 64 bits of the digest are read as a signed number, which is 2^64 less where it is negative.
+    below = F.when(F.col("_number") < 0, (1 << 64) % dim).otherwise(0)
+    placed = (
+        df.select(*keys, F.explode_outer(words).alias("_word"))
+        .select(*keys, F.conv(F.substring(F.md5("_word"), 1, 16), 16, -10).cast("bigint").alias("_number"))
+        .select(*keys, F.pmod(F.col("_number") % dim + below, F.lit(dim)).cast("int").alias("_place"))
     )
+    counts = placed.groupBy(*keys, "_place").agg(F.count("_place").cast("double").alias("_count"))
     filled = F.filter(F.collect_list(F.struct("_place", "_count")), lambda x: x["_place"].isNotNull())
     rows = counts.groupBy(*keys).agg(
         F.map_from_entries(filled).alias("_counts"),
         F.sqrt(F.sum(F.col("_count") * F.col("_count"))).alias("_length"),
     )
-    places = F.sequence(F.lit(0), F.lit(dim - 1))
     vector = F.transform(
-        places,
+        F.sequence(F.lit(0), F.lit(dim - 1)),
         lambda p: F.coalesce(F.try_divide(F.try_element_at("_counts", p), F.col("_length")), F.lit(0.0)),
     )
     return rows.select(*keys, vector.alias(name))

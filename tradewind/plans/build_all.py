@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tradewind.operators import catalog, quality, vectors
 from tradewind.plans import marts
@@ -99,16 +100,25 @@ def check_report(
 
 
 def build_index(
-    spark: SparkSession, staged: dict[str, DataFrame], provider: vectors.EmbeddingProvider
+    spark: SparkSession,
+    staged: dict[str, DataFrame],
+    provider: vectors.EmbeddingProvider | None = None,
 ) -> None:
-    """Documents of the tables and of the glossary, embedded and stored."""
+    """Documents of the tables and of the glossary, embedded and stored. Without a provider the
+    vectors are those of the hashing one, made without Python workers."""
     inventory = catalog.column_inventory(spark, INDEXED_LAYERS, {"staging": staged})
     for name, documents in (
         ("schema_index", catalog.table_documents(inventory)),
         ("glossary_index", catalog.glossary_documents(spark)),
     ):
-        embedded = vectors.embed(documents, "document", provider)
-        vectors.store_vectors(embedded, f"marts.{name}", provider.dim)
+        if provider is None:
+            dim = vectors.HashingProvider().dim
+            embedded = vectors.embed_words(documents, documents.columns, "document", dim)
+            embedded = embedded.withColumn("embedding", F.col("embedding").cast("array<float>"))
+        else:
+            dim = provider.dim
+            embedded = vectors.embed(documents, "document", provider)
+        vectors.store_vectors(embedded, f"marts.{name}", dim)
 
 
 def build_all(
@@ -133,5 +143,5 @@ def build_all(
         switch(spark, f"marts.{name}", version)
     publish_serving(spark)
     require_objects(spark)
-    build_index(spark, staged, provider or vectors.HashingProvider())
+    build_index(spark, staged, provider)
     return Build(run_id, report)
