@@ -55,6 +55,23 @@ PAGES = [
 ] + [(100 + i, f"http://b/{i}", PAGE.format("copy " * 30)) for i in range(50)]
 
 
+def messy_conversations():
+    """(conv_id, turn, role, text): shared beginnings, copies, missing numbers, ids, roles and texts."""
+    rng = random.Random(9)
+    says = ["hello there", "", None, "yes", "no", " two\u0085 words ", "你好 world"]
+    rows = [(None, 0, "user", "lost"), (None, None, None, None), (-7, 1, "user", "minus"), (2**62, 1, None, "far")]
+    for conv in [*range(45), 60, 73, 90, *range(200, 230)]:
+        if conv >= 200:
+            rows += [(conv, i, "user", f"copy {i}") for i in range(9)]
+            continue
+        for i in range(rng.randrange(1, 7)):
+            role = rng.choice(["user", "assistant", None])
+            rows.append((conv, rng.choice([i, i, None]), role, rng.choice(says)))
+    rows += rows[10:14] + [(99, i, "user", "long " * 3000) for i in range(12)]
+    rng.shuffle(rows)
+    return rows
+
+
 def write(folder, name, columns, rows):
     table = pa.table({k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate(columns)})
     pq.write_table(table, f"{folder}/{name}.parquet", row_group_size=50)
@@ -74,6 +91,9 @@ def messy(tmp_path_factory):
     pages = [("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())]
     write(folder, "pages", [*pages, ("digest", pa.string()), ("page", pa.string())], [(*p, "d", "p") for p in PAGES])
     labels = [("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32())]
+    turns = [("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())]
+    inner = [(c, pa.string()) for c in ("slot", "n", "token", "key", "depth", "base", "h", "line")]
+    write(folder, "conversations", turns + inner, [(*r, *["x"] * len(inner)) for r in messy_conversations()])
     write(folder, "labels", labels, [(r[0], int(i % 5 > 0), int(i % 9 == 0)) for i, r in enumerate(docs)] + [(10, None, None), (99999, 1, 1)])
     return str(folder)
 
@@ -87,4 +107,5 @@ def empty(tmp_path_factory):
     write(folder, "benchmark", [("item_id", pa.int64()), ("text", pa.string())], [])
     write(folder, "pages", [("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())], [])
     write(folder, "labels", [("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32())], [])
+    write(folder, "conversations", [("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())], [])
     return str(folder)

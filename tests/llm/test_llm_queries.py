@@ -6,7 +6,7 @@ from compare import connect, oracle_rows, spark_rows
 
 from tradewind.llm.queries import ORACLES, QUERIES
 
-TABLES = ["documents", "benchmark", "pages", "labels"]
+TABLES = ["documents", "benchmark", "pages", "labels", "conversations"]
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +24,7 @@ def mixed(messy):
 
 
 def test_one_query_for_each_operator():
-    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", list(ORACLES))
