@@ -49,6 +49,7 @@ _PATTERNS = [
     (1 + a, 2 + a + b, 3 + a + b + c, a + b + c) for a, b, c in product((0, 1), repeat=3)
 ]
 _SPREAD = np.uint32(0x9E3779B1)
+FIXED = 1 << 24
 
 
 def subsequences(buf: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
@@ -82,18 +83,19 @@ def sentence_starts(buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def window_sums(buf: np.ndarray, bounds: np.ndarray, scaled: list[np.ndarray]) -> np.ndarray:
-    """Weight of the window that starts at each byte and ends with its sentence at the latest."""
-    total = np.zeros(len(buf), np.float32)
+    """Weight of the window that starts at each byte and ends with its sentence at the latest. Weights
+    are whole numbers of 1/FIXED, so that a sum is the same whatever texts stand before it."""
+    total = np.zeros(len(buf), np.int64)
     for bucket, skips, outside in subsequences(buf, bounds):
         found = scaled[skips][bucket]
         found[outside] = 0
         total += found
-    sums = np.zeros(len(buf) + 1)
-    np.cumsum(total, dtype=np.float64, out=sums[1:])
+    sums = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum(total, out=sums[1:])
     starts = sentence_starts(buf, bounds)
     ends = np.append(starts[1:], len(buf))
     last = np.minimum(np.arange(WIDTH, len(buf) + WIDTH), np.repeat(ends, ends - starts))
-    return sums[last] - sums[:-1]
+    return (sums[last] - sums[:-1]) / FIXED
 
 
 @dataclass
@@ -106,7 +108,7 @@ class Model:
     shift: float
 
     def scaled(self) -> list[np.ndarray]:
-        return [(self.weights * DECAY**k).astype(np.float32) for k in range(4)]
+        return [np.rint(self.weights.astype(np.float64) * DECAY**k * FIXED).astype(np.int64) for k in range(4)]
 
     def margins(self, texts: pa.Array) -> np.ndarray:
         """The greatest margin of a window of each text; that of nothing for an empty one."""
