@@ -127,3 +127,11 @@ def test_magic_in_a_payload_is_rejected_and_damage_ends_the_chain(spark, tmp_pat
     archives = spark.createDataFrame(rows, "path string, size long")
     for split in (50, 1 << 20):
         assert sorted(r.page_id for r in read_archives(archives, split).collect()) == [1, 2, 3, 5, 6]
+
+
+def test_a_block_ends_a_paragraph_at_any_depth():
+    words = "some words of an article that go on for a while "
+    for depth in (1, 7, 8, 9, 40):
+        deep = "<b>" * depth
+        page = f"<body><article><p>{words}{deep}inner<div>{words}</div></article></body>"
+        assert main_text(page).split("\n") == [f"{words}inner", words.strip()]

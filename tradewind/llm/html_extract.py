@@ -128,12 +128,11 @@ class Lines(HTMLParser):
         block = tag in BLOCKS
         if block:
             self._end_line()
-            if self.open and self.open[-1][0] != "p" and any(x[0] == "p" for x in self.open[-8:]):
-                at = max(i for i, x in enumerate(self.open) if x[0] == "p")
-                if not any(x[0] in BLOCKS for x in self.open[at + 1 :]):
-                    self._close(at)
-            elif self.open and self.open[-1][0] == "p":
-                self._close(len(self.open) - 1)
+            # A block ends the paragraph that it is in, however many inline elements are open.
+            places = range(len(self.open) - 1, -1, -1)
+            nearest = next((i for i in places if self.open[i][0] == "p" or self.open[i][0] in BLOCKS), None)
+            if nearest is not None and self.open[nearest][0] == "p":
+                self._close(nearest)
         elif tag in PARTS:
             self.text.append(" ")
         self.tags += 1
