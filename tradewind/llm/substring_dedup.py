@@ -162,9 +162,10 @@ def _whole_windows(batches, window: int, gather: int, repeated: bytes) -> Iterat
                 continue
             rows = row[first]
             begins = np.searchsorted(row, np.arange(high - low))
+            others = span_hashes(buf, *word_spans(buf, bounds)[:2], seed=1)
             held.append((
                 window_hashes(words, window, OF_WORDS[0])[first],
-                window_hashes(words, window, OF_WORDS[1])[first],
+                window_hashes(others, window, OF_WORDS[1])[first],
                 ids[low:high][rows],
                 marks[low:high][rows],
                 (first - begins[rows]).astype(np.int32),

@@ -40,16 +40,19 @@ def load(name: str) -> tiktoken.Encoding:
 class Encoder:
     """Encodes blocks. A text is cut before each run of white space that follows something else:
     no token goes over such a place, so each piece has the same ids wherever it stands. Pieces
-    not seen before are encoded together, the others are looked up. Texts with white space
-    beyond ASCII are one piece."""
+    not seen before are encoded together, the others are looked up by their hash, and what the ids
+    of a block spell is compared with its bytes. Texts with white space beyond ASCII are one piece."""
 
     def __init__(self, name: str) -> None:
         self.encoding = load(name)
         self.end = self.encoding.n_vocab
         self.kind = np.uint16 if self.end < 1 << 16 else np.uint32
-        self.bytes_of = np.zeros(self.end, np.int64)
+        tokens = [b""] * self.end
         for token, rank in self.encoding._mergeable_ranks.items():
-            self.bytes_of[rank] = len(token)
+            tokens[rank] = token
+        self.bytes_of = np.array([len(token) for token in tokens], np.int64)
+        self.token_at = np.cumsum(self.bytes_of) - self.bytes_of
+        self.all_tokens = np.frombuffer(b"".join(tokens), np.uint8)
         self._forget()
 
     def _forget(self) -> None:
@@ -105,9 +108,24 @@ class Encoder:
         if len(new):
             self.young.add(keys[new], *self._fresh(buf.tobytes(), starts[at[new]], ends[at[new]]))
         out, _, count = self.young.taken(self.young.place(keys)[back])
+        if not self._spells(out, buf):
+            # Pieces with the same hash: this block is encoded without the tables.
+            known = Known(self.kind)
+            known.add(np.arange(len(starts), dtype=np.uint64), *self._fresh(buf.tobytes(), starts, ends))
+            out, _, count = known.taken(np.arange(len(starts)))
         total = np.concatenate([[0], np.cumsum(count)])
         return out, total[np.searchsorted(starts, bounds)]
 
+    def _spells(self, ids: np.ndarray, buf: np.ndarray) -> bool:
+        """Whether the bytes of the ids are those of the block."""
+        length = self.bytes_of[ids]
+        total = int(length.sum())
+        if total != len(buf):
+            return False
+        begin = np.cumsum(length) - length
+        at = np.arange(total) + np.repeat(self.token_at[ids] - begin, length)
+        return bool(np.array_equal(self.all_tokens[at], buf))
+
 
 class Known:
     """Ids of pieces by the hash of the piece. The pieces of late blocks are in a young table; when

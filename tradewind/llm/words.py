@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
-# Odd multipliers of the polynomial hashes, modulo 2^64.
+# Odd multipliers, modulo 2^64.
 OF_BYTES = 0x9E3779B97F4A7C15
 OF_WORDS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -19,6 +19,9 @@ OF_WORDS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+# Bytes of a word whose numbers are looked up.
+SHORT = 64
+_short: dict[int, np.ndarray] = {}
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -75,13 +78,31 @@ def word_spans(buf: np.ndarray, bounds: np.ndarray, space: np.ndarray = IS_SPACE
     return starts, ends, np.searchsorted(bounds, starts, "right") - 1
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span."""
-    power, inverse = powers(OF_BYTES, len(buf))
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=sums[1:])
-    found = (sums[ends] - sums[starts]) * inverse[starts]
-    return mixed(found + (ends - starts).astype(np.uint64) * np.uint64(OF_WORDS[0]))
+def _of_bytes(placed: np.ndarray, seed: int) -> np.ndarray:
+    """64 bits for a byte and its place in a word."""
+    return mixed(placed * np.uint64(OF_BYTES) + np.uint64(OF_WORDS[seed]))
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; spans come in order and do not overlap. Hashes of the
+    two seeds are independent of each other.
+
+    Every byte is mixed with its place in the span before it is added. Sums of powers of one number
+    would not do: texts that collide for every such number can be written down."""
+    if seed not in _short:
+        _short[seed] = _of_bytes(np.arange(SHORT << 8, dtype=np.uint64), seed)
+    lengths = ends - starts
+    after = np.cumsum(lengths)
+    begin = after - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(begin, lengths)
+    placed = (place << 8) + buf[place + np.repeat(starts, lengths)]
+    of_each = _short[seed][placed & ((SHORT << 8) - 1)]
+    late = np.flatnonzero(place >= SHORT)
+    if len(late):
+        of_each[late] = _of_bytes(placed[late].astype(np.uint64), seed)
+    sums = np.zeros(len(placed) + 1, np.uint64)
+    np.cumsum(of_each, out=sums[1:])
+    return mixed(sums[after] - sums[begin] + lengths.astype(np.uint64) * np.uint64(OF_WORDS[seed]))
 
 
 def window_hashes(words: np.ndarray, k: int, base: int = OF_WORDS[0]) -> np.ndarray:
