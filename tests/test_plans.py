@@ -1,12 +1,13 @@
 """What the plans must look like to hold at a thousand times the data."""
 
 import ast
+import re
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from tradewind.operators import joins, ranking
+from tradewind.operators import analytics, joins, numbering, ranking
 from tradewind.plans import kpis, marts
 from tradewind.plans.warehouse import Warehouse
 from tradewind.registry.queries import REGISTERED
@@ -139,3 +140,23 @@ def test_rows_reach_the_driver_in_few_places():
         "ranking.py": ["collect"],  # the bounded result
         "build_all.py": ["collect"],  # names of failed checks
     }
+
+
+def test_charts_number_rows_where_they_are(spark):
+    """No window over all rows, and numbers without gaps over many ranges."""
+    df = spark.range(5000).selectExpr("id % 700 AS v", "concat('n', id % 7) AS name").repartition(9)
+    for made in (analytics.series(df, order_by=["v"]), analytics.series(df, "top"), analytics.figure(df)):
+        first_of_spec = re.findall(r"windowspecdefinition\((\w+)#\d+L?, ", plan(made))
+        assert first_of_spec and set(first_of_spec) <= {"_range", "_group"}
+    rows = numbering.row_numbers(df, ["v"]).collect()
+    assert sorted(r.idx for r in rows) == list(range(1, 5001))
+    assert [r.v for r in sorted(rows, key=lambda r: r.idx)] == sorted(r.v for r in rows)
+    backwards = numbering.row_numbers(df, [F.desc("v")]).collect()
+    assert [r.v for r in sorted(backwards, key=lambda r: r.idx)] == sorted((r.v for r in rows), reverse=True)
+    assert numbering.row_numbers(df.limit(0), ["v"]).count() == 0
+
+
+def test_numbering_adds_up_many_groups_of_ranges(spark, monkeypatch):
+    monkeypatch.setattr(numbering, "RANGES", 2)
+    rows = numbering.row_numbers(spark.range(900).repartition(11), ["id"]).collect()
+    assert all(r.idx == r.id + 1 for r in rows) and len(rows) == 900

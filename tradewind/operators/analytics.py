@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 
 from tradewind.functions import wordlists as words
 from tradewind.functions.columns import as_label, as_number, is_numeric_type
+from tradewind.operators.numbering import row_numbers
 
 NUMERIC_SHARE = 0.6
 # Columns of a block; one aggregation takes the pairs of two blocks.
 BLOCK = 8
+# Bars of a "top" chart.
+TOP_BARS = 15
 # Moments of the columns i and j of a pair, and their extremes.
 MOMENTS = ("mean_i", "mean_j", "var_i", "var_j", "cov")
 LOWS_AND_HIGHS = ("low_i", "high_i", "low_j", "high_j")
@@ -374,21 +377,28 @@ def chart_axes(
 def _series_frame(
     df: DataFrame, axes: Axes, order_by: list[Column | str], points: int | None
 ) -> DataFrame:
-    """All rows, or the first ``points``, as (idx, x, y) with the number of all rows. A chart
-    is drawn from one list, so its rows meet in one task."""
-    order = Window.orderBy(*(order_by or [F.monotonically_increasing_id()]))
-    numbered = df.withColumn("idx", F.row_number().over(order)).withColumn(
-        "total_points", F.count("*").over(Window.partitionBy())
+    """All rows, or the first ``points``, as (idx, x, y) with the number of all rows, which are
+    numbered where they are."""
+    order = order_by or []
+    first = df if points is None else df.orderBy(*(order or [F.monotonically_increasing_id()])).limit(points)
+    named = all(isinstance(c, str) for c in order)
+    cells = first.select(
+        *[c for c in df.columns if c in order or not named],
+        axes.x.alias("_x"),
+        axes.y.alias("_y"),
+        axes.value.alias("_value"),
+        axes.has_label.alias("_labelled"),
+        F.when(axes.has_label, axes.label).alias("_label"),
     )
-    if points is not None:
-        numbered = numbered.where(F.col("idx") <= points)
+    numbered = row_numbers(cells, order, "_idx")
+    total = (numbered if points is None else df).agg(F.count("*").alias("n")).scalar()
     return numbered.select(
-        "idx",
-        F.coalesce(axes.x, F.when(~axes.has_label, F.col("idx").cast("string"))).alias("x"),
-        axes.y.alias("y"),
-        "total_points",
-        axes.value.alias("value_column"),
-        F.when(axes.has_label, axes.label).alias("label_column"),
+        F.col("_idx").cast("int").alias("idx"),
+        F.coalesce("_x", F.when(~F.col("_labelled"), F.col("_idx").cast("string"))).alias("x"),
+        F.col("_y").alias("y"),
+        total.alias("total_points"),
+        F.col("_value").alias("value_column"),
+        F.col("_label").alias("label_column"),
     ).where(F.col("y").isNotNull())
 
 
@@ -410,13 +420,14 @@ def series(
     label: str | None = None,
     points: int | None = None,
     chart_type: str | None = None,
+    top: int = TOP_BARS,
 ) -> DataFrame:
     """Chart points (position, x, y) with the chart's type, columns and title on each row, and
     the number of rows there are. All rows are points unless the caller gives a number.
 
     Fewer than two points give no rows. The type is the given one, else follows the
     question's words, else whether the first label looks like a month. "Top" bars are sorted
-    by value and cut to 15. Lines are sorted by label if one label is a month, and for a
+    by value and cut to ``top``. Lines are sorted by label if one label is a month, and for a
     given type if all are. ``order_by`` says which rows are the first ones."""
     if value is not None:
         axes = _fixed_axes(df, value, label)
@@ -429,10 +440,12 @@ def series(
             axes = Axes(axes.value, given.label, given.has_label, given.x, axes.y)
 
     rows = _series_frame(df, axes, order_by or [], points)
-    whole = Window.orderBy("idx").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
     looks_timed = F.col("x").rlike(r"^[0-9]{4}-[0-9]{2}")
+    facts = rows.agg(F.struct(
+        F.count("*").alias("n"),
+        F.min_by("x", "idx").alias("first_x"),
+        (F.max if chart_type is None else F.min)(looks_timed).alias("timed"),
+    )).scalar()
     if chart_type is not None:
         kind = F.lit(chart_type if chart_type in ("bar", "line") else "bar")
     elif _hinted(question, words.LINE_HINTS):
@@ -440,25 +453,23 @@ def series(
     elif _hinted(question, words.BAR_HINTS):
         kind = F.lit("bar")
     else:
-        timed = F.first("x").over(whole).rlike(r"^[0-9]{4}-[0-9]{2}") & F.col("label_column").isNotNull()
+        timed = facts["first_x"].rlike(r"^[0-9]{4}-[0-9]{2}") & F.col("label_column").isNotNull()
         kind = F.when(timed, "line").otherwise("bar")
 
-    top = F.lit(_hinted(question, words.TOP_HINTS)) & (F.col("chart_type") == "bar")
-    by_label = (
-        (F.col("chart_type") == "line") & F.col("timed") & F.col("label_column").isNotNull()
-    )
-    sorted_rows = Window.orderBy(
-        F.when(top, -F.col("y")), F.when(by_label, F.col("x")), F.col("idx")
+    is_top = F.lit(_hinted(question, words.TOP_HINTS)) & (F.col("chart_type") == "bar")
+    by_label = (F.col("chart_type") == "line") & facts["timed"] & F.col("label_column").isNotNull()
+    told = (
+        rows.where(facts["n"] >= 2)
+        .withColumn("chart_type", kind)
+        .withColumn("_top", is_top)
+        .withColumn("_by_value", F.when(is_top, -F.col("y")))
+        .withColumn("_by_label", F.when(by_label, F.col("x")))
     )
     return (
-        rows.withColumn("n", F.count("*").over(whole))
-        .withColumn("chart_type", kind)
-        .withColumn("timed", (F.max if chart_type is None else F.min)(looks_timed).over(whole))
-        .where(F.col("n") >= 2)
-        .withColumn("position", F.row_number().over(sorted_rows))
-        .where(~top | (F.col("position") <= 15))
+        row_numbers(told, ["_by_value", "_by_label", "idx"], "position")
+        .where(~F.col("_top") | (F.col("position") <= top))
         .select(
-            "position",
+            F.col("position").cast("int").alias("position"),
             "x",
             "y",
             "chart_type",
@@ -479,14 +490,11 @@ def figure(
     if axes is None:
         return df.sparkSession.createDataFrame([], EMPTY_SERIES)
     rows = _series_frame(df, axes, order_by or [], points)
-    whole = Window.orderBy("idx").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
+    count = rows.agg(F.count("*").alias("n")).scalar()
     return (
-        rows.withColumn("n", F.count("*").over(whole))
-        .where(F.col("n") >= 2)
+        row_numbers(rows.where(count >= 2), ["idx"], "position")
         .select(
-            F.row_number().over(Window.orderBy("idx")).alias("position"),
+            F.col("position").cast("int").alias("position"),
             "x",
             "y",
             F.lit("bar").alias("chart_type"),
