@@ -11,7 +11,7 @@ except ImportError:
     import sre_parse as sre
 from pyspark.sql import functions as F
 
-from tradewind.llm.license_rules import BASE, SURE, rules
+from tradewind.llm.license_rules import BASE, SURE, gates, rules
 from tradewind.llm.license_scan import detections, license_scan, scanned
 
 RULES = rules()
@@ -86,6 +86,14 @@ def test_there_are_hundreds_of_rules_and_their_keywords_are_in_every_match():
             assert re.fullmatch(rule.pattern, text) and rule.keyword in text, (rule, text)
 
 
+def test_gates_open_for_every_match():
+    stem_of = {k: stem for stem, keywords in gates().items() for k in keywords}
+    rng = random.Random(4)
+    for rule in RULES:
+        assert all(stem_of[rule.keyword] in example(rule.pattern, rng) for _ in range(20)), rule
+    assert all(stem_of[phrase] in phrase for phrase, _ in BASE) and len(stem_of) > 2 * len(gates())
+
+
 TEXTS = [
     None, "", " \n", "plain prose without any notice, mit der Zeit", "MIT License", "the MIT-licence; apache license, VERSION 2.0",
     "GNU Lesser General Public License version 2.1 or later", "CC BY CC BY-SA 4.0 cc by", "All rights\nreserved. ALL RIGHTS RESERVED",

@@ -7,6 +7,7 @@ Each rule has a keyword, a part that every match of it contains."""
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 # Priorities, the strongest first, and how sure a detection of each is.
@@ -29,6 +30,8 @@ BASE = (
 )
 
 LICENSE = "licen[cs]e"
+# Parts that many keywords, or all matches of many rules, have in common.
+STEMS = ("licen", "gpl", "mpl", "epl", "apache", "bsd", "copyright", "permission", "rights", "creative", "public domain")
 
 
 def _at(major: int, minor: int | None = 0) -> str:
@@ -164,7 +167,8 @@ SINGLE = (
     Rule(TITLE, "agpl-3.0", "agpl", f"(?:gnu )?agpl{_at(3)}"),
     Rule(TITLE, "agpl-3.0", "agplv3", "agplv3"),
     Rule(TITLE, "agpl", "agpl", "gnu agpl"),
-    Rule(TITLE, "apache-2.0", "apache", "asl 2 0|apache2"),
+    Rule(TITLE, "apache-2.0", "asl 2 0", "asl 2 0"),
+    Rule(TITLE, "apache-2.0", "apache2", "apache2"),
     Rule(TITLE, "mpl-2.0", "mpl 2 0", "mpl 2 0"),
     Rule(TITLE, "mpl-1.1", "mpl 1 1", "mpl 1 1"),
     Rule(TITLE, "epl-1.0", "epl 1 0", "epl 1 0"),
@@ -194,7 +198,7 @@ SINGLE = (
     Rule(TEXT, "apache-2.0", "distributed on an as is", f"software distributed under the {LICENSE} is distributed on an as is basis"),
     Rule(TEXT, "apache-2.0", "contributor", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent) license"),
     Rule(TEXT, "gpl", "free software", "this (?:program|library|file) is free software you can redistribute it and or modify it"),
-    Rule(TEXT, "gpl", "free software foundation", "either version [123](?: [01])? of the license or at your option any later version"),
+    Rule(TEXT, "gpl", "at your option any later", "either version [123](?: [01])? of the license or at your option any later version"),
     Rule(TEXT, "gpl", "fitness for a particular purpose", "without even the implied warranty of merchantability or fitness for a particular purpose"),
     Rule(TEXT, "gpl", "you should have received", "you should have received a copy of the gnu (?:lesser |affero |library )?general public license"),
     Rule(TEXT, "lgpl", "free software", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser"),
@@ -218,10 +222,12 @@ SINGLE = (
     Rule(TEXT, "proprietary", "trade secret", "contains? (?:[^ ]+ ){0,4}trade secrets?"),
     Rule(TEXT, "non-commercial", "commercial", "for (?:personal and )?non(?: )?commercial (?:use|purposes) only"),
     Rule(TEXT, "non-commercial", "commercial", "not for commercial (?:use|purposes|redistribution)"),
-    Rule(TEXT, "no-derivatives", "derivative works", "you may not (?:modify|create derivative works)"),
+    Rule(TEXT, "no-derivatives", "you may not modify", "you may not modify"),
+    Rule(TEXT, "no-derivatives", "derivative works", "you may not create derivative works"),
     Rule(TEXT, "eula", "end user licen", f"end user {LICENSE} agreement"),
     Rule(TEXT, "terms-of-use", "terms of", "(?:by using this (?:site|website|service) you agree to|subject to) (?:the |our |these )?terms of (?:use|service)"),
-    Rule(TEXT, "no-ai-training", "machine learning", "(?:may|shall|must) not be used (?:for|to train) (?:the training of )?(?:artificial intelligence|machine learning)"),
+    Rule(TEXT, "no-ai-training", "machine learning", "(?:may|shall|must) not be used (?:for|to train) (?:the training of )?machine learning"),
+    Rule(TEXT, "no-ai-training", "artificial intelligence", "(?:may|shall|must) not be used (?:for|to train) (?:the training of )?artificial intelligence"),
     Rule(LINK, "mit", "opensource org", "opensource org licenses mit(?: license)?"),
     Rule(LINK, "bsd", "opensource org", "opensource org licenses bsd(?: [234] clause| license)?"),
     Rule(LINK, "isc", "opensource org", "opensource org licenses isc"),
@@ -251,7 +257,7 @@ SINGLE = (
     Rule(CLUE, "copyright", "copyright", "copyright ©(?: (?:19|20)[0-9]{2})?"),
     Rule(CLUE, "copyright", "copyright", "copyright (?:owned|held) by"),
     Rule(CLUE, "copyright", "©", "© (?:copyright )?(?:19|20)[0-9]{2}"),
-    Rule(CLUE, "all-rights-reserved", "rights reserved", "all rights (?:are )?reserved"),
+    Rule(CLUE, "all-rights-reserved", "all rights", "all rights (?:are )?reserved"),
     Rule(CLUE, "some-rights-reserved", "rights reserved", "some rights reserved"),
     Rule(CLUE, "no-rights-reserved", "rights reserved", "no rights reserved"),
     Rule(CLUE, "reprinted", "permission", "(?:reprinted|reproduced|used) (?:with|by) permission"),
@@ -281,3 +287,24 @@ def rules() -> list[Rule]:
             Rule(TITLE, label, "creative commons", f"creative commons {name}{version}?(?: international| unported)?(?: {LICENSE})?"),
         ]
     return sorted([*of_names, *SINGLE], key=lambda rule: rule.priority)
+
+
+def gates() -> dict[str, list[str]]:
+    """The keywords by what a text must hold for any of them to matter: a stem, or the keyword."""
+    named: dict[str, list[Rule]] = {}
+    for rule in rules():
+        named.setdefault(rule.keyword, []).append(rule)
+    found: dict[str, list[str]] = {}
+    for keyword in [*(phrase for phrase, _ in BASE), *named]:
+        stem = next((s for s in STEMS if s in keyword), keyword)
+        if stem == keyword and all(_always(rule.pattern, STEMS[0]) for rule in named.get(keyword, [])):
+            stem = STEMS[0]
+        if keyword not in found.setdefault(stem, []):
+            found[stem].append(keyword)
+    return found
+
+
+def _always(pattern: str, part: str) -> bool:
+    """Whether every match has the part, by what is left of the pattern without optional groups."""
+    rest = re.sub(r"\(\?:[^()]*\)\?", "", pattern)
+    return part in rest if rest == pattern else _always(rest, part)

@@ -8,7 +8,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewind.llm.license_rules import BASE, SURE, rules
+from tradewind.llm.license_rules import BASE, SURE, gates, rules
 from tradewind.llm.stored import stored
 
 # What separates words: ASCII that is neither a digit nor a lower-case letter.
@@ -65,16 +65,20 @@ def _matches(words: Column, keywords: Column) -> Column:
 def scanned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(row, id, n_words, matches) per row of ``docs``, written; the only pass over the texts.
 
-    Which keywords a text holds decides which patterns are tried on it; a text without any is only
-    searched for the keywords."""
-    keywords = sorted({s["keyword"] for s in _signatures()})
+    Which keywords a text holds decides which patterns are tried on it, and which stems it holds, for
+    which keywords it is searched."""
+    told = [{"stem": stem, "keywords": keywords} for stem, keywords in gates().items()]
+    table = F.from_json(F.lit(json.dumps(told)), "array<struct<stem:string,keywords:array<string>>>")
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col(id_column).alias("id"),
         squeezed(F.col(text_column)).alias("words"),
     )
     gaps = F.length("words") - F.length(F.replace(F.col("words"), F.lit(" ")))
-    held = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(F.col("words"), k))
+    opened = F.filter(table, lambda gate: F.contains(F.col("words"), gate["stem"]))
+    held = F.flatten(
+        F.transform(opened, lambda gate: F.filter(gate["keywords"], lambda k: F.contains(F.col("words"), k)))
+    )
     gated = rows.withColumn("held", held)
     none = F.array().cast("array<struct<rule:int,spots:array<int>,gaps:array<int>>>")
     return stored(
