@@ -160,3 +160,52 @@ def test_embedding_of_missing_text(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "id int, t string")
     rows = {r.id: r.embedding for r in vectors.embed(df, "t", vectors.HashingProvider(4)).collect()}
     assert rows[1] == [0.0] * 4 and sum(rows[2]) == 1.0
+
+
+def clustered(spark, dim=12, centres=25, size=60, seed=4):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(centres, dim))
+    rows = [(c * size + i, (middle[c] + 0.02 * rng.normal(size=dim)).tolist(), c) for c in range(centres) for i in range(size)]
+    rows += [(90_000 + i, [0.0] * dim, -1) for i in range(7)] + [(91_000 + i, middle[3].tolist(), 3) for i in range(40)]
+    return rows, spark.createDataFrame(rows, "id long, embedding array<float>, label int").repartition(6), middle
+
+
+@pytest.mark.parametrize("k", [1, 4, 100])
+def test_grid_leaves_out_parts_and_no_row(spark, k):
+    rows, df, middle = clustered(spark)
+    rng = np.random.default_rng(8)
+    asked = {f"q{i}": (middle[i % 25] + 0.05 * rng.normal(size=12)).tolist() for i in range(40)}
+    asked |= {"far": (-middle[0]).tolist(), "copies": middle[3].tolist(), "nowhere": [0.0] * 12}
+    table = spark.createDataFrame(list(asked.items()), "query_id string, vector array<double>")
+    got = {}
+    for r in vectors.vector_topk(df, table, k, part_rows=20).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {name: [i for i, _ in best(rows, vector, k)] for name, vector in asked.items()}
+
+    source = df.selectExpr("cast(embedding AS array<double>) AS _vector", "id AS _key", "id")
+    asks = table.selectExpr("query_id AS _query", "vector AS _vector")
+    held, met = vectors.question_grid(source, asks, k, part_rows=20)
+    assert held.count() == len(rows)
+    parts = held.select("_part").distinct().count()
+    pairs = met.count()
+    assert parts > 60 and met.distinct().count() == pairs
+    if k <= 4:
+        assert pairs < 0.35 * parts * len(asked)
+
+
+def test_grid_over_odd_corpora(spark):
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, vector array<double>")
+    for rows in ([(1, [0.0, 0.0]), (2, [0.0, 0.0])], [(5, [1.0, 1.0])], []):
+        df = spark.createDataFrame(rows, "id long, embedding array<double>")
+        found = [r.id for r in vectors.vector_topk(df, asked, 2).orderBy("rank").collect()]
+        assert found == [i for i, _ in rows]
+    other = spark.createDataFrame([(1, [0.0, 0.0, 0.0])], "id long, embedding array<double>")
+    with pytest.raises(Exception, match="numbers of the query"):
+        vectors.vector_topk(other, asked, 2).collect()
+
+
+def test_few_questions_shuffle_nothing_of_the_corpus(spark):
+    _, df = corpus(spark)
+    plan = vectors.vector_topk(df, {"q": [1.0] * 8}, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit") < plan.index("hashpartitioning(query_id") < plan.index("MapInArrow")
+    assert plan.count("hashpartitioning") == 1

@@ -16,13 +16,18 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.operators.ranking import first_per_group
+from tradewind.operators.ranking import bounded_result, first_per_group
 from tradewind.sources.tables import materialize
 
 # Corpus rows that a task holds at a time, and bytes of its tile of scores.
 PART_ROWS = 50_000
 TILE_BYTES = 32 * 1024 * 1024
 SCORE_PLACES = 6
+# Corpus rows that cells are made around, the most parts of a cell, and what rounding of scores and
+# distances may hide.
+PIVOTS = 64
+PARTS = 1 << 32
+SLACK = 4e-6
 
 # The functions below travel to the tasks as they are; executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -139,6 +144,132 @@ class _PartSearch:
             )
 
 
+def _scan_search(questions: Sequence[Any], numbers: np.ndarray, k: int, names: list[str]):
+    """A function for the tasks: every batch of the corpus answers with k rows per question."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = _PartSearch(k, names)
+        vectors = pa.array(numbers.tolist(), pa.list_(pa.float64()))
+        asked = pa.RecordBatch.from_arrays([vectors, pa.array(questions, pa.string())], ["_vector", "_query"])
+        for batch in batches:
+            if batch.num_rows and asked.num_rows:
+                matrix = _matrix(batch.column("_vector"))
+                yield from part.search(asked, batch, matrix, np.asarray(batch.column("_key")))
+
+    return search
+
+
+def _distances(vectors: pa.Array, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of the directions of vectors to the pivots, and which vectors have none."""
+    unit = _matrix(vectors)
+    if len(unit) and unit.shape[1] != pivots.shape[1]:
+        raise ValueError(f"corpus vectors do not have the {unit.shape[1]} numbers of the query")
+    products = unit @ pivots.T if len(unit) else np.zeros((0, len(pivots)))
+    return np.sqrt(np.maximum(2 - 2 * products, 0)), ~unit.any(axis=1) if len(unit) else np.zeros(0, bool)
+
+
+def _near_pivot(pivots: np.ndarray):
+    """A function for the tasks: adds the nearest pivot and the distance to it. Vectors of no
+    direction are a cell of their own, -1."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            distances, nowhere = _distances(batch.column("_vector"), pivots)
+            cell = np.where(nowhere, -1, distances.argmin(axis=1))
+            yield batch.append_column("_cell", pa.array(cell.astype(np.int32))).append_column(
+                "_far", pa.array(np.where(nowhere, 0.0, distances.min(axis=1, initial=np.inf)))
+            )
+
+    return near
+
+
+def _to_pivots(pivots: np.ndarray):
+    """A function for the tasks: adds the distances to all pivots, or null where there is no
+    direction."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            distances, nowhere = _distances(batch.column("_vector"), pivots)
+            told = [None if no else row.tolist() for row, no in zip(distances, nowhere, strict=True)]
+            yield batch.append_column("_fars", pa.array(told, pa.list_(pa.float64())))
+
+    return measure
+
+
+def question_grid(
+    rows: DataFrame, asks: DataFrame, k: int, part_rows: int = PART_ROWS, pivots: int = PIVOTS
+) -> tuple[DataFrame, DataFrame]:
+    """The corpus (_key, _vector, ...) with its ``_part``, and the questions (_query, _vector), each once
+    per part that may hold one of its ``k`` nearest rows.
+
+    A cell holds the rows nearest to one of the pivots, which are corpus rows; large cells are
+    dealt into parts of about ``part_rows`` rows. By the triangle inequality the rows of a cell are no
+    nearer to a question than its distance to the pivot less the cell's radius (or the nearest row's
+    distance less that), and k rows of a cell are no farther than that distance and the one of the
+    cell's k-th row. So a cell whose best possible score is below the k-th score that some other cell
+    is sure to give is left out; results are the same as without."""
+    order = F.xxhash64("_key")
+    sample = bounded_result(rows.select("_vector").orderBy(order, "_key"), pivots).rows
+    chosen = _matrix(pa.array([r._vector for r in sample], pa.list_(pa.float64())))
+    chosen = np.unique(chosen[chosen.any(axis=1)], axis=0) if len(chosen) else chosen
+    dims = chosen.shape[1]
+    if not len(chosen):
+        # Nothing to be near to: a corpus without a direction is one cell.
+        dims = len(sample[0]._vector) if sample else 0
+    kinds = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
+    if len(chosen):
+        placed = rows.mapInArrow(_near_pivot(chosen), f"{kinds}, _cell int, _far double")
+        ask_kinds = ", ".join(f"`{name}` {kind}" for name, kind in asks.dtypes)
+        measured = asks.mapInArrow(_to_pivots(chosen), f"{ask_kinds}, _fars array<double>")
+    else:
+        placed = rows.withColumns({"_cell": F.lit(-1), "_far": F.lit(0.0)})
+        wrong = F.raise_error(F.lit("corpus vectors do not have the numbers of the query"))
+        checked = F.when(F.size("_vector") != dims, wrong) if sample else F.lit(None)
+        measured = asks.withColumn("_fars", checked.cast("array<double>"))
+
+    sizes = placed.groupBy("_cell").agg(
+        F.count("*").alias("rows"), F.min("_far").alias("low"), F.max("_far").alias("high")
+    )
+    nearest = first_per_group(placed.select("_cell", "_far"), ["_cell"], [F.col("_far")], k)
+    sure = nearest.groupBy("_cell").agg(F.when(F.count("*") == k, F.max("_far")).alias("sure"))
+    salts = F.ceil(F.col("rows") / part_rows).cast("bigint")
+    cells = sizes.join(sure, "_cell").withColumn("salts", salts)
+    part = F.col("_cell").cast("bigint") * PARTS
+    held = (
+        placed.join(F.broadcast(cells.select("_cell", "salts")), "_cell")
+        .withColumn("_part", part + F.pmod(F.xxhash64("_key", F.lit(1)), F.col("salts")))
+        .drop("_cell", "_far", "salts")
+    )
+
+    table = cells.agg(F.collect_list(F.struct("_cell", "salts", "low", "high", "sure")).alias("cells")).scalar()
+
+    def score(distance: Column) -> Column:
+        return 1 - distance * distance / 2
+
+    def far(cell: Column) -> Column:
+        return F.get("_fars", cell["_cell"])
+
+    def may_hold(cell: Column) -> Column:
+        gap = F.greatest(far(cell) - cell["high"], cell["low"] - far(cell), F.lit(0.0))
+        # A row of no direction scores 0.
+        best = F.when(cell["_cell"] < 0, F.lit(0.0)).otherwise(score(gap))
+        return F.col("_fars").isNull() | F.col("_sure").isNull() | (best >= F.col("_sure") - SLACK)
+
+    certain = F.array_max(
+        F.transform("_cells", lambda c: F.when(c["_cell"] >= 0, score(F.least(far(c) + c["sure"], F.lit(2.0)))))
+    )
+    met = measured.withColumn("_cells", table).withColumn("_sure", certain)
+    parts = F.flatten(
+        F.transform(
+            F.filter("_cells", may_hold),
+            lambda c: F.transform(
+                F.sequence(F.lit(0).cast("bigint"), c["salts"] - 1), lambda i: c["_cell"].cast("bigint") * PARTS + i
+            ),
+        )
+    )
+    return held, met.withColumn("_part", F.explode(parts)).drop("_cells", "_sure", "_fars")
+
+
 def vector_topk(
     corpus: DataFrame,
     queries: DataFrame | Mapping[str, Sequence[float]],
@@ -152,46 +283,43 @@ def vector_topk(
 ) -> DataFrame:
     """The ``k`` nearest corpus rows per query by cosine, exact, with payload.
 
-    ``queries`` is a table (query_id, vector) of any size, or a mapping of few questions. The
-    corpus is dealt into parts of about ``part_rows`` rows, each question goes to every part, and
-    every part answers with k rows per question, of which the k best of all are kept: the
-    product of both tables is never a table. A task holds its part, a batch of questions and
-    a tile of scores. ``where`` keeps rows whose payload equals the given values, before
-    scoring and as a condition the scan can use. Rows and questions without a vector have no
-    score; no questions give no rows."""
-    spark = corpus.sparkSession
-    if not isinstance(queries, DataFrame):
-        asked = [(name, [float(x) for x in numbers]) for name, numbers in queries.items()]
-        queries = spark.createDataFrame(asked, "query_id string, vector array<double>")
+    ``queries`` is a table (query_id, vector) of any size, or a mapping of few questions. Few
+    questions travel to the corpus: each batch of it answers with k rows per question, and nothing
+    else is shuffled. A table of questions meets the corpus part by part in a grid (see
+    :func:`question_grid`): a question goes to the parts that may hold one of its rows, each answers
+    with k rows per question, and the k best of all are kept, so the product of both tables is never a
+    table. A task holds its part, a batch of questions and a tile of scores. ``where`` keeps rows
+    whose payload equals the given values, before scoring and as a condition the scan can use. Rows
+    and questions without a vector have no score; no questions give no rows."""
     for name, value in (where or {}).items():
         corpus = corpus.where(F.col(name) == F.lit(value))
     names = [key, *payload]
-    rows = corpus.where(F.col(vector).isNotNull()).select(vector, *names)
-    kinds = dict(rows.dtypes)
-    asks_kind = dict(queries.dtypes)["query_id"]
-    parts = F.greatest(F.lit(1), F.ceil(F.lit(rows.count()) / part_rows)).cast("int")
-    numbers = F.col(vector).cast("array<double>").alias("_vector")
-    held = rows.select(
-        F.pmod(F.xxhash64(key), parts).cast("int").alias("_part"),
-        F.lit(False).alias("_asks"),
-        numbers,
-        F.col(key).alias("_key"),
-        F.lit(None).cast(asks_kind).alias("_query"),
-        *[F.col(name) for name in names],
-    )
-    asks = queries.where("vector IS NOT NULL").select(
-        F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"),
-        F.lit(True).alias("_asks"),
-        F.col("vector").cast("array<double>").alias("_vector"),
-        F.lit(None).cast(kinds[key]).alias("_key"),
-        F.col("query_id").alias("_query"),
-        *[F.lit(None).cast(kinds[name]).alias(name) for name in names],
+    kinds = dict(corpus.dtypes)
+    rows = corpus.where(F.col(vector).isNotNull()).select(
+        F.col(vector).cast("array<double>").alias("_vector"), F.col(key).alias("_key"), *names
     )
-    dealt = held.unionByName(asks).repartition("_part").sortWithinPartitions("_part", "_asks")
+    asks_kind = "string" if not isinstance(queries, DataFrame) else dict(queries.dtypes)["query_id"]
     schema = ", ".join([
         f"query_id {asks_kind}", "score double", *[f"`{name}` {kinds[name]}" for name in names]
     ])
-    found = dealt.mapInArrow(_PartSearch(k, names), schema)
+    if not isinstance(queries, DataFrame):
+        asked = np.array([[float(x) for x in numbers] for numbers in queries.values()])
+        found = rows.mapInArrow(_scan_search(list(queries), asked, k, names), schema)
+    else:
+        asks = queries.where("vector IS NOT NULL").select(
+            F.col("query_id").alias("_query"), F.col("vector").cast("array<double>").alias("_vector")
+        )
+        held, met = question_grid(rows, asks, k, part_rows)
+        nothing = {c: F.lit(None).cast(kind) for c, kind in held.dtypes if c not in ("_part", "_vector")}
+        columns = ["_part", "_asks", "_vector", "_key", "_query", *names]
+        held = held.withColumns({"_asks": F.lit(False), "_query": F.lit(None).cast(asks_kind)})
+        met = met.withColumns({**nothing, "_asks": F.lit(True)})
+        dealt = held.select(*columns).unionByName(met.select(*columns))
+        found = (
+            dealt.repartition("_part")
+            .sortWithinPartitions("_part", "_asks")
+            .mapInArrow(_PartSearch(k, names), schema)
+        )
     if min_score is not None:
         found = found.where(F.col("score") >= min_score)
     return first_per_group(found, ["query_id"], [F.desc("score"), F.col(key)], k)
