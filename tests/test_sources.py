@@ -1,5 +1,6 @@
 """Loading, landing, ledger and the full build on small files."""
 
+import random
 from datetime import datetime
 from pathlib import Path
 
@@ -290,3 +291,51 @@ def test_failed_check_stops_the_build(spark, delivery, tmp_path):
     assert "relationship_stg_orders_customer_id_to_stg_customers" in str(error.value)
     assert "raw_recency" in str(error.value)
     assert spark.table("marts.fct_orders").collect() == before
+
+
+def as_csv(rows, rng, end):
+    def cell(value):
+        if value is None:
+            return ""
+        plain = value and not set(value) & set(',"\n') and rng.random() < 0.5
+        return value if plain else '"' + value.replace('"', '""') + '"'
+
+    return "".join(",".join(map(cell, row)) + end for row in rows)
+
+
+@pytest.mark.parametrize("split", ["60", "700", "100m"])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_records_are_found_in_splits_of_any_size(spark, tmp_path, split, end):
+    """Cells with line ends, quotes and commas, one of them over many splits."""
+    rng = random.Random(int(split.rstrip("m")) + len(end))
+    texts = ["x", "", None, "a\nb", 'say "hi"', '"', '""\n,"', "\n\n", "é, ü", " pad ", '"\n"']
+    rows = [(f"r{i:04d}", rng.choice(texts), rng.choice(texts)) for i in range(400)]
+    rows[150] = ("r0150", "line\n" * 400, 'quoted "line"\n' * 100)
+    rows.append(("last", "no line end\nat the end", None))
+    for name, part in (("one.csv", rows[:300]), ("two.csv", rows[300:])):
+        text = as_csv([("id", "first", "second"), *part], rng, end)
+        write(tmp_path / "up.csv" / name, text.removesuffix(end), "utf-8-sig" if name == "one.csv" else "utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = landing.read_upload(spark, str(tmp_path / "up.csv"))
+        if split == "60":
+            assert spark.read.text(str(tmp_path / "up.csv")).rdd.getNumPartitions() > 50
+        got = sorted(tuple(r) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "256m")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == sorted(tuple(v or "" for v in row) for row in rows)
+
+
+def test_long_rows_are_counted(spark, tmp_path):
+    path = write(tmp_path / "long.csv", 'a,b\n1,2\n1,2,3\n"x,\ny",2,\n1\n\n"a ""q"", b","c,d"\n,,,,\n')
+    landed = landing.land_csv(spark, str(path), datetime(2024, 1, 1))
+    assert (landed.rows_loaded, landed.long_rows) == (6, 3)
+    flat = write(tmp_path / "flat.csv", "a,b\n1,2\n1,2,3\n1\n")
+    assert landing.land_csv(spark, str(flat), datetime(2024, 1, 1), False).long_rows == 1
+
+
+def test_an_upload_of_one_file_has_many_tasks(spark, tmp_path):
+    plan = landing.read_upload(spark, str(write(tmp_path / "x.csv", 'a,b\n1,"2\n"\n')))._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" in plan and "FileScan csv" not in plan and "SinglePartition" not in plan

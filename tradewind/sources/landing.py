@@ -6,12 +6,13 @@ import re
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tradewind.sources.files import exists
 from tradewind.sources.raw import csv_reader
+from tradewind.sources.records import cell_count, cells, csv_records
 from tradewind.sources.tables import UPLOADS, ensure_namespaces, materialize
 
 # Characters of a table or column name, and what is taken for CSV.
@@ -26,6 +27,7 @@ class Landed:
     table: str
     columns: list[str]
     rows_loaded: int
+    long_rows: int = 0
 
 
 def slug(name: str) -> str:
@@ -43,10 +45,15 @@ def identifier(name: str) -> str:
 def read_upload(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """All rows of the file under slugged column names.
 
-    Cells may run over line ends, so one task streams through a file; a large upload without
-    such cells is split between tasks by ``multiline=False``, and a folder of parts is read
-    in parallel either way. Missing cells of a short row are NULL, spare cells of a long one
-    are dropped."""
+    Cells may run over line ends; ``multiline=False`` saves a pass over a file without such cells.
+    Either way many tasks read a large file. Missing cells of a short row are NULL, spare cells of
+    a long one are left out; :func:`land_csv` says how many rows had any."""
+    rows, names = _upload(spark, path, multiline)
+    return rows.select(*names)
+
+
+def _upload(spark: SparkSession, path: str, multiline: bool) -> tuple[DataFrame, list[str]]:
+    """The rows with BAD_ROW, the text of a row that has not as many cells as the header."""
     if not exists(spark, path):
         raise FileNotFoundError(f"upload not found: {path}")
     if path.rpartition(".")[2].lower() not in EXTENSIONS:
@@ -60,29 +67,38 @@ def read_upload(spark: SparkSession, path: str, multiline: bool = True) -> DataF
         raise ValueError(f"column names are not distinct: {names}")
 
     schema = StructType([StructField(name, StringType()) for name in [*names, BAD_ROW]])
-    rows = (
-        csv_reader(spark, multiline)
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", BAD_ROW)
-        .schema(schema)
-        .csv(path)
-    )
+    if multiline:
+        told = ", ".join(f"{name} string" for name in schema.names)
+        record = cells(F.col("record"), told, "PERMISSIVE", columnNameOfCorruptRecord=BAD_ROW)
+        rows = csv_records(spark, path).where(~F.col("is_header")).select(record.alias("row")).select("row.*")
+    else:
+        rows = (
+            csv_reader(spark, multiline)
+            .option("header", True)
+            .option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", BAD_ROW)
+            .schema(schema)
+            .csv(path)
+        )
     # In a whole row an empty cell is an empty text, not a missing one.
     whole = F.col(BAD_ROW).isNull()
-    return rows.select(*[
-        F.when(whole, F.coalesce(name, F.lit(""))).otherwise(F.col(name)).alias(name)
-        for name in names
-    ])
+    filled = [
+        F.when(whole, F.coalesce(name, F.lit(""))).otherwise(F.col(name)).alias(name) for name in names
+    ]
+    return rows.select(*filled, BAD_ROW), names
 
 
 def land_csv(
     spark: SparkSession, path: str, now: datetime, multiline: bool = True
 ) -> Landed:
-    """Store an upload as ``uploads.<file name>_<utc time>``."""
+    """Store an upload as ``uploads.<file name>_<utc time>``. Rows with more cells than the header
+    are counted while the table is written."""
     stem = path.rpartition("/")[2].rpartition(".")[0]
     table = identifier(f"{slug(stem)}_{now:%Y%m%d_%H%M%S}")
-    df = read_upload(spark, path, multiline)
+    rows, names = _upload(spark, path, multiline)
+    seen = Observation()
+    is_long = F.col(BAD_ROW).isNotNull() & (cell_count(F.col(BAD_ROW)) > len(names))
+    df = rows.observe(seen, F.count_if(is_long).alias("long_rows")).select(*names)
     ensure_namespaces(spark, [UPLOADS])
     landed = materialize(df, f"{UPLOADS}.{table}")
-    return Landed(f"{UPLOADS}.{table}", df.columns, landed.count())
+    return Landed(f"{UPLOADS}.{table}", names, landed.count(), seen.get["long_rows"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tradewind.sources.files import exists
 from tradewind.sources.ledger import RunLedger
+from tradewind.sources.records import CELLS, cells, csv_records
 from tradewind.sources.specs import SOURCES, SourceSpec
 from tradewind.sources.tables import ensure_namespaces, materialize
 
@@ -16,14 +17,7 @@ from tradewind.sources.tables import ensure_namespaces, materialize
 def csv_reader(spark: SparkSession, multiline: bool) -> DataFrameReader:
     """Comma-separated text with doubled quotes. A quoted empty cell is an empty string, a
     bare one is NULL; a byte order mark is skipped."""
-    return (
-        spark.read.option("multiLine", multiline)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("encoding", "UTF-8")
-        .option("nullValue", "\u0001")
-        .option("emptyValue", "")
-    )
+    return spark.read.options(**CELLS).option("multiLine", multiline).option("encoding", "UTF-8")
 
 
 def has_spanning_records(spark: SparkSession, path: str) -> bool:
@@ -45,11 +39,14 @@ def read_raw(
 
     A ragged row fails the job. ``check_header`` also compares the names in the header;
     without it columns go by position alone. The path may name a folder or glob of parts.
-    ``multiline`` left open is what the specification declares. Files without such cells are
-    split at line ends whatever their size, after a pass that makes sure of it."""
+    ``multiline`` left open is what the specification declares; such files are split as well, see
+    :func:`csv_records`. Files without such cells are split at line ends, after a pass that makes
+    sure of it."""
     path = spec.path(directory, prefix)
     multiline = spec.multiline if multiline is None else multiline
-    if not multiline and has_spanning_records(spark, path):
+    if multiline:
+        return _read_records(csv_records(spark, path), spec, check_header)
+    if has_spanning_records(spark, path):
         raise ValueError(f"{path} has cells that run over line ends; declare it multiline")
     return (
         csv_reader(spark, multiline)
@@ -61,6 +58,23 @@ def read_raw(
     )
 
 
+def _read_records(records: DataFrame, spec: SourceSpec, check_header: bool) -> DataFrame:
+    schema = ", ".join(f"`{name}` string" for name in spec.columns)
+    if check_header:
+        named = cells(F.col("record"), f"{schema}, _bad string", "PERMISSIVE", columnNameOfCorruptRecord="_bad")
+        right = F.lit(True)
+        for name in spec.columns:
+            right = right & (F.lower(named[name]) == name.lower())
+        told = F.concat(F.lit("the header does not name the columns of the source: "), F.col("record"))
+        wrong = F.when(F.coalesce(right, F.lit(False)) & named["_bad"].isNull(), F.lit(False)).otherwise(
+            F.raise_error(told).cast("boolean")
+        )
+        records = records.where(F.when(F.col("is_header"), wrong).otherwise(True))
+    else:
+        records = records.where(~F.col("is_header"))
+    return records.select(cells(F.col("record"), schema, "FAILFAST").alias("row")).select("row.*")
+
+
 def require_source(spark: SparkSession, spec: SourceSpec, directory: str, prefix: str = "") -> None:
     path = spec.path(directory, prefix)
     if not exists(spark, path):
