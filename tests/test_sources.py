@@ -339,3 +339,46 @@ def test_long_rows_are_counted(spark, tmp_path):
 def test_an_upload_of_one_file_has_many_tasks(spark, tmp_path):
     plan = landing.read_upload(spark, str(write(tmp_path / "x.csv", 'a,b\n1,"2\n"\n')))._jdf.queryExecution().executedPlan().toString()
     assert "FileScan text" in plan and "FileScan csv" not in plan and "SinglePartition" not in plan
+
+
+def test_curated_queries_read_curated_layers_alone(spark, tmp_path):
+    tables.ensure_namespaces(spark)
+    spark.range(5).write.mode("overwrite").saveAsTable("raw.secret_rows")
+    tables.materialize(spark.range(7).withColumnRenamed("id", "n"), "marts.open_rows")
+    spark.sql("CREATE OR REPLACE VIEW serving.open_view AS SELECT * FROM marts.open_rows")
+    spark.sql("CREATE OR REPLACE VIEW marts.leaky AS SELECT * FROM raw.secret_rows")
+    path = str(tmp_path / "files")
+    spark.range(3).write.parquet(path)
+    spark.read.parquet(path).createOrReplaceTempView("session_rows")
+
+    fine = [
+        ("SELECT * FROM marts.open_rows", 7),
+        ("WITH x AS (SELECT n FROM serving.open_view WHERE n > :low) SELECT a.n FROM x a JOIN x b ON a.n = b.n", 4),
+        ("SELECT n, 'Relation of raw.secret_rows' AS t FROM marts.open_rows -- note", 7),
+        ("SELECT 1 AS one", 1),
+        ("SELECT n FROM marts.open_rows WHERE n < (SELECT max(n) FROM serving.open_view)", 6),
+    ]
+    for text, rows in fine:
+        assert tables.query_curated(spark, text, low=2).count() == rows
+    for text in (
+        "SELECT * FROM raw.secret_rows",
+        "WITH x AS (SELECT * FROM raw.secret_rows) SELECT count(*) FROM x",
+        "SELECT * FROM marts.leaky",
+        "SELECT n FROM marts.open_rows WHERE n IN (SELECT id FROM raw.secret_rows)",
+        "SELECT n, (SELECT max(id) FROM raw.secret_rows) AS m FROM marts.open_rows",
+        "SELECT * FROM marts.open_rows) UNION ALL (SELECT id FROM raw.secret_rows",
+        f"SELECT * FROM parquet.`{path}`",
+        "SELECT * FROM session_rows",
+    ):
+        with pytest.raises(PermissionError, match="readable"):
+            tables.query_curated(spark, text)
+    for text in (
+        "DROP TABLE raw.secret_rows",
+        "SELECT 1; DROP TABLE raw.secret_rows",
+        "WITH x AS (SELECT 1 AS id) INSERT INTO raw.secret_rows SELECT * FROM x",
+        "CREATE TABLE marts.made AS SELECT 1 AS one",
+        "SELECT * FROM marts.nothing_there",
+    ):
+        with pytest.raises(Exception):
+            tables.query_curated(spark, text)
+    assert spark.table("raw.secret_rows").count() == 5 and not spark.catalog.tableExists("marts.made")

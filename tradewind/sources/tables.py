@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,10 @@ REQUIRED_SERVING = [
     "serving.fct_sales_by_category",
 ]
 
+# Nodes of an explained plan that read something, but for rows in the text itself, and a table there.
+_SOURCE = re.compile(r"(?!LocalRelation|OneRowRelation)(\w*Relation|LogicalRDD|InMemory\w*|\w*Scan\w*)\b")
+_TABLE = re.compile(r"Relation spark_catalog\.(?P<layer>\w+)\.\w+\[")
+
 
 class IncompleteLayerError(RuntimeError):
     """Required objects are missing."""
@@ -120,3 +125,25 @@ def read_curated(spark: SparkSession, name: str) -> DataFrame:
 def run_query(spark: SparkSession, text: str, **args) -> DataFrame:
     """Query text with bound parameters, never spliced into the text."""
     return spark.sql(text, args=args)
+
+
+def query_curated(spark: SparkSession, text: str, **args) -> DataFrame:
+    """One query over the curated layers, with bound parameters.
+
+    The text stands in a subquery, where no command can, and is explained before it runs: every
+    table that its analysed plan reads, through views, named sub-queries or subqueries as well, must
+    lie in a curated layer. Files by path, and session views over files or frames, are refused."""
+    query = f"SELECT * FROM (\n{text}\n)"
+    told = spark.sql(f"EXPLAIN EXTENDED {query}", args=args).first()[0]
+    analysed = told.partition("== Analyzed Logical Plan ==")[2].partition("== Optimized Logical Plan ==")[0]
+    for line in analysed.splitlines():
+        node = line.lstrip(" :+-")
+        if not _SOURCE.match(node):
+            continue
+        table = _TABLE.match(node)
+        if not table or table["layer"].lower() not in READABLE:
+            raise PermissionError(f"only {sorted(READABLE)} are readable, not {node[:80]}")
+    found = spark.sql(query, args=args)
+    if not analysed:
+        raise PermissionError("the query could not be explained")
+    return found
