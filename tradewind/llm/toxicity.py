@@ -128,7 +128,8 @@ class Model:
 
 def _landmarks(texts: list[str], toxic: np.ndarray, count: int, frequent: int):
     """The words that tell the classes apart best, by documents, and the most frequent ones; and
-    how much more likely each is in toxic texts."""
+    how much more likely each is in toxic texts. A landmark is the first 64 bytes of a word with a
+    space on both sides; texts are scored whole."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for text, label in zip(texts, toxic, strict=True):
         seen[int(label)].update({w.strip(".,;:!?\"'()").lower() for w in text.split()} - {""})
