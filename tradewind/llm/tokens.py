@@ -6,9 +6,10 @@ import base64
 import re
 
 import numpy as np
+import pandas as pd
 import tiktoken
 
-from tradewind.llm.words import IS_SPACE, span_hashes
+from tradewind.llm.words import IS_SPACE, mixed, span_hashes
 
 # How public byte-level vocabularies of this kind part a text before they merge bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -21,6 +22,11 @@ _OTHER_SPACE = re.compile(
 )
 
 
+# Bytes of a piece that are compared as they are, and masks for the first 0 to 8 of eight bytes.
+WIDE = 16
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
 def vocabulary_path(name: str) -> str:
     """The file of a public vocabulary that is installed on every executor, or ``name`` itself if
     it is a path."""
@@ -37,11 +43,34 @@ def load(name: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _contents(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each piece: its bytes themselves up to WIDE of them, else two hashes."""
+    padded = np.zeros(len(buf) + WIDE, np.uint8)
+    padded[: len(buf)] = buf
+    eight = np.ndarray((len(buf) + 8,), "<u8", padded, strides=(1,))
+    lengths = ends - starts
+    low = eight[starts] & _FIRST[np.minimum(lengths, 8)]
+    high = eight[starts + 8 * (lengths > 8)] & _FIRST[np.clip(lengths - 8, 0, 8)]
+    long = np.flatnonzero(lengths > WIDE)
+    if len(long):
+        after = np.cumsum(lengths[long])
+        of_long = buf[_bytes_of(starts[long], lengths[long])]
+        low[long] = span_hashes(of_long, after - lengths[long], after)
+        high[long] = span_hashes(of_long, after - lengths[long], after, seed=1)
+    return low, high
+
+
+def _bytes_of(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of the bytes of spans."""
+    places = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    return places + np.arange(len(places))
+
+
 class Encoder:
     """Encodes blocks. A text is cut before each run of white space that follows something else:
     no token goes over such a place, so each piece has the same ids wherever it stands. Pieces
-    not seen before are encoded together, the others are looked up by their hash, and what the ids
-    of a block spell is compared with its bytes. Texts with white space beyond ASCII are one piece."""
+    not seen before are encoded together, the others are looked up by a hash, and compared with the
+    bytes that their ids stand for. Texts with white space beyond ASCII are one piece."""
 
     def __init__(self, name: str) -> None:
         self.encoding = load(name)
@@ -96,7 +125,11 @@ class Encoder:
             return np.empty(0, self.kind), np.zeros(len(bounds), np.int64)
         starts = self.pieces(buf, bounds)
         ends = np.append(starts[1:], len(buf))
-        keys, at, back = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        lengths = ends - starts
+        low, high = _contents(buf, starts, ends)
+        back, keys = pd.factorize(mixed(low ^ mixed(high ^ mixed(lengths.astype(np.uint64)))), sort=True)
+        at = np.empty(len(keys), np.int64)
+        at[back[::-1]] = np.arange(len(back) - 1, -1, -1)
         if len(self.young.keys) + len(keys) > REMEMBERED:
             self.old, self.young = self.young, Known(self.kind)
         missing = np.flatnonzero(self.young.place(keys) < 0)
@@ -107,8 +140,16 @@ class Encoder:
         new = missing[~again]
         if len(new):
             self.young.add(keys[new], *self._fresh(buf.tobytes(), starts[at[new]], ends[at[new]]))
-        out, _, count = self.young.taken(self.young.place(keys)[back])
-        if not self._spells(out, buf):
+        place = self.young.place(keys)
+        # One piece of each key, and all long ones, are compared with what their ids spell.
+        told = lengths > WIDE
+        told[at] = True
+        some = np.flatnonzero(told)
+        alike = all((c == c[at][back]).all() for c in (low, high, lengths))
+        spelt = buf[_bytes_of(starts[some], lengths[some])]
+        if alike and self._spells(self.young.taken(place[back[some]])[0], spelt):
+            out, _, count = self.young.taken(place[back])
+        else:
             # Pieces with the same hash: this block is encoded without the tables.
             known = Known(self.kind)
             known.add(np.arange(len(starts), dtype=np.uint64), *self._fresh(buf.tobytes(), starts, ends))
@@ -117,13 +158,14 @@ class Encoder:
         return out, total[np.searchsorted(starts, bounds)]
 
     def _spells(self, ids: np.ndarray, buf: np.ndarray) -> bool:
-        """Whether the bytes of the ids are those of the block."""
+        """Whether the ids stand for these bytes."""
         length = self.bytes_of[ids]
-        total = int(length.sum())
-        if total != len(buf):
+        if int(length.sum()) != len(buf):
             return False
-        begin = np.cumsum(length) - length
-        at = np.arange(total) + np.repeat(self.token_at[ids] - begin, length)
+        kind = np.int32 if len(self.all_tokens) + len(buf) < 1 << 31 else np.int64
+        end = np.cumsum(length, dtype=kind)
+        at = np.repeat(self.token_at.astype(kind)[ids] - (end - length.astype(kind)), length)
+        at += np.arange(len(buf), dtype=kind)
         return bool(np.array_equal(self.all_tokens[at], buf))
 
 

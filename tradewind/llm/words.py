@@ -91,18 +91,25 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     would not do: texts that collide for every such number can be written down."""
     if seed not in _short:
         _short[seed] = _of_bytes(np.arange(SHORT << 8, dtype=np.uint64), seed)
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    # The bytes between spans count on in the one before and are left out of its sum.
+    whole = buf[starts[0] :]
+    begin = (starts - starts[0]).astype(np.int32 if len(whole) < 1 << 22 else np.int64)
+    place = np.arange(len(whole), dtype=begin.dtype)
+    place -= np.repeat(begin, np.diff(np.append(begin, begin.dtype.type(len(whole)))))
     lengths = ends - starts
-    after = np.cumsum(lengths)
-    begin = after - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(begin, lengths)
-    placed = (place << 8) + buf[place + np.repeat(starts, lengths)]
+    late = np.flatnonzero(place >= SHORT) if int(lengths.max()) > SHORT else ()
+    placed = place << 8
+    placed |= whole
+    sums = np.empty(len(whole) + 1, np.uint64)
+    sums[0] = 0
     of_each = _short[seed][placed & ((SHORT << 8) - 1)]
-    late = np.flatnonzero(place >= SHORT)
     if len(late):
         of_each[late] = _of_bytes(placed[late].astype(np.uint64), seed)
-    sums = np.zeros(len(placed) + 1, np.uint64)
     np.cumsum(of_each, out=sums[1:])
-    return mixed(sums[after] - sums[begin] + lengths.astype(np.uint64) * np.uint64(OF_WORDS[seed]))
+    found = sums[ends - starts[0]] - sums[begin]
+    return mixed(found + lengths.astype(np.uint64) * np.uint64(OF_WORDS[seed]))
 
 
 def window_hashes(words: np.ndarray, k: int, base: int = OF_WORDS[0]) -> np.ndarray:
