@@ -9,7 +9,7 @@ import pytest
 from tradewind.operators import catalog, quality, vectors
 from tradewind.plans.build_all import FailedChecksError, build_all
 from tradewind.plans.kpis import dashboard
-from tradewind.sources import landing, raw, tables
+from tradewind.sources import landing, raw, records, tables
 from tradewind.sources.ledger import RunLedger
 from tradewind.sources.specs import SOURCES
 
@@ -328,6 +328,42 @@ def test_records_are_found_in_splits_of_any_size(spark, tmp_path, split, end):
     assert got == sorted(tuple(v or "" for v in row) for row in rows)
 
 
+@pytest.mark.parametrize("bits", [0, 2, 5])
+def test_records_lie_over_blocks(spark, tmp_path, monkeypatch, bits):
+    """Splits of many blocks, and records that end with a block, go over it or fill some."""
+    monkeypatch.setattr(records, "BLOCK_BITS", bits)
+    rows = [(f"r{i:03d}", "x\n" * (i % 8), 'a "b"' if i % 3 else None) for i in range(300)]
+    for name, part in (("one.csv", rows[:100]), ("two.csv", rows[100:])):
+        write(tmp_path / "up.csv" / name, as_csv([("id", "first", "second"), *part], random.Random(5), "\n"))
+    for split in ("300", "1m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            got = sorted(tuple(r) for r in landing.read_upload(spark, str(tmp_path / "up.csv")).collect())
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "256m")
+        assert got == [tuple(v or "" for v in row) for row in rows]
+
+
+def test_a_task_holds_a_block_of_an_upload_at_a_time(spark, tmp_path):
+    """What is sorted and counted together is no split: its windows run within blocks."""
+    assert 2**records.BLOCK_BITS <= 4096  # rows that a window keeps without spilling
+    path = str(write(tmp_path / "u.csv", 'a,b\n1,"2\n"\n'))
+    plan = landing.read_upload(spark, path)._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if " Window [" in line and "sum(odd#" in line]
+    assert windows and all("[block#" in line for line in windows)
+
+
+def test_the_header_is_found_behind_blank_splits(spark, tmp_path):
+    path = write(tmp_path / "blank.csv", "\n" * 500 + "a,b\n1,2\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert [tuple(r) for r in landing.read_upload(spark, str(path)).collect()] == [("1", "2")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "256m")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_long_rows_are_counted(spark, tmp_path):
     path = write(tmp_path / "long.csv", 'a,b\n1,2\n1,2,3\n"x,\ny",2,\n1\n\n"a ""q"", b","c,d"\n,,,,\n')
     landed = landing.land_csv(spark, str(path), datetime(2024, 1, 1))

@@ -9,19 +9,26 @@ from pyspark.sql import functions as F
 CELLS = {"quote": '"', "escape": '"', "nullValue": "\u0001", "emptyValue": ""}
 BYTE_ORDER_MARK = "﻿"
 
+# Lines of a block are 2 to this power at most; they are what a task sorts and counts together.
+BLOCK_BITS = 10
 
-def _quotes(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+
+def _has_odd_quotes(line: Column) -> Column:
+    return (F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
 
 
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
     """(record, is_header) for the records of a file, a folder or a glob; the first record of each
     file is its header. Blank lines between records are none.
 
-    Files are read by lines, in as many splits as their size gives. A line end is inside a cell if an
-    odd number of quotes stands before it: the quotes of each split are counted, and the sum over the
-    splits before says in which state one starts. The lines of a record are put together by the split
-    and line that it starts in, so a record may lie over any number of splits. ``\\r\\n`` becomes ``\\n``."""
+    Files are read by lines, in as many splits as their size gives, and the lines of a split lie in
+    blocks. A line end is inside a cell if an odd number of quotes stands before it: lines with an odd
+    number are counted per block, and sums over the blocks and splits before say in which state a block
+    starts. The lines of a record are put together by the block and the line that it starts in, so a
+    record may lie over any number of blocks and splits, and no task has more of a split than a block
+    at a time. ``\\r\\n`` becomes ``\\n``."""
+    # Most lines are taken as they are; the pattern decodes the others, each wrong sequence to one U+FFFD.
+    plain = F.is_valid_utf8("value") & ~F.contains("value", F.lit("\r"))
     lines = (
         spark.read.option("lineSep", "\n")
         .text(path)
@@ -29,57 +36,109 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("split"),
             F.monotonically_increasing_id().alias("line"),
-            F.regexp_replace("value", "\r$", "").alias("text"),
+            _has_odd_quotes(F.col("value")).cast("int").alias("odd"),
+            F.when(plain, F.col("value")).otherwise(F.regexp_replace("value", "\r$", "")).alias("text"),
         )
+        .withColumn("block", F.shiftright("line", BLOCK_BITS))
     )
-    quotes = _quotes(F.col("text"))
-    by_file = Window.partitionBy("file").orderBy("split")
-    before = by_file.rowsBetween(Window.unboundedPreceding, -1)
-    # A split without an odd line that starts inside a cell is all inside; no record starts in it.
-    splits = (
-        lines.groupBy("file", "split")
-        .agg(F.sum(quotes).alias("quotes"), F.count_if(quotes % 2 == 1).alias("odd"))
-        .withColumn("quotes_before", F.coalesce(F.sum("quotes").over(before), F.lit(0)))
-        .withColumn("starts_one", (F.col("quotes_before") % 2 == 0) | (F.col("odd") > 0))
-        .select(
-            "file",
-            "split",
-            "quotes_before",
-            F.last(F.when(F.col("starts_one"), F.col("split")), ignorenulls=True).over(before).alias("owner"),
-        )
+    # A state goes before the lines of its block, so that it is there when they are counted.
+    states = _block_states(lines)
+    nothing = F.lit(None).cast(states.schema["state"].dataType)
+    inside = F.col("state.inside").cast("int")
+    rows = lines.withColumn("state", nothing).unionByName(
+        states.select("*", F.lit(-1).alias("line"), inside.alias("odd"), F.lit(None).cast("string").alias("text"))
     )
-    in_split = Window.partitionBy("file", "split").orderBy("line")
-    earlier = in_split.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("file", "split")
+    by_block = Window.partitionBy("block", "file", "split").orderBy("line")
+    so_far = by_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = F.when(F.trim("text") != "", F.col("line"))
+    missing = F.raise_error(F.lit(f"{path} was split in another way when its records were read")).cast("boolean")
     opened = (
-        lines.join(splits, ["file", "split"])
-        .withColumn("quotes", F.col("quotes_before") + F.coalesce(F.sum(quotes).over(earlier), F.lit(0)))
-        .withColumn("starts", F.col("quotes") % 2 == 0)
-        .withColumn("start", F.last(F.when(F.col("starts"), F.col("line")), ignorenulls=True).over(in_split))
-        .withColumn("last_start", F.max(F.when(F.col("starts"), F.col("line"))).over(whole))
-        .withColumn("is_header", (F.col("split") == 0) & (F.col("line") == F.min(filled).over(whole)))
-        .withColumn("piece", F.struct("split", "line", "text"))
+        rows.select(
+            "*",
+            (F.sum("odd").over(so_far) - F.col("odd")).alias("before"),
+            F.first("state").over(so_far).alias("of_block"),
+            F.first(filled, ignorenulls=True).over(so_far).alias("first_filled"),
+        )
+        .where("line >= 0")
+        .select("file", "split", "block", "line", "odd", "text", "before", "of_block.*", "first_filled")
+        .withColumn("inside", F.coalesce("inside", missing))
+        .withColumn("is_header", F.col("has_header") & F.coalesce(F.col("line") == F.col("first_filled"), F.lit(False)))
+        .withColumn("odds_before", F.col("before") - F.col("inside").cast("int"))
+        .withColumn("starts", F.col("before") % 2 == 0)
+    )
+    # The record of a line in its block: a line alone, or all from one odd line to the next.
+    alone = F.col("starts") & (F.col("odd") == 0)
+    opening = F.col("odds_before") + F.col("starts").cast("int")
+    goes_on = F.col("inside") & (F.col("odds_before") == 0)
+    stays_open = ~goes_on & ~alone & F.col("ends_inside") & (opening == F.col("odds"))
+    opened = opened.withColumn("number", F.when(alone, F.col("line")).otherwise(-opening)).withColumn(
+        "owner", F.when(goes_on, F.col("open_from")).when(stays_open, F.struct("split", "block"))
     )
 
     def put_together(pieces: DataFrame, *keys: str) -> DataFrame:
-        texts = F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["text"])
-        return pieces.groupBy("file", *keys).agg(
+        lines = F.array_sort(F.collect_list(F.struct("split", "line", "text")))
+        texts = F.transform(lines, lambda p: p["text"])
+        return pieces.groupBy(*keys).agg(
             F.array_join(texts, "\n").alias("record"), F.max("is_header").alias("is_header")
         ).select("record", "is_header")
 
-    # Records that end in their split are put together where its lines are. The last record of a
-    # split may go on in the next ones, which know it by the split.
-    first = F.when(F.col("start").isNull(), F.col("owner")).otherwise(F.col("split"))
-    last = opened.where("start IS NULL OR start = last_start").withColumn("from", first)
-    records = put_together(opened.where("start < last_start"), "split", "start").unionByName(
-        put_together(last, "from")
+    # Records that end in their block are put together where its lines are.
+    records = put_together(opened.where("owner IS NULL"), "block", "file", "split", "number").unionByName(
+        put_together(opened.where("owner IS NOT NULL"), "file", "owner")
     )
     mark = F.lit(BYTE_ORDER_MARK)
     bare = F.when(F.col("is_header") & F.startswith("record", mark), F.substring("record", 2, 2**31 - 1))
     return records.withColumn("record", F.coalesce(bare, "record")).where("record <> ''")
 
 
+def _block_states(lines: DataFrame) -> DataFrame:
+    """(file, split, block, state): whether the block starts and ends inside a cell, how many odd lines
+    it has, the split and block where the record that is open at its start was opened, which is the
+    last before with an odd line, and whether the file's header starts in it."""
+    blocks = lines.groupBy("file", "split", "block").agg(
+        F.sum("odd").alias("odds"), F.max(F.trim("text") != "").alias("filled")
+    )
+    place = F.struct("split", "block")
+    in_file, in_split = Window.partitionBy("file"), Window.partitionBy("file", "split")
+    splits = (
+        blocks.groupBy("file", "split")
+        .agg(
+            F.sum("odds").alias("odds"),
+            F.max(F.when(F.col("odds") > 0, place)).alias("last_odd"),
+            F.min(F.when(F.col("filled"), place)).alias("first_filled"),
+        )
+        .select("file", "split", *_before(in_file, "split"), F.min("first_filled").over(in_file).alias("header"))
+    )
+    earlier, opener = _before(in_split, "block")
+    odds_before = F.col("before_split") + F.col("before_block")
+    return (
+        blocks.withColumn("last_odd", F.when(F.col("odds") > 0, place))
+        .select("file", "split", "block", "odds", earlier, opener)
+        .join(splits, ["file", "split"])
+        .select(
+            "file",
+            "split",
+            "block",
+            F.struct(
+                (odds_before % 2 == 1).alias("inside"),
+                ((odds_before + F.col("odds")) % 2 == 1).alias("ends_inside"),
+                "odds",
+                F.coalesce("opener_block", "opener_split").alias("open_from"),
+                (F.col("header") == place).alias("has_header"),
+            ).alias("state"),
+        )
+    )
+
+
+def _before(within: Window, order: str) -> list[Column]:
+    """The odd lines of all earlier rows, and the last place of them that has any."""
+    before = within.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return [
+        F.coalesce(F.sum("odds").over(before), F.lit(0)).alias(f"before_{order}"),
+        F.last("last_odd", ignorenulls=True).over(before).alias(f"opener_{order}"),
+    ]
+
+
 def cells(record: Column, schema: str, mode: str, **options: str) -> Column:
     """The cells of a record as a struct."""
     return F.from_csv(record, schema, {**CELLS, "mode": mode, **options})
