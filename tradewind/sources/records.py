@@ -41,38 +41,43 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
         )
         .withColumn("block", F.shiftright("line", BLOCK_BITS))
     )
-    # A state goes before the lines of its block, so that it is there when they are counted.
-    states = _block_states(lines)
+    # A state goes before the lines of its piece, so that it is there when they are counted.
+    states = _states(lines)
     nothing = F.lit(None).cast(states.schema["state"].dataType)
-    inside = F.col("state.inside").cast("int")
-    rows = lines.withColumn("state", nothing).unionByName(
-        states.select("*", F.lit(-1).alias("line"), inside.alias("odd"), F.lit(None).cast("string").alias("text"))
+    rows = lines.select("block", "split", "line", "odd", "text", nothing.alias("state")).unionByName(
+        states.select("*", F.lit(0).alias("odd"), F.lit(None).cast("string").alias("text"))
     )
-    by_block = Window.partitionBy("block", "file", "split").orderBy("line")
-    so_far = by_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = F.when(F.trim("text") != "", F.col("line"))
+    is_line = F.col("state").isNull()
+    in_block = Window.partitionBy("block").orderBy("line", is_line)
+    so_far = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     missing = F.raise_error(F.lit(f"{path} was split in another way when its records were read")).cast("boolean")
     opened = (
         rows.select(
             "*",
             (F.sum("odd").over(so_far) - F.col("odd")).alias("before"),
-            F.first("state").over(so_far).alias("of_block"),
-            F.first(filled, ignorenulls=True).over(so_far).alias("first_filled"),
+            F.last("state", ignorenulls=True).over(so_far).alias("piece"),
         )
-        .where("line >= 0")
-        .select("file", "split", "block", "line", "odd", "text", "before", "of_block.*", "first_filled")
-        .withColumn("inside", F.coalesce("inside", missing))
-        .withColumn("is_header", F.col("has_header") & F.coalesce(F.col("line") == F.col("first_filled"), F.lit(False)))
-        .withColumn("odds_before", F.col("before") - F.col("inside").cast("int"))
-        .withColumn("starts", F.col("before") % 2 == 0)
+        .where(is_line)
+        .select("block", "split", "line", "odd", "text", "before", "piece")
+        .withColumn("inside", F.when(F.col("piece.split") == F.col("split"), F.col("piece.inside")).otherwise(missing))
+        .withColumn("is_header", F.coalesce(F.col("line") == F.col("piece.header"), F.lit(False)))
+        .withColumn("odds_before", F.col("before") - F.col("piece.base"))
+        .withColumn("starts", (F.col("odds_before") + F.col("inside").cast("int")) % 2 == 0)
     )
     # The record of a line in its block: a line alone, or all from one odd line to the next.
     alone = F.col("starts") & (F.col("odd") == 0)
-    opening = F.col("odds_before") + F.col("starts").cast("int")
+    opening = F.col("before") + F.col("starts").cast("int")
     goes_on = F.col("inside") & (F.col("odds_before") == 0)
-    stays_open = ~goes_on & ~alone & F.col("ends_inside") & (opening == F.col("odds"))
-    opened = opened.withColumn("number", F.when(alone, F.col("line")).otherwise(-opening)).withColumn(
-        "owner", F.when(goes_on, F.col("open_from")).when(stays_open, F.struct("split", "block"))
+    is_last = opening == F.col("piece.base") + F.col("piece.odds")
+    stays_open = ~goes_on & ~alone & F.col("piece.ends_inside") & is_last
+    opened = opened.select(
+        "block",
+        "split",
+        "line",
+        "text",
+        "is_header",
+        F.when(alone, F.col("line")).otherwise(-opening).alias("number"),
+        F.when(goes_on, F.col("piece.open_from")).when(stays_open, F.col("piece.first")).alias("owner"),
     )
 
     def put_together(pieces: DataFrame, *keys: str) -> DataFrame:
@@ -83,60 +88,65 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
         ).select("record", "is_header")
 
     # Records that end in their block are put together where its lines are.
-    records = put_together(opened.where("owner IS NULL"), "block", "file", "split", "number").unionByName(
-        put_together(opened.where("owner IS NOT NULL"), "file", "owner")
+    records = put_together(opened.where("owner IS NULL"), "block", "number").unionByName(
+        put_together(opened.where("owner IS NOT NULL"), "owner")
     )
     mark = F.lit(BYTE_ORDER_MARK)
     bare = F.when(F.col("is_header") & F.startswith("record", mark), F.substring("record", 2, 2**31 - 1))
     return records.withColumn("record", F.coalesce(bare, "record")).where("record <> ''")
 
 
-def _block_states(lines: DataFrame) -> DataFrame:
-    """(file, split, block, state): whether the block starts and ends inside a cell, how many odd lines
-    it has, the split and block where the record that is open at its start was opened, which is the
-    last before with an odd line, and whether the file's header starts in it."""
-    blocks = lines.groupBy("file", "split", "block").agg(
-        F.sum("odd").alias("odds"), F.max(F.trim("text") != "").alias("filled")
+def _states(lines: DataFrame) -> DataFrame:
+    """(block, split, line, state) for the piece that each block has of each split, with its first line.
+    The state: whether the piece starts and ends inside a cell, its number of odd lines and that of the
+    pieces before it in the block, the first line of the piece where the record that is open at its
+    start was opened, which is the last before with an odd line, and the header of its file, if there."""
+    pieces = lines.groupBy("file", "split", "block").agg(
+        F.sum("odd").alias("odds"),
+        F.min("line").alias("first"),
+        F.min(F.when(F.trim("text") != "", F.col("line"))).alias("filled"),
     )
-    place = F.struct("split", "block")
-    in_file, in_split = Window.partitionBy("file"), Window.partitionBy("file", "split")
+    last_odd = F.when(F.col("odds") > 0, F.col("first"))
+    in_file = Window.partitionBy("file").orderBy("split")
+    in_split = Window.partitionBy("file", "split").orderBy("block")
+    whole_file = in_file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def before(within: Window, name: str) -> list[Column]:
+        """The odd lines of all earlier rows, and the last piece of them that has any."""
+        earlier = within.rowsBetween(Window.unboundedPreceding, -1)
+        return [
+            F.coalesce(F.sum("odds").over(earlier), F.lit(0)).alias(f"before_{name}"),
+            F.last("last_odd", ignorenulls=True).over(earlier).alias(f"open_{name}"),
+        ]
+
     splits = (
-        blocks.groupBy("file", "split")
-        .agg(
-            F.sum("odds").alias("odds"),
-            F.max(F.when(F.col("odds") > 0, place)).alias("last_odd"),
-            F.min(F.when(F.col("filled"), place)).alias("first_filled"),
-        )
-        .select("file", "split", *_before(in_file, "split"), F.min("first_filled").over(in_file).alias("header"))
-    )
-    earlier, opener = _before(in_split, "block")
-    odds_before = F.col("before_split") + F.col("before_block")
-    return (
-        blocks.withColumn("last_odd", F.when(F.col("odds") > 0, place))
-        .select("file", "split", "block", "odds", earlier, opener)
-        .join(splits, ["file", "split"])
+        pieces.groupBy("file", "split")
+        .agg(F.sum("odds").alias("odds"), F.max(last_odd).alias("last_odd"), F.min("filled").alias("filled"))
         .select(
             "file",
             "split",
-            "block",
-            F.struct(
-                (odds_before % 2 == 1).alias("inside"),
-                ((odds_before + F.col("odds")) % 2 == 1).alias("ends_inside"),
-                "odds",
-                F.coalesce("opener_block", "opener_split").alias("open_from"),
-                (F.col("header") == place).alias("has_header"),
-            ).alias("state"),
+            *before(in_file, "split"),
+            F.first("filled", ignorenulls=True).over(whole_file).alias("header"),
         )
     )
-
-
-def _before(within: Window, order: str) -> list[Column]:
-    """The odd lines of all earlier rows, and the last place of them that has any."""
-    before = within.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return [
-        F.coalesce(F.sum("odds").over(before), F.lit(0)).alias(f"before_{order}"),
-        F.last("last_odd", ignorenulls=True).over(before).alias(f"opener_{order}"),
-    ]
+    odds_before = F.col("before_split") + F.col("before_piece")
+    earlier_in_block = Window.partitionBy("block").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    state = F.struct(
+        "split",
+        "first",
+        "odds",
+        F.coalesce(F.sum("odds").over(earlier_in_block), F.lit(0)).alias("base"),
+        (odds_before % 2 == 1).alias("inside"),
+        ((odds_before + F.col("odds")) % 2 == 1).alias("ends_inside"),
+        F.coalesce("open_piece", "open_split").alias("open_from"),
+        F.when(F.col("header") == F.col("filled"), F.col("header")).alias("header"),
+    )
+    return (
+        pieces.withColumn("last_odd", last_odd)
+        .select("file", "split", "block", "odds", "first", "filled", *before(in_split, "piece"))
+        .join(splits, ["file", "split"])
+        .select("block", "split", F.col("first").alias("line"), state.alias("state"))
+    )
 
 
 def cells(record: Column, schema: str, mode: str, **options: str) -> Column:
